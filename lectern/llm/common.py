@@ -96,16 +96,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the blank-separated words (A-Z lowered) and where each document's begin.
+#: Besides blanks, ASCII punctuation and control bytes: what remains is letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
-    Words are maximal runs of bytes outside 0x20 and 0x09-0x0D, so any UTF-8 text works.
+
+def word_hashes(array: pa.Array, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (A-Z lowered) and where each document's begin.
+
+    Words are maximal runs of bytes that are not blank (0x20 and 0x09-0x0D, if not told otherwise),
+    so any UTF-8 text works.
     """
     data, offsets = utf8(array)
-    n = len(data)
+    return hash_runs(_BYTE_CODE[_LOWER[data]], ~blank[data], offsets)
+
+
+def hash_runs(codes: np.ndarray, word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of true `word` flags over 64-bit codes, and where each document's begin."""
+    n = len(codes)
     if not n:
         return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
-    word = ~_BLANK[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)
@@ -116,7 +125,7 @@ def word_hashes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = np.flatnonzero(word & (edge[1:] | ~after)) + 1
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[_LOWER[data]] * up[:n], out=sums[1:])
+    np.cumsum(codes * up[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     return hashes, np.searchsorted(starts, offsets)
 
@@ -142,6 +151,21 @@ def uniform(*keys) -> np.ndarray:
     return ((h >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
 
 
+# ---------------------------------------------------------------- training rows
+
+def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
+    """About `bound` of the rows, or all if there are no more, chosen by a hash of the key."""
+    n = rows.count()
+    if n <= bound:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < F.lit(int((1 << 30) * bound / n)))
+
+
+def learned_from(key: str, modulus: int, held_out: int) -> F.Column:
+    """Whether a row may be learned from: crc32(key as text) mod modulus is not `held_out`."""
+    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(modulus)) != held_out, F.lit(False))
+
+
 # ---------------------------------------------------------------- components
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -169,3 +193,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     stars = e.groupBy("src").agg(F.min("dst").alias("component"))
     roots = e.select("dst").distinct().select("dst", F.col("dst").alias("component"))
     return stars.union(roots).toDF("v", "component").groupBy("v").agg(F.min("component").alias("component"))
+
+
+# ---------------------------------------------------------------- numbering
+
+def numbered(df: DataFrame, group: str, order: list[str], name: str, cells: int = 64) -> DataFrame:
+    """df with a gapless number from 0 in each group, whatever the size of the group.
+
+    Rows are dealt into `cells` cells of their group by a hash of the order columns; each cell is
+    numbered by itself and starts where the cells before it end.  The table of starts has at most
+    cells rows for each group, so for a bounded number of groups it is safe to broadcast.
+    """
+    from pyspark.sql import Window
+
+    cell, start, size = (free_name(df, x) for x in ("cell", "start", "cell_rows"))
+    dealt = df.withColumn(cell, F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int"))
+    before = Window.partitionBy(group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (dealt.groupBy(group, cell).agg(F.count("*").alias(size))
+              .select(group, cell, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(start)))
+    inner = Window.partitionBy(group, cell).orderBy(*order)
+    return (dealt.withColumn(name, F.row_number().over(inner) - 1).join(F.broadcast(starts), [group, cell])
+            .withColumn(name, (F.col(name) + F.col(start)).cast("long")).drop(cell, start))
