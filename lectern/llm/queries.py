@@ -3,22 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import language_id, ngram_join, packing, sharding, toxicity, vector_dedup, weak_quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from three quarters of the labels."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from heuristic labellers, EM and a hashed linear scorer."""
+    return weak_quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in token-budget batches of sixteen optimal length buckets."""
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in forty shards of near equal bytes."""
+    return sharding.histogram_sort(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose word 5-gram sets have a Jaccard similarity of 0.8 or more."""
     return ngram_join.ngram_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of embeddings with a cosine of 0.95 or more."""
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op10_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by character models learned from two thirds of the documents."""
+    return language_id.languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def queries() -> dict:
-    return {"op8_ngram_join": op8_ngram_join}
+    return {f.__name__: f for f in (op4_ftrl_toxicity, op5_weak_quality, op6_length_buckets, op7_histogram_sort, op8_ngram_join, op9_cap_filters, op10_kneser_ney_language)}
 
 
 def oracle_sql() -> dict:
