@@ -4,7 +4,7 @@ Words are runs of letters and digits, lowered.  Features of a text are the sets
 pairs and pairs with one word between them, hashed to 2**20 coordinates; a feature counts once
 however often it occurs, so length alone moves no score.  The learner sees a bounded, documented
 sample of labelled rows (`bound`) in one task, in an order given by a hash, `epochs` times; the L1
-penalty leaves a few thousand weights, which are broadcast (never more than 2**20).
+penalty leaves a few hundred weights, which are broadcast (never more than 2**20).
 Scores use texts alone, whole texts, and every row.  Null and empty texts score the bias.
 """
 
@@ -55,7 +55,7 @@ def _train(alpha: float, l1: float, l2: float, epochs: int):
     return run
 
 
-def train(labelled: DataFrame, bound: int = 16000, alpha: float = 0.2, l1: float = 1.0, l2: float = 1.0, epochs: int = 3):
+def train(labelled: DataFrame, bound: int = 16000, alpha: float = 4.0, l1: float = 3.0, l2: float = 0.0, epochs: int = 4):
     """labelled(doc_id, text, target 0/1) -> dense weights (2**20 and a bias), fitted on <= bound rows."""
     rows = bounded_sample(labelled.where("target is not null"), "doc_id", bound).select(
         F.lit(0).alias("one"), "doc_id", F.xxhash64("doc_id", F.lit("order")).alias("turn"), F.lower(F.col("text").cast("string")).alias("text"), F.col("target").cast("double").alias("target"))

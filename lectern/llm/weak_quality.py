@@ -1,10 +1,11 @@
 """Quality from weak labels: heuristic labellers, EM for their accuracies, a hashed linear scorer.
 
-Eight overlapping labellers vote good, bad or abstain on each text (symbol share, capitals, table
-cells, repeated words, repeated neighbours, exclamation, sentence length, word length).  Votes depend on rates,
-never on length limits.  Spark counts every vote pattern of the corpus (at most 3**8); EM over
-those counts estimates how each labeller votes on good and on bad texts, and the share of good ones, without
-any curated label.  The posterior of a text's pattern is its training label for a logistic scorer
+Eight overlapping labellers vote good, bad or abstain on each text.  Most look for one kind of junk
+and abstain without it (symbol share, capitals, table cells, few different words, repeated
+neighbours, exclamation); two also know natural text (different words for each sentence, prose).  Votes depend on
+rates, never on length limits.  Spark counts every vote pattern of the corpus (at most 3**8); EM
+over those counts estimates each labeller's accuracy, given that it votes, and the share of good
+texts, without any curated label.  The posterior of a text's pattern is its training label for a logistic scorer
 (FTRL) over hashed word shapes, shape pairs and repetition marks, as shares of the text's words; it
 is fitted on a bounded, documented sample (`bound`) and scores every whole text.  A text is kept
 at `keep_at` or more.  Null or blank texts have no votes and no features: they score 0 and go.
@@ -21,8 +22,10 @@ from .common import _BLANK, _BYTE_CODE, _LOWER, bounded_sample, hash_runs, mix,
 from .linear import BITS, Ftrl, sigmoid
 
 U = np.uint64
-LABELLERS = ("symbols", "capitals", "cells", "variety", "stutter", "shouting", "sentences", "word_length")
+LABELLERS = ("symbols", "capitals", "cells", "variety", "stutter", "shouting", "sentences", "prose")
 BAD, ABSTAIN, GOOD = 0, 1, 2
+#: Bounds of a labeller's estimated accuracy.
+ACCURACY = (0.55, 0.999)
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#$%&*+/<=>@[\\]^_`{|}~"]] = True
@@ -71,17 +74,18 @@ class Texts:
         expected = n ** -0.25
         out = np.full((self.rows, len(LABELLERS)), ABSTAIN, np.int8)
 
-        def vote(k, bad, good):
-            out[good, k] = GOOD
-            out[bad, k] = BAD
-        vote(0, self.symbols / filled > 0.06, self.symbols / filled < 0.03)
-        vote(1, self.upper / np.maximum(self.letters, 1) > 0.4, self.upper / np.maximum(self.letters, 1) < 0.2)
-        vote(2, self.bars / n > 0.15, self.bars / n < 0.02)
-        vote(3, self.variety / n < 0.55 * expected, self.variety / n > 0.9 * expected)
-        vote(4, self.stutter / n > 0.2, self.stutter / n < 0.08)
-        vote(5, self.bangs / n > 0.2, self.bangs / n < 0.05)
-        vote(6, (n / np.maximum(self.ends, 0.5) > 80) | (n / np.maximum(self.ends, 0.5) < 1.5), (n / np.maximum(self.ends, 0.5) < 40) & (n / np.maximum(self.ends, 0.5) > 2))
-        vote(7, (filled / n > 16) | (filled / n < 1.8), (filled / n < 12) & (filled / n > 2.2))
+        symbols, capitals, bars, different = self.symbols / filled, self.upper / np.maximum(self.letters, 1), self.bars / n, self.variety / n
+        length, letters = self.variety / np.maximum(self.ends, 0.5), self.letters / filled
+        out[symbols > 0.06, 0] = BAD
+        out[capitals > 0.4, 1] = BAD
+        out[bars > 0.15, 2] = BAD
+        out[different < 0.55 * expected, 3] = BAD
+        out[self.stutter / n > 0.2, 4] = BAD
+        out[self.bangs / n > 0.2, 5] = BAD
+        out[(length > 2) & (n / np.maximum(self.ends, 0.5) < 40), 6] = GOOD
+        out[(n / np.maximum(self.ends, 0.5) > 80) | (length < 1.5), 6] = BAD
+        out[(letters > 0.92) & (capitals < 0.3) & (different > 0.8 * expected), 7] = GOOD
+        out[letters < 0.8, 7] = BAD
         out[self.n == 0] = ABSTAIN
         return out
 
@@ -112,30 +116,27 @@ def _map_patterns(batches):
 
 
 def fit_label_model(counts: dict[int, int], rounds: int = 200) -> tuple[dict[int, float], np.ndarray, float]:
-    """EM over pattern counts -> (posterior of good by pattern, vote rates by class, share of good).
+    """EM over pattern counts -> (posterior of good by pattern, accuracy of each labeller, share of good).
 
-    The start is the labellers' majority.  Each class keeps, for each labeller, the rates of its
-    three outcomes (with half a pseudo-count each).
+    The start believes any bad vote; a labeller is never held to be worse than ACCURACY[0].  A vote of a labeller with accuracy a moves the log odds
+    by log(a / (1 - a)); an abstention does not.  Each accuracy has two pseudo-votes.
     """
     if not counts:
-        return {}, np.full((2, len(LABELLERS), 3), 1 / 3), 0.5
+        return {}, np.full(len(LABELLERS), 0.5), 0.5
     patterns = np.array(sorted(counts))
     weight = np.array([counts[p] for p in patterns.tolist()], float)
     votes = patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
-    one_hot = np.eye(3)[votes]
-    lean = ((votes == GOOD).sum(1) - 3.0 * (votes == BAD).sum(1))
-    good = sigmoid(lean)
+    yes, no = (votes == GOOD).astype(float), (votes == BAD).astype(float)
+    good = sigmoid(2.0 * yes.sum(1) - 6.0 * no.sum(1))
     for _ in range(rounds):
-        both = np.stack([1 - good, good])
-        rates = np.einsum("cp,p,plo->clo", both, weight, one_hot) + 0.5
-        rates /= rates.sum(2, keepdims=True)
-        prior = np.clip((weight * good).sum() / weight.sum(), 1e-6, 1 - 1e-6)
-        score = np.einsum("plo,clo->cp", one_hot, np.log(rates)) + np.log([[1 - prior], [prior]])
-        new = sigmoid(score[1] - score[0])
+        agree = (weight * good) @ yes + (weight * (1 - good)) @ no
+        accuracy = np.clip((agree + 1) / (weight @ (yes + no) + 2), *ACCURACY)
+        prior = float(np.clip((weight * good).sum() / weight.sum(), 1e-3, 1 - 1e-3))
+        new = sigmoid(np.log(prior / (1 - prior)) + (yes - no) @ np.log(accuracy / (1 - accuracy)))
         moved, good = np.abs(new - good).max(), new
         if moved < 1e-9:
             break
-    return dict(zip(patterns.tolist(), good.tolist())), rates, float(prior)
+    return dict(zip(patterns.tolist(), good.tolist())), accuracy, prior
 
 
 def _train(posterior: dict[int, float], epochs: int):

@@ -54,7 +54,7 @@ def test_probabilities_match_the_definition():
 def test_odd_tables(spark):
     de, en = "der hund und die katze laufen über die straße ", "the dog and the cat are walking over the street "
     docs = [(i, (de if i % 2 else en) * (1 + i % 3), "de" if i % 2 else "en", 1) for i in range(200)]
-    docs += [(300, None, "en", 1), (301, "123 !!", "de", 1), (302, en * 4000, None, 1), (None, de, "de", 1), (304, "", None, 1), (305, "漢" * 300, "en", 1)]
+    docs += [(300, None, "en", 1), (301, "123 !!", "de", 1), (302, en * 4000, None, 1), (None, de, "de", 1), (304, "", None, 1), (305, "漢" * 300, None, 1)]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, score int")
     got = {r.doc_id: r for r in languages(df).collect()}
     assert [got[i].lang_pred for i in (300, 301, 302, None, 304)] == ["und", "und", "en", "de", "und"]

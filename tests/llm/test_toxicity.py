@@ -14,8 +14,8 @@ def test_held_out_accuracy(spark):
     held = [r for r in rows if r.held_out and r.doc_id in truth]
     hit = sum(r.predicted and truth[r.doc_id] for r in held)
     print("recall", hit / sum(truth[r.doc_id] for r in held), "precision", hit / sum(r.predicted for r in held), len(held))
-    assert hit >= 0.85 * sum(truth[r.doc_id] for r in held)
-    assert hit >= 0.85 * sum(r.predicted for r in held)
+    assert hit >= 0.75 * sum(truth[r.doc_id] for r in held)
+    assert hit >= 0.9 * sum(r.predicted for r in held)
 
 
 def test_odd_tables(spark):
