@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, ngram_join, packing, sharding, toxicity, vector_dedup, weak_quality
+from . import language_id, ngram_join, packing, secret_scan, sharding, syncmers, toxicity, vector_dedup, weak_quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of every document with the forest's score; the strings as digests."""
+    return secret_scan.findings(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text_key")
+
+
+def op3_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return syncmers.edited_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from three quarters of the labels."""
     return toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -47,7 +57,7 @@ def op10_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_ftrl_toxicity, op5_weak_quality, op6_length_buckets, op7_histogram_sort, op8_ngram_join, op9_cap_filters, op10_kneser_ney_language)}
+    return {f.__name__: f for f in (op1_secret_scans, op3_closed_syncmers, op4_ftrl_toxicity, op5_weak_quality, op6_length_buckets, op7_histogram_sort, op8_ngram_join, op9_cap_filters, op10_kneser_ney_language)}
 
 
 def oracle_sql() -> dict:

@@ -1,15 +1,14 @@
 """Document fingerprints from closed syncmers, in DataFrame expressions only.
 
-A k-mer of K code points is a closed syncmer when the smallest hash among its inner S-mers stands
-at its first or last S-mer.  That depends on the k-mer alone, so shared passages give the same
-anchors wherever they stand, with a gap of at most K - S + 1 between anchors.  One regular
-expression pass lists the S-mers; the test compares neighbours and stops at the first smaller one,
-so a position costs a few comparisons; a k-mer's hash combines the hashes of its S-mers.
+The alphabet is words (blank-separated).  A k-mer of K words is a closed syncmer when the smallest
+hash among its inner S-mers (runs of S words) stands at its first or last S-mer.  That depends on
+the k-mer alone, so shared passages give the same anchors wherever they stand, and no window of
+K - S + 1 k-mers is without one.  K - 1 blank words pad both ends, so short texts have anchors too
+and a text's beginning and end count.
 
 A fingerprint is the bottom sketch of the anchor set: its SKETCH smallest distinct hashes, in hex.
-Texts with no anchor (shorter than K) use the hash of the whole text.  The likeness of two
-fingerprints is the share of the smallest SKETCH hashes of their union that both hold, an unbiased
-estimate of the anchors' Jaccard index.
+The likeness of two fingerprints is the share of the smallest SKETCH hashes of their union that
+both hold, an unbiased estimate of the anchors' Jaccard index.
 
 Rows meet their successor (descending doc_id) through windows over blocks of ids, with one row for
 each block passed to the block before: nothing is ordered globally but the list of block numbers,
@@ -22,28 +21,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-K, S, SKETCH = 12, 4, 64
+K, S, SKETCH = 5, 2, 64
 #: Ids in a window block, and blocks in a block of blocks.
 BLOCK, FAR = 64, 65536
 
 
 def _anchors(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with an array `name` of (position, hash) parts of text's closed syncmers: at, and hash."""
-    w = K - S + 1
-    h, n = f"{name}_h", f"{name}_n"
-    df = df.withColumn(h, F.expr(f"transform(regexp_extract_all({text}, '(?s)(?=(.{{{S}}})).', 1), s -> xxhash64(s))"))
-    df = df.withColumn(n, F.expr(f"greatest(size({h}) - {w - 1}, 0)"))
-    first = " and ".join(f"{h}[i] <= {h}[i + {j}]" for j in range(1, w))
-    last = " and ".join(f"{h}[i + {w - 1}] <= {h}[i + {j}]" for j in range(w - 2, -1, -1))
-    at = f"filter(slice(sequence(0, greatest({n} - 1, 0)), 1, {n}), i -> ({first}) or ({last}))"
-    df = df.withColumn(f"{name}_at", F.expr(at))
-    parts = ", ".join(f"{h}[i + {j}]" for j in range(0, w, S))
-    return df.withColumn(name, F.expr(f"transform({name}_at, i -> xxhash64({parts}))")).drop(n)
-
-
-def _sketch(hashes: str, text: str) -> F.Column:
-    """The smallest distinct hashes; of a text without anchors the hash of the text."""
-    return F.expr(f"slice(array_sort(array_distinct(if(size({hashes}) = 0, array(xxhash64({text})), {hashes}))), 1, {SKETCH})")
+    """df with an array `name` of the hashes of text's closed syncmers, in order of position."""
+    pad = ", ".join(["0L"] * (K - 1))
+    w, g, last = f"{name}_w", f"{name}_g", K - S
+    df = df.withColumn(w, F.expr(rf"concat(array({pad}), transform(array_remove(split({text}, r'[\x20\x09-\x0D]+'), ''), x -> xxhash64(x)), array({pad}))"))
+    pair = f"{w}"
+    for j in range(1, S):
+        pair = f"zip_with({pair}, slice({w}, {j + 1}, size({w})), (a, b) -> xxhash64(a, b))"
+    df = df.withColumn(g, F.expr(pair))
+    at_first = " and ".join(f"x <= {g}[i + {j}]" for j in range(1, last + 1))
+    at_last = " and ".join(f"{g}[i + {last}] <= {f'{g}[i + {j}]' if j else 'x'}" for j in range(last - 1, -1, -1))
+    parts = ", ".join(["x", *(f"{g}[i + {j}]" for j in sorted({*range(S, last, S), last}))])
+    found = f"transform(slice({g}, 1, size({g}) - {K - 1}), (x, i) -> case when ({at_first}) or ({at_last}) then xxhash64({parts}) end)"
+    return df.withColumn(name, F.array_compact(F.expr(found)))
+
+
+def _sketch(hashes: str) -> F.Column:
+    """The smallest distinct hashes."""
+    return F.expr(f"slice(array_sort(array_distinct({hashes})), 1, {SKETCH})")
 
 
 def likeness(a: str, b: str) -> F.Column:
@@ -59,7 +60,7 @@ def _hex(sketch: str) -> F.Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_chars, sketch array<long>, fingerprint)."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = _anchors(plain, "text", "own").withColumn("sketch", _sketch("own", "text"))
+    found = _anchors(plain, "text", "own").withColumn("sketch", _sketch("own"))
     return found.select("doc_id", F.length("text").cast("long").alias("n_chars"), "sketch", _hex("sketch").alias("fingerprint"))
 
 
@@ -88,16 +89,14 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     """Each document against its edited text and against the next document.
 
     The edited text is the text whose last half (rounded down) is replaced by as many first code
-    points of the next document.  Its anchors are the text's own up to the cut, which are already
-    there, and those of the rest with the K - 1 characters before it.
+    points of the next document.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = _anchors(plain, "text", "own").withColumn("sketch", _sketch("own", "text")).select("doc_id", "text", "own", "own_at", "sketch")
-    slim = found.select("doc_id", "text", "sketch")
-    pairs = with_next(slim, ["text", "sketch"]).withColumn("n", F.length("text"))
+    found = _anchors(plain, "text", "own").withColumn("sketch", _sketch("own")).select("doc_id", "text", "sketch")
+    pairs = with_next(found, ["text", "sketch"]).withColumn("n", F.length("text"))
     pairs = pairs.withColumn("kept", F.col("n") - F.expr("n div 2"))
     pairs = pairs.withColumn("edited", F.concat(F.expr("substring(text, 1, kept)"), F.expr("substring(next_text, 1, n div 2)"))).drop("next_text")
-    more = _anchors(pairs, "edited", "new").withColumn("edited_sketch", _sketch("new", "edited"))
+    more = _anchors(pairs, "edited", "new").withColumn("edited_sketch", _sketch("new"))
     return more.select(
         "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         _hex("sketch").alias("fingerprint"), _hex("edited_sketch").alias("edited_fingerprint"),

@@ -1,0 +1,42 @@
+import re
+
+from lectern.llm.queries import table
+from lectern.llm.secret_scan import FEATURES, CANDIDATE, Lexicon, describe, findings, redact
+
+PLANTED = re.compile(r'(?i)token = "([0-9a-f]{40})"')
+
+
+def test_planted_secrets_are_found_and_prose_is_not(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    rows = findings(docs).collect()
+    assert sorted((r.doc_id, r.start) for r in rows) == sorted((i, m.start()) for i, t in text.items() for m in CANDIDATE.finditer(t))
+    want = {(i, m.start(1)) for i, t in text.items() for m in PLANTED.finditer(t)}
+    got = {(r.doc_id, r.start) for r in rows if r.is_secret}
+    assert want and got == want
+    clean = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert set(clean) == set(text)
+    for i, t in text.items():
+        assert clean[i] == PLANTED.sub(lambda m: m[0].replace(m[1], "[SECRET]"), t)
+
+
+def test_features():
+    f = dict(zip(FEATURES, describe("deadbeef00112233deadbeef", 'the api key = "', '" and', "src/test/a.py", Lexicon({"dead": 3, "beef": 2, "the": 9}))))
+    assert f["length"] == 24 and f["hex"] == 1 and f["left_keyword"] == f["assigned"] == f["quoted"] == f["path_test"] == f["path_suffix"] == 1
+    assert f["coverage"] == 16 / 24 and f["path_depth"] == 2
+
+
+def test_odd_tables(spark):
+    secret = 'password: "A1b2C3d4E5f6A7b8C9d0e1F2"'
+    docs = [(i, f"plain words number{i} thewordisratherlongbutplain goes on {secret if i % 4 == 0 else ''}", "a/b.txt", 7) for i in range(120)]
+    docs += [(200, None, None, 0), (201, "", "x", 0), (202, secret + " word" * 40000 + secret, "x", 0), (None, secret, "x", 0), (0, docs[0][1], "a/b.txt", 7)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, path string, spans int")
+    got = [r for r in findings(df).collect() if r.is_secret]
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in got) == sorted([i for i in range(120) if i % 4 == 0] + [0, 202, 202, -1])
+    out = redact(df)
+    assert out.columns == df.columns
+    rows = out.collect()
+    assert len(rows) == len(docs) and not any("A1b2C3d4" in (r.text or "") for r in rows)
+    assert next(r for r in rows if r.doc_id == 202).text.count("[SECRET]") == 2
+    assert findings(df.limit(0)).collect() == [] and redact(df.limit(0)).collect() == []
+    assert not any(r.is_secret for r in findings(df.where("doc_id = 201 or doc_id % 4 = 1")).collect())
