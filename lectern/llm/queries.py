@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language_id, ngram_join, packing, secret_scan, sharding, syncmers, toxicity, vector_dedup, weak_quality
+from . import language_id, ngram_join, packing, piece_sampling, secret_scan, sharding, syncmers, toxicity, vector_dedup, weak_quality
+
+
+#: Folder of the public tokenizers' files; a parameter, never copied here.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +21,14 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.findings(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text_key")
 
 
+def op2_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three distinct sampled segmentations of every document, as digests, and their decoding."""
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    encoded = piece_sampling.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, samples=3)
+    slim = encoded.withColumn("n_pieces", F.size("ids")).withColumn("ids_hash", F.xxhash64("ids"))
+    return piece_sampling.decode(slim, model, keep_ids=False).withColumn("round_trip", F.crc32("decoded") == F.col("text_crc32")).drop("decoded")
+
+
 def op3_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
     return syncmers.edited_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -57,7 +70,7 @@ def op10_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scans, op3_closed_syncmers, op4_ftrl_toxicity, op5_weak_quality, op6_length_buckets, op7_histogram_sort, op8_ngram_join, op9_cap_filters, op10_kneser_ney_language)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_sampled_pieces, op3_closed_syncmers, op4_ftrl_toxicity, op5_weak_quality, op6_length_buckets, op7_histogram_sort, op8_ngram_join, op9_cap_filters, op10_kneser_ney_language)}
 
 
 def oracle_sql() -> dict:
