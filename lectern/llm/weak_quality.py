@@ -82,7 +82,7 @@ class Texts:
         out[different < 0.55 * expected, 3] = BAD
         out[self.stutter / n > 0.2, 4] = BAD
         out[self.bangs / n > 0.2, 5] = BAD
-        out[(length > 2) & (n / np.maximum(self.ends, 0.5) < 40), 6] = GOOD
+        out[(length > 2) & (n / np.maximum(self.ends, 0.5) < 40) & (symbols < 0.03), 6] = GOOD
         out[(n / np.maximum(self.ends, 0.5) > 80) | (length < 1.5), 6] = BAD
         out[(letters > 0.92) & (capitals < 0.3) & (different > 0.8 * expected), 7] = GOOD
         out[letters < 0.8, 7] = BAD
@@ -150,7 +150,7 @@ def _train(posterior: dict[int, float], epochs: int):
                 cuts = np.searchsorted(d, np.arange(t.rows + 1))
                 goal = [posterior.get(int(p), 0.5) for p in _pattern(t.votes())]
                 rows += [(f[a:b].copy(), v[a:b].copy(), y) for a, b, y in zip(cuts[:-1], cuts[1:], goal) if b > a]
-        model = Ftrl(alpha=0.5, l1=0.05, l2=0.01)
+        model = Ftrl(alpha=1.0, l1=0.05, l2=0.01)
         for _ in range(epochs):
             for x, v, y in rows:
                 model.learn(x, v, y)
@@ -184,7 +184,7 @@ def _fit(docs: DataFrame, bound: int, epochs: int):
     return w, posterior
 
 
-def quality(docs: DataFrame, bound: int = 8000, epochs: int = 4, keep_at: float = 0.5) -> DataFrame:
+def quality(docs: DataFrame, bound: int = 8000, epochs: int = 8, keep_at: float = 0.5) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, score, label_posterior, keep), a row per row."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     w, posterior = _fit(plain, bound, epochs)
@@ -208,7 +208,7 @@ def _keep(shared, keep_at: float, name: str):
     return run
 
 
-def keep_good(docs: DataFrame, bound: int = 8000, epochs: int = 4, keep_at: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, bound: int = 8000, epochs: int = 8, keep_at: float = 0.5) -> DataFrame:
     """The rows of docs whose text scores keep_at or more, with all their columns: one pass, no join."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     w, _ = _fit(plain, bound, epochs)
