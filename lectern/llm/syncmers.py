@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import durable
+
 K, S, SKETCH = 5, 2, 64
 #: Ids in a window block, and blocks in a block of blocks.
 BLOCK, FAR = 64, 65536
@@ -64,40 +66,45 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.length("text").cast("long").alias("n_chars"), "sketch", _hex("sketch").alias("fingerprint"))
 
 
-def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
-    """rows(doc_id, text, ...) with next_<c> for each carried column: of the row after it in
-    descending (doc_id, text), and of the first row for the last."""
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").desc()]
-    rows = rows.withColumn("block", F.expr(f"doc_id div {BLOCK}")).withColumn("block", F.coalesce("block", F.lit(-(1 << 62))))
-    w = Window.partitionBy("block").orderBy(*order)
-    led = rows.withColumn("next", F.lead(F.struct(*carried)).over(w)).withColumn("rank", F.row_number().over(w))
-    heads = led.where("rank = 1").select("block", F.struct(*carried).alias("head"))
-    # the block below each block: in blocks of blocks, whose edges alone are ordered as a whole
+def _below(heads: DataFrame) -> DataFrame:
+    """(block, below): the next lower block of each block, or the highest for the lowest.
+
+    Blocks are ordered inside blocks of blocks; only the edges of those are ordered as a whole.
+    """
     blocks = heads.select("block", F.expr(f"block div {FAR}").alias("far"))
     near = Window.partitionBy("far").orderBy(F.col("block").desc())
     below = blocks.select("block", "far", F.lead("block").over(near).alias("below"))
     edges = blocks.groupBy("far").agg(F.max("block").alias("top"))
-    far = edges.select("far", F.lead("top").over(Window.orderBy(F.col("far").desc())).alias("far_below"), F.max("top").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("top"))
-    below = below.join(far, "far").select("block", F.coalesce("below", "far_below", "top").alias("below"))
-    heads = below.join(heads.withColumnRenamed("block", "below"), "below").select("block", "head")
-    inner, ends = led.where("next is not null"), led.where("next is null").drop("next")
-    whole = inner.select(*rows.columns, "next").unionByName(ends.join(heads, "block").select(*rows.columns, F.col("head").alias("next")))
-    return whole.select(*(c for c in rows.columns if c != "block"), *(F.col(f"next.{c}").alias(f"next_{c}") for c in carried))
+    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    far = edges.select("far", F.lead("top").over(Window.orderBy(F.col("far").desc())).alias("far_below"), F.max("top").over(whole).alias("top"))
+    return below.join(far, "far").select("block", F.coalesce("below", "far_below", "top").alias("below"))
+
+
+def _edit(rows: DataFrame) -> DataFrame:
+    """rows(text, next_text) with the edited text's digest and sketch, null where next_text is."""
+    kept = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - length(text) div 2)"), F.expr("substring(next_text, 1, length(text) div 2)")))
+    return _anchors(kept, "edited", "new").withColumn("edited_sketch", _sketch("new")).withColumn("edited_sha256", F.sha2("edited", 256))
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
-    """Each document against its edited text and against the next document.
+    """Each document against its edited text and against the next document (descending doc_id).
 
     The edited text is the text whose last half (rounded down) is replaced by as many first code
-    points of the next document.
+    points of the next document.  Texts move once, to the window blocks; what leaves them is
+    sketches, and the texts of each block's first and last row.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = _anchors(plain, "text", "own").withColumn("sketch", _sketch("own")).select("doc_id", "text", "sketch")
-    pairs = with_next(found, ["text", "sketch"]).withColumn("n", F.length("text"))
-    pairs = pairs.withColumn("kept", F.col("n") - F.expr("n div 2"))
-    pairs = pairs.withColumn("edited", F.concat(F.expr("substring(text, 1, kept)"), F.expr("substring(next_text, 1, n div 2)"))).drop("next_text")
-    more = _anchors(pairs, "edited", "new").withColumn("edited_sketch", _sketch("new"))
-    return more.select(
-        "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        _hex("sketch").alias("fingerprint"), _hex("edited_sketch").alias("edited_fingerprint"),
+    rows = plain.withColumn("block", F.coalesce(F.expr(f"doc_id div {BLOCK}"), F.lit(-(1 << 62))))
+    w = Window.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    led = rows.withColumn("next_text", F.lead("text").over(w)).withColumn("head", F.row_number().over(w) == 1)
+    led = _anchors(led, "text", "own").withColumn("sketch", _sketch("own")).select("doc_id", "block", "text", "next_text", "head", "sketch")
+    led = led.withColumn("next_sketch", F.lead("sketch").over(w)).withColumn("end", F.col("next_text").isNull())
+    slim = ["doc_id", "n", "sketch", "next_sketch", "edited_sketch", "edited_sha256"]
+    known = durable(_edit(led).select("doc_id", F.length("text").cast("long").alias("n"), "sketch", "next_sketch", "edited_sketch", "edited_sha256",
+                                      "block", "head", "end", F.when(F.col("end") | F.col("head"), F.col("text")).alias("text")))
+    heads = known.where("head").select("block", F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch"))
+    ends = known.where("end").select("doc_id", "n", "sketch", "block", "text").join(_below(heads), "block")
+    last = _edit(ends.join(heads.withColumnRenamed("block", "below"), "below"))
+    return known.where("not end").select(slim).unionByName(last.select(slim)).select(
+        "doc_id", F.col("n").alias("n_chars"), "edited_sha256", _hex("sketch").alias("fingerprint"), _hex("edited_sketch").alias("edited_fingerprint"),
         likeness("sketch", "edited_sketch").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"))
