@@ -142,12 +142,32 @@ def run_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def uniform(*keys) -> np.ndarray:
-    """Doubles in (0, 1) that depend on the integer keys alone (counter-based)."""
-    h = np.uint64(0x243F6A8885A308D3)
+def fold_key(h: int, k: int) -> int:
+    """One step of `uniform`'s hash, for plain integers."""
+    mask = (1 << 64) - 1
+    h = (h + k * 0x9E3779B97F4A7C15 + 1) & mask
+    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & mask
+    h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & mask
+    return h ^ (h >> 31)
+
+
+def fold_keys(h, k):
+    """One step of `uniform`'s hash; integers stay integers, arrays advance together."""
+    if isinstance(h, int) and not isinstance(k, np.ndarray):
+        return fold_key(h, int(k))
+    h = np.uint64(h) if isinstance(h, int) else h
+    k = k.astype(np.uint64) if isinstance(k, np.ndarray) else np.uint64(int(k) % (1 << 64))
     with np.errstate(over="ignore"):
-        for k in keys:
-            h = mix(np.asarray(h + np.asarray(k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)))
+        return mix(h + (k * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)))
+
+
+def uniform(*keys, seed=0x243F6A8885A308D3):
+    """Doubles in (0, 1) that depend on the integer keys alone (counter-based)."""
+    h = seed
+    for k in keys:
+        h = fold_keys(h, k)
+    if isinstance(h, int):
+        return ((h >> 12) + 0.5) / (1 << 52)
     return ((h >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
 
 

@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, steps, uniform
+from .common import fold_keys, mix, steps, uniform
 
 U = np.uint64
 OFFSET = 10.0
 UNKNOWN = 10.0
 BLANK, LITERAL = "▁", "\ud800"
 CHUNK = re.compile("▁*[^▁\n]+|▁+|\n")
-STEP = 2 << 20
+STEP = 1 << 19
 #: The largest noise that `uniform` can give, rounded up.
 NOISE = 37.0
 _P = U(0x9E3779B97F4A7C15)
@@ -73,6 +73,8 @@ class Pieces:
         self.longest = max(map(len, words.values()))
         self.prefix = np.zeros(1 << 22, bool)
         self.prefix[(mix(np.array(sorted(prefixes), U)) >> U(42)).astype(np.int64)] = True
+        self.whole = np.zeros(1 << 22, bool)
+        self.whole[(mix(self.hash) >> U(42)).astype(np.int64)] = True
         raw = [b""] * n
         for i, w in words.items():
             raw[i] = w.replace(BLANK, " ").encode("utf-8", "surrogatepass")
@@ -101,15 +103,18 @@ class Lattice:
             fits = left[live] >= n
             live, h = live[fits], h[fits]
             h = h * _P + chars[live + n - 1].astype(U) + U(1)
-            some = pieces.prefix[(mix(h) >> U(42)).astype(np.int64)]
-            live, h = live[some], h[some]
+            cell = (mix(h) >> U(42)).astype(np.int64)
+            some = pieces.prefix[cell]
+            live, h, cell = live[some], h[some], cell[some]
             if not len(live):
                 break
-            i = np.minimum(np.searchsorted(pieces.hash, h), len(pieces.hash) - 1)
-            hit = pieces.hash[i] == h
-            found.append((live[hit], np.full(int(hit.sum()), n), pieces.id[i[hit]], pieces.log[i[hit]]))
+            likely = pieces.whole[cell]
+            where, wanted = live[likely], h[likely]
+            i = np.minimum(np.searchsorted(pieces.hash, wanted), len(pieces.hash) - 1)
+            hit = pieces.hash[i] == wanted
+            found.append((where[hit], np.full(int(hit.sum()), n), pieces.id[i[hit]], pieces.log[i[hit]]))
             if n == 1:
-                single[live[hit]] = True
+                single[where[hit]] = True
         bare = place[~single]
         found.append((bare, np.ones(len(bare), np.int64), -chars[bare].astype(np.int64) - 1, np.full(len(bare), pieces.lost)))
         start, length, piece, log = (np.concatenate(x) for x in zip(*found))
@@ -142,14 +147,16 @@ class Lattice:
         self.final = np.zeros(len(mass) + 1, bool)
         self.final[self.first + sizes] = True
 
-    def draw(self, nodes: np.ndarray, *keys) -> tuple[np.ndarray, np.ndarray]:
+    def draw(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(edges, number for each start): from each start node to its chunk's end, by mass."""
         at, who, turn, took = nodes.copy(), np.arange(len(nodes)), 0, []
         busy = ~self.final[at]
         at, who = at[busy], who[busy]
         while len(who):
-            u = uniform(*(k[who] if isinstance(k, np.ndarray) else k for k in keys), turn)
-            e = np.minimum(np.searchsorted(self.key, at + u), len(self.key) - 1)
+            e = self.group[at]
+            more = np.flatnonzero(self.count[at] > 1)
+            u = uniform(turn, seed=keys[who[more]])
+            e[more] = np.minimum(np.searchsorted(self.key, at[more] + u), len(self.key) - 1)
             took.append((who, e))
             at, turn = self.end[e], turn + 1
             busy = ~self.final[at]
@@ -172,7 +179,7 @@ def _gumbel(mean, top, u):
 def _open_nodes(lattice, path, prefix, frm, key, row, sample, seed, queue, wanted):
     """Queue the edges left aside along path[frm:] that could still be among the `wanted` best."""
     depth = len(path)
-    for cut in (prefix[frm] - 70.0 if frm < depth else 0.0, -np.inf):
+    for cut in (prefix[frm] - 46.0 if frm < depth else 0.0, -np.inf):
         stop = frm + int(np.searchsorted(-prefix[frm:depth], -cut, "right")) if cut > -np.inf else depth
         nodes = lattice.begin[path[frm:stop]]
         many = lattice.count[nodes]
@@ -202,14 +209,14 @@ def sample_texts(pieces: Pieces, texts: list[str], rows: np.ndarray, samples: in
     links = np.array([len(f) for f in found], np.int64)
     base = np.cumsum(links) - links
     link = np.arange(len(chain)) - np.repeat(base, links)
-    row_of = np.repeat(rows, links)
+    link_keys = fold_keys(fold_keys(U(seed), np.repeat(rows, links)), link)
     heads = lattice.first[chain]
     queues: list[list] = [[] for _ in texts]
     paths: list[list] = [[] for _ in texts]
     start = [(np.empty(0, np.int64), 0, None, 0.0, float(_gumbel(0.0, np.inf, uniform(seed, int(r), 76)))) for r in rows.tolist()]
     for sample in range(samples):
         # one draw for all texts: the chunk of the divergence from its edge's end, then all later chunks
-        nodes, keys_row, keys_link, owner = [], [], [], []
+        nodes, keys, owner = [], [], []
         for d, s in enumerate(start):
             if s is None or not links[d]:
                 continue
@@ -219,11 +226,10 @@ def sample_texts(pieces: Pieces, texts: list[str], rows: np.ndarray, samples: in
                 part = part.copy()
                 part[0] = s[2]
             nodes.append(part)
-            keys_row.append(row_of[a:base[d] + links[d]])
-            keys_link.append(link[a:base[d] + links[d]])
+            keys.append(link_keys[a:base[d] + links[d]])
             owner.append((d, len(part)))
         if owner:
-            edges, count = lattice.draw(np.concatenate(nodes), seed, np.concatenate(keys_row), np.concatenate(keys_link), sample)
+            edges, count = lattice.draw(np.concatenate(nodes), fold_keys(np.concatenate(keys), sample))
             ends = np.cumsum(count)
             at = 0
         for d, n in owner:
@@ -248,7 +254,7 @@ def sample_texts(pieces: Pieces, texts: list[str], rows: np.ndarray, samples: in
     result = []
     for d in range(len(texts)):
         if not links[d]:
-            result.append([(np.empty(0, np.int32), 0.0, 0.0, 0.0)])
+            result.append([(np.empty(0, np.int64), 0.0, 0.0, 0.0)])
             continue
         rest = -queues[d][0][0] if queues[d] and len(out[d]) == samples else -np.inf
         got = []
@@ -256,15 +262,20 @@ def sample_texts(pieces: Pieces, texts: list[str], rows: np.ndarray, samples: in
             # -exp(relative - rest) is minus the mean number of hits above the threshold
             lift = relative - rest
             inclusion = 0.0 if rest == -np.inf or lift > 30 else float(lift if lift < -30 else np.log(-np.expm1(-np.exp(lift))))
-            got.append((_ids(pieces, lattice.piece[path]), relative, key, inclusion))
+            got.append((path, relative, key, inclusion))
         result.append(got)
-    return result
+    # piece ids of all paths at once
+    flat = [x[0] for g in result for x in g]
+    ids, size = _ids(pieces, lattice.piece[np.concatenate(flat)])
+    cuts = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum([len(x) for x in flat])))]
+    each = iter(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+    return [[(ids[slice(*next(each))], *x[1:]) for x in g] for g in result]
 
 
-def _ids(pieces: Pieces, piece: np.ndarray) -> np.ndarray:
-    """Piece ids of a path; an unknown character becomes the ids of its UTF-8 bytes."""
+def _ids(pieces: Pieces, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, how many for each piece): an unknown character becomes the ids of its UTF-8 bytes."""
     if (piece >= 0).all():
-        return piece.astype(np.int32)
+        return piece.astype(np.int32), np.ones(len(piece), np.int64)
     code = -piece - 1
     code = np.where(code == ord(LITERAL), ord(BLANK), code)
     size = np.where(piece >= 0, 1, 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
@@ -273,7 +284,7 @@ def _ids(pieces: Pieces, piece: np.ndarray) -> np.ndarray:
     c, n, p = code[place], size[place], piece[place]
     later = 0x80 | (c >> np.maximum(6 * (n - 1 - turn), 0)) & 0x3F
     lead = np.where(n == 1, c, (0xF00 >> n) & 0xFF | c >> np.maximum(6 * (n - 1), 0))
-    return np.where(p >= 0, p, pieces.byte_ids[np.where(turn == 0, lead, later) & 0xFF]).astype(np.int32)
+    return np.where(p >= 0, p, pieces.byte_ids[np.where(turn == 0, lead, later) & 0xFF]).astype(np.int32), size
 
 
 def _map_encode(shared, samples: int, seed: int):
