@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import corpus, relational
+
 
 def queries() -> dict:
-    return {}
+    return {**relational.FOUND, **corpus.FOUND}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {**relational.SQL, **corpus.SQL}
