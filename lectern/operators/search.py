@@ -29,6 +29,10 @@ def postings(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return each.groupBy("term", key, "field").agg(F.count("*").alias("tf"))
 
 
+def _times(words: str, term: str) -> Column:
+    return F.size(F.filter(words, lambda x: x == term))
+
+
 def bm25(docs: DataFrame, key: str, fields: list[str], query: str, weights: dict[str, float] | None = None) -> DataFrame:
     """docs with any query term and their `score`, rounded to three digits.
 
@@ -40,7 +44,7 @@ def bm25(docs: DataFrame, key: str, fields: list[str], query: str, weights: dict
     words = {f: tokens(F.coalesce(F.col(f), F.lit(""))) for f in fields}
     counted = docs.select(key, *[c.alias(f"_{f}") for f, c in words.items()])
     for i, t in enumerate(terms):
-        hits = reduce(Column.__add__, [F.size(F.filter(f"_{f}", lambda x, t=t: x == t)) * weights[f] for f in fields])
+        hits = reduce(Column.__add__, [_times(f"_{f}", t) * weights[f] for f in fields])
         counted = counted.withColumn(f"_t{i}", hits)
     counted = counted.select(key, reduce(Column.__add__, [F.size(f"_{f}") for f in fields]).alias("_len"), *[f"_t{i}" for i in range(len(terms))])
     if not terms:
