@@ -25,23 +25,22 @@ returns every text exactly.
 from __future__ import annotations
 
 import heapq
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_keys, mix, steps, uniform
+from .common import fold_keys, mix, powers, steps, uniform
 
 U = np.uint64
 OFFSET = 10.0
 UNKNOWN = 10.0
 BLANK, LITERAL = "▁", "\ud800"
-CHUNK = re.compile("▁*[^▁\n]+|▁+|\n")
 STEP = 1 << 19
-#: The largest noise that `uniform` can give, rounded up.
-NOISE = 37.0
+#: Noise of edges left aside comes from uniforms of at most 1 - FINEST, so it stays below NOISE.
+FINEST = 2.0 ** -33
+NOISE = 23.0
 _P = U(0x9E3779B97F4A7C15)
 
 
@@ -88,13 +87,12 @@ class Pieces:
 class Lattice:
     """The lattices of distinct chunks.  Nodes are numbered chunk by chunk, each with one end node."""
 
-    def __init__(self, pieces: Pieces, chunks: list[str]):
-        sizes = np.array([len(c) for c in chunks], np.int64)
-        chars = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+    def __init__(self, pieces: Pieces, chars: np.ndarray, sizes: np.ndarray):
+        chunks = len(sizes)
         begin = np.cumsum(sizes) - sizes
-        self.first = begin + np.arange(len(chunks))
+        self.first = begin + np.arange(chunks)
         place = np.arange(len(chars))
-        chunk = np.repeat(np.arange(len(chunks)), sizes)
+        chunk = np.repeat(np.arange(chunks), sizes)
         left = (begin + sizes)[chunk] - place
         node = place + chunk
         found, live, h = [], place, np.zeros(len(chars), U)
@@ -118,33 +116,35 @@ class Lattice:
         bare = place[~single]
         found.append((bare, np.ones(len(bare), np.int64), -chars[bare].astype(np.int64) - 1, np.full(len(bare), pieces.lost)))
         start, length, piece, log = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((start, left[start]))
+        order = np.argsort(start, kind="stable")
         start, length, piece, log = start[order], length[order], piece[order], log[order]
-        mass = np.zeros(len(chars) + len(chunks))
-        away = left[start]
-        cuts = np.flatnonzero(np.concatenate(([True], away[1:] != away[:-1], [True])))
+        mass = np.zeros(len(chars) + chunks)
+        first = np.searchsorted(start, place)
+        many = np.diff(np.append(first, len(start)))
+        target = node[start] + length
+        away = np.argsort(left, kind="stable")
+        cuts = np.searchsorted(left[away], np.arange(1, (left[away[-1]] if len(away) else 0) + 2))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            s = start[a:b]
-            value = log[a:b] + mass[node[s] + length[a:b]]
-            g = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            if a == b:
+                continue
+            s = away[a:b]
+            n = many[s]
+            g = np.cumsum(n) - n
+            e = np.arange(int(n.sum())) + np.repeat(first[s] - g, n)
+            value = log[e] + mass[target[e]]
             top = np.maximum.reduceat(value, g)
-            total = np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.append(g, b - a)))), g)
-            mass[node[s[g]]] = top + np.log(total)
-        order = np.argsort(start, kind="stable")
-        start, length, piece, log = start[order], length[order], piece[order], log[order]
-        self.begin, self.end, self.piece, self.log = node[start], node[start] + length, piece, log
+            mass[node[s]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n)), g))
+        self.begin, self.end, self.piece = node[start], target, piece
         self.share = log + mass[self.end] - mass[self.begin]
         total = np.cumsum(np.exp(self.share))
-        g = np.flatnonzero(np.concatenate(([True], start[1:] != start[:-1])))
-        base = np.concatenate(([0.0], total))[g]
-        within = total - np.repeat(base, np.diff(np.append(g, len(start))))
-        within[np.append(g[1:], len(start)) - 1] = 1.0
-        self.key = self.begin + np.minimum(within, 1.0)
-        self.group = np.full(len(mass) + 1, len(start))
-        self.group[self.begin[g]] = g
-        self.count = np.zeros(len(mass) + 1, np.int64)
-        self.count[self.begin[g]] = np.diff(np.append(g, len(start)))
-        self.final = np.zeros(len(mass) + 1, bool)
+        base = np.concatenate(([0.0], total))[first]
+        self.within = total - np.repeat(base, many)
+        self.within[first + many - 1] = 2.0
+        self.group = np.full(len(mass), len(start))
+        self.group[node] = first
+        self.count = np.zeros(len(mass), np.int64)
+        self.count[node] = many
+        self.final = np.zeros(len(mass), bool)
         self.final[self.first + sizes] = True
 
     def draw(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,9 +154,12 @@ class Lattice:
         at, who = at[busy], who[busy]
         while len(who):
             e = self.group[at]
-            more = np.flatnonzero(self.count[at] > 1)
-            u = uniform(turn, seed=keys[who[more]])
-            e[more] = np.minimum(np.searchsorted(self.key, at[more] + u), len(self.key) - 1)
+            walk = np.flatnonzero(self.count[at] > 1)
+            u = uniform(turn, seed=keys[who[walk]])
+            while len(walk):
+                further = u > self.within[e[walk]]
+                walk, u = walk[further], u[further]
+                e[walk] += 1
             took.append((who, e))
             at, turn = self.end[e], turn + 1
             busy = ~self.final[at]
@@ -176,37 +179,84 @@ def _gumbel(mean, top, u):
         return mean - np.log(np.exp(mean - top) - np.log(u))
 
 
-def _open_nodes(lattice, path, prefix, frm, key, row, sample, seed, queue, wanted):
-    """Queue the edges left aside along path[frm:] that could still be among the `wanted` best."""
-    depth = len(path)
-    for cut in (prefix[frm] - 46.0 if frm < depth else 0.0, -np.inf):
-        stop = frm + int(np.searchsorted(-prefix[frm:depth], -cut, "right")) if cut > -np.inf else depth
-        nodes = lattice.begin[path[frm:stop]]
-        many = lattice.count[nodes]
-        at = np.repeat(np.arange(stop - frm), many)
-        edge = np.repeat(lattice.group[nodes], many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-        side = edge != path[frm + at]
-        at, edge = at[side] + frm, edge[side]
-        mean = prefix[at] + lattice.share[edge]
-        g = _gumbel(mean, key, uniform(seed, row, sample, at, edge - lattice.group[lattice.begin[edge]], 77))
-        best = np.argpartition(-g, wanted)[:wanted + 1] if len(g) > wanted + 1 else np.arange(len(g))
-        if stop == depth or (len(best) > wanted and g[best].min() > cut + NOISE):
-            break
-    for i in best.tolist():
-        heapq.heappush(queue, (-float(g[i]), sample, int(at[i]), int(edge[i]), float(mean[i])))
+def _left_aside(lattice, edges, cum, begin, stop, mean, key, row, depth, sample, seed, wanted):
+    """For paths edges[begin:stop], the `wanted` best edges left aside: (path, place, edge, mean, key).
+
+    cum sums the edges' log shares; mean is a path's log mass at its begin, depth its place there.
+    """
+    size = stop - begin
+    path = np.repeat(np.arange(len(begin)), size)
+    at = np.arange(len(path)) + np.repeat(begin - (np.cumsum(size) - size), size)
+    nodes = lattice.begin[edges[at]]
+    many = lattice.count[nodes]
+    rank = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    at, path = np.repeat(at, many), np.repeat(path, many)
+    edge = np.repeat(lattice.group[nodes], many) + rank
+    side = edge != edges[at]
+    at, path, edge, rank = at[side], path[side], edge[side], rank[side]
+    log = mean[path] + cum[at] - cum[begin[path]] + lattice.share[edge]
+    place = depth[path] + at - begin[path]
+    g = _gumbel(log, key[path], np.minimum(1 - FINEST, uniform(place, rank, 77, seed=fold_keys(fold_keys(U(seed), row[path]), sample))))
+    order = np.lexsort((-g, path))
+    path, g = path[order], g[order]
+    nth = np.arange(len(path)) - np.searchsorted(path, path)
+    best = nth < wanted
+    order = order[best]
+    return path[best], place[order], edge[order], log[order], g[best]
+
+
+def _open_nodes(lattice, edges, begin, end, mean, key, row, depth, sample, seed, wanted, push):
+    """Push the edges left aside along edges[begin:end] that can still be among the `wanted` best."""
+    cum = np.concatenate(([0.0], np.cumsum(lattice.share[edges])))
+    stop = np.minimum(end, np.searchsorted(-cum, 32.0 - cum[begin], "right"))
+    got = _left_aside(lattice, edges, cum, begin, stop, mean, key, row, depth, sample, seed, wanted)
+    worst = np.full(len(begin), np.inf)
+    np.minimum.at(worst, got[0], got[4])
+    found = np.bincount(got[0], minlength=len(begin))
+    deeper = (stop < end) & ((found < wanted) | (worst <= mean + cum[stop] - cum[begin] + NOISE))
+    for path, place, edge, log, g in zip(*(x[~deeper[got[0]]].tolist() for x in got)):
+        push(path, place, edge, log, g)
+    again = np.flatnonzero(deeper)
+    if len(again):
+        got = _left_aside(lattice, edges, cum, *(x[again] for x in (begin, end, mean, key, row, depth)), sample, seed, wanted)
+        for path, place, edge, log, g in zip(*(x.tolist() for x in got)):
+            push(again[path], place, edge, log, g)
+
+
+def _chains(pieces: Pieces, texts: list[str]):
+    """(chunk numbers of all texts in a row, chunks of each text, lattice of the distinct chunks).
+
+    A chunk begins at a text's begin, at and after a line break, and where blanks follow something
+    else; chunks are told apart by 64-bit hashes.
+    """
+    chars = np.frombuffer("".join(" " + t if t else "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    chars = np.where(chars == ord(BLANK), ord(LITERAL), np.where(chars == 32, ord(BLANK), chars)).astype(np.uint32)
+    edges = np.concatenate(([0], np.cumsum([len(t) + 1 if t else 0 for t in texts])))
+    n = len(chars)
+    if not n:
+        return np.empty(0, np.int64), np.zeros(len(texts), np.int64), None
+    blank, line = chars == ord(BLANK), chars == 10
+    begins = line.copy()
+    begins[1:] |= line[:-1] | (blank[1:] & ~blank[:-1])
+    begins[edges[:-1][edges[:-1] < edges[1:]]] = True
+    starts = np.flatnonzero(begins)
+    stops = np.append(starts[1:], n)
+    up, down = powers(n + 1)
+    sums = np.zeros(n + 1, U)
+    np.cumsum(mix(chars.astype(U)) * up[:n], out=sums[1:])
+    names = mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(U))
+    _, first, chain = np.unique(names, return_index=True, return_inverse=True)
+    size = (stops - starts)[first]
+    place = np.arange(int(size.sum())) + np.repeat(starts[first] - (np.cumsum(size) - size), size)
+    return chain, np.diff(np.searchsorted(starts, edges)), Lattice(pieces, chars[place], size)
 
 
 def sample_texts(pieces: Pieces, texts: list[str], rows: np.ndarray, samples: int, seed: int):
     """For each text up to `samples` of (ids, log_prob, key, log_inclusion), best key first."""
-    ready = [BLANK + (t.replace(BLANK, LITERAL) if BLANK in t else t).replace(" ", BLANK) if t else "" for t in texts]
-    found = [CHUNK.findall(t) for t in ready]
-    number: dict[str, int] = {}
-    chain = np.array([number.setdefault(c, len(number)) for f in found for c in f], np.int64)
+    chain, links, lattice = _chains(pieces, texts)
     out: list[list] = [[] for _ in texts]
-    if not number:
+    if not len(chain):
         return [[(np.empty(0, np.int32), 0.0, 0.0, 0.0)] for _ in texts]
-    lattice = Lattice(pieces, list(number))
-    links = np.array([len(f) for f in found], np.int64)
     base = np.cumsum(links) - links
     link = np.arange(len(chain)) - np.repeat(base, links)
     link_keys = fold_keys(fold_keys(U(seed), np.repeat(rows, links)), link)
@@ -230,20 +280,21 @@ def sample_texts(pieces: Pieces, texts: list[str], rows: np.ndarray, samples: in
             owner.append((d, len(part)))
         if owner:
             edges, count = lattice.draw(np.concatenate(nodes), fold_keys(np.concatenate(keys), sample))
-            ends = np.cumsum(count)
-            at = 0
-        for d, n in owner:
-            a = int(ends[at - 1]) if at else 0
-            drawn, number_of = edges[a:int(ends[at + n - 1])], count[at:at + n]
-            at += n
-            head, first, node, mean, key = start[d]
-            path = np.concatenate((head, drawn))
-            share = lattice.share[path]
-            prefix = np.concatenate(([0.0], np.cumsum(share)))
-            places = np.concatenate(([len(head)], len(head) + np.cumsum(number_of)))
-            paths[d].append((path, first, places))
-            out[d].append((path, key, float(prefix[-1])))
-            _open_nodes(lattice, path, prefix[:-1], len(head), key, int(rows[d]), sample, seed, queues[d], samples - sample)
+            ends = np.concatenate(([0], np.cumsum(count)))
+            number = np.array([n for _, n in owner])
+            last = np.cumsum(number)
+            begin, end = ends[last - number], ends[last]
+            texts_of = [d for d, _ in owner]
+            mean, key, depth = (np.array([f(start[d]) for d in texts_of]) for f in (lambda s: s[3], lambda s: s[4], lambda s: len(s[0])))
+
+            def push(i, place, edge, log, g):
+                heapq.heappush(queues[texts_of[i]], (-g, sample, place, edge, log))
+            _open_nodes(lattice, edges, begin, end, mean, key, rows[texts_of], depth, sample, seed, samples - sample, push)
+            for k, d in enumerate(texts_of):
+                drawn = edges[begin[k]:end[k]]
+                head, first = start[d][:2]
+                paths[d].append((np.concatenate((head, drawn)), first, len(head) + ends[last[k] - number[k]:last[k] + 1] - begin[k]))
+                out[d].append((paths[d][-1][0], start[d][4], start[d][3] + float(lattice.share[drawn].sum())))
         for d in range(len(texts)):
             start[d] = None
             if links[d] and queues[d] and sample + 1 < samples:
