@@ -65,7 +65,7 @@ def flip_name(x) -> Column:
 
 def given_name(x) -> Column:
     parts = F.split(F.trim(col(x)), r"\s+")
-    return F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 1, F.size(parts) - 1), " ")).otherwise(parts[0])
+    return F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 1, F.size(parts) - 1), " ")).otherwise(F.get(parts, F.lit(0)))
 
 
 def family_name(x) -> Column:
@@ -76,7 +76,7 @@ def apa_name(x) -> Column:
     """'Ada B. Lovelace' to 'Lovelace, A. B.'; a single word stays."""
     parts = F.split(F.trim(col(x)), r"\s+")
     initials = F.array_join(F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lit("."))), " ")
-    return F.when(F.size(parts) > 1, F.concat_ws(", ", F.element_at(parts, -1), initials)).otherwise(parts[0])
+    return F.when(F.size(parts) > 1, F.concat_ws(", ", F.element_at(parts, -1), initials)).otherwise(F.get(parts, F.lit(0)))
 
 
 def page_range(citation, file_name) -> Column:
@@ -181,7 +181,7 @@ def strip_repeated_suffix(x) -> Column:
     def twice(n):
         return F.slice(words, F.size(words) - n + 1, n) == F.slice(words, F.size(words) - 2 * n + 1, n)
     sizes = F.when(F.size(words) >= 4, F.sequence(F.floor(F.size(words) / 2).cast("int"), F.lit(2), F.lit(-1)))
-    best = F.filter(sizes, twice)[0]
+    best = F.get(F.filter(sizes, twice), F.lit(0))
     return F.when(best.isNotNull(), F.array_join(F.slice(words, 1, F.size(words) - best), " ")).otherwise(F.trim(col(x)))
 
 

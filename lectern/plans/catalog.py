@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import corpus, relational
+from . import corpus, grid, relational
 
 
 def queries() -> dict:
-    return {**relational.FOUND, **corpus.FOUND}
+    return {**relational.FOUND, **corpus.FOUND, **grid.FOUND}
 
 
 def oracle_sql() -> dict:
-    return {**relational.SQL, **corpus.SQL}
+    return {**relational.SQL, **corpus.SQL, **grid.SQL}

@@ -215,7 +215,7 @@ def str43_markdown_cell(spark, d):
 @query()
 def str37_sentences(spark, d):
     s = T.sentences("text")
-    return table(spark, d, "documents").select("doc_id", F.size(s).alias("sentences"), F.element_at(s, 1).alias("first"))
+    return table(spark, d, "documents").select("doc_id", F.size(s).alias("sentences"), F.get(s, F.lit(0)).alias("first"))
 
 
 @query()
