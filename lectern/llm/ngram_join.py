@@ -9,7 +9,8 @@ Plan, every step linear in the corpus but the last:
 1. each task turns its documents into sets; documents with the same set become one *text*;
 2. n-grams travel in packed blocks (delta-coded, grouped by the top bits of their hash) to the
    partition that owns their hash range, which counts exact document frequencies; only n-grams
-   in two or more texts travel on, back to their text;
+   in two or more texts travel on, back to their text (with very many ranges in two hops, coarse
+   then fine, so that blocks stay large);
 3. sets are ordered globally, rare n-grams first.  Two linked texts must share an n-gram among the
    first |set| - ceil(percent * |set|) + 1, so a text whose prefix holds only n-grams of its own
    is done.  The others meet the smallest text of each shared prefix n-gram (a star, never all
@@ -159,6 +160,31 @@ def _map_blocks(width: int, parts: int, held: int):
     return run
 
 
+def _regroup(parts: int, held: int, by_text: bool):
+    """Blocks of coarse ranges in blocks of `parts` fine ones, `held` entries at a time."""
+    def flush(rows):
+        keys, sizes, grams, docs, df = _open(pa.Table.from_pylist(rows, schema=_BLOCK))
+        part = _spread(mix(keys.view(U)), parts)[docs] if by_text else _spread(grams, parts)
+        order = np.lexsort((grams, part))
+        part, grams, docs, df = part[order], grams[order], docs[order], None if df is None else df[order]
+        names, cuts = np.unique(part, return_index=True)
+        out = [_block(p, keys, sizes, grams[a:b], docs[a:b], None if df is None else df[a:b]) for p, a, b in zip(names.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(part)])]
+        return pa.RecordBatch.from_pylist(out, schema=_BLOCK)
+
+    def run(batches):
+        rows, total = [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                rows.append(row)
+                total += row["m"]
+                if total >= held:
+                    yield flush(rows)
+                    rows, total = [], 0
+        if rows:
+            yield flush(rows)
+    return run
+
+
 def _shared(parts: int):
     """Of a hash range: the n-grams that two or more texts have, in blocks by text."""
     def run(table: pa.Table) -> pa.Table:
@@ -375,18 +401,26 @@ def link_texts(texts: DataFrame, percent: int, block_tokens: int) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, parts: int | None = None,
-                     held_entries: int = 3_000_000, block_tokens: int = 2_000_000) -> DataFrame:
+                     held_entries: int = 2_000_000, block_tokens: int = 2_000_000, parts_at_once: int = 1024) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_shingles, component_id), one row per row of docs."""
     spark = docs.sparkSession
     sizes = durable(set_sizes(docs, width))
     if parts is None:
         total = sizes.agg(F.sum("n")).first()[0] or 0
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / held_entries))
+    # a task's blocks thin out as ranges grow in number: beyond parts_at_once, entries go in two hops
+    coarse = parts if parts <= parts_at_once else math.ceil(math.sqrt(parts))
+    parts = coarse * math.ceil(parts / coarse)
+
+    def gathered(blocks: DataFrame, by_text: bool) -> DataFrame:
+        if coarse < parts:
+            blocks = blocks.repartition(coarse, "part").mapInArrow(_regroup(parts, held_entries, by_text), _BLOCK_DDL)
+        return blocks.repartition(parts, "part").groupBy("part")
     texts = sizes.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("doc"))
     plain = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    blocks = plain.mapInArrow(_map_blocks(width, parts, held_entries), _BLOCK_DDL)
-    shared = blocks.repartition(parts, "part").groupBy("part").applyInArrow(_shared(parts), _BLOCK_DDL)
-    ordered = shared.repartition(parts, "part").groupBy("part").applyInArrow(_ordered(percent), "key long, n long, prefix int, grams array<long>, dfs array<int>")
+    blocks = plain.mapInArrow(_map_blocks(width, coarse, held_entries), _BLOCK_DDL)
+    shared = gathered(blocks, False).applyInArrow(_shared(coarse), _BLOCK_DDL)
+    ordered = gathered(shared, True).applyInArrow(_ordered(percent), "key long, n long, prefix int, grams array<long>, dfs array<int>")
     named = durable(ordered.join(texts.where("doc is not null"), ["key", "n"]).select("doc", "n", "prefix", "grams", "dfs"))
     linked = link_texts(named, percent, block_tokens)
     classes = texts.join(linked, "doc", "left").select("key", "n", F.coalesce("component", "doc").alias("component_id"))

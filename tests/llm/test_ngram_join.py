@@ -55,6 +55,13 @@ def test_components_match_brute_force(spark, seed, block):
     assert got == brute(rows)
 
 
+def test_two_hops(spark):
+    rows = corpus(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(df, parts=7, parts_at_once=4, held_entries=500).collect()}
+    assert got == brute(rows)
+
+
 def test_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_components(empty).collect() == []
