@@ -37,7 +37,9 @@ U = np.uint64
 OFFSET = 10.0
 UNKNOWN = 10.0
 BLANK, LITERAL = "▁", "\ud800"
-STEP = 1 << 19
+STEP = 1 << 18
+#: Ids that one vectorised decoding step looks at.
+IDS = 1 << 18
 #: Noise of edges left aside comes from uniforms of at most 1 - FINEST, so it stays below NOISE.
 FINEST = 2.0 ** -33
 NOISE = 23.0
@@ -355,25 +357,30 @@ def _map_encode(shared, samples: int, seed: int):
     return run
 
 
+def _decode(pieces: Pieces, lists: pa.ListArray) -> pa.StringArray:
+    """The text of each list of ids, without the blank put before a text."""
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    n = pieces.size[ids]
+    total = np.concatenate(([0], np.cumsum(n)))
+    raw = pieces.raw[np.arange(total[-1]) + np.repeat(pieces.at[ids] - total[:-1], n)]
+    ends = total[np.concatenate(([0], np.cumsum(sizes)))]
+    keep = np.ones(len(raw), bool)
+    keep[ends[:-1][sizes > 0]] = False
+    kept = np.concatenate(([0], np.cumsum(keep)))
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(kept[ends].astype(np.int32).tobytes()), pa.py_buffer(raw[keep].tobytes()))
+
+
 def _map_decode(shared, drop: bool):
     def run(batches):
         pieces = shared.value
         for batch in batches:
-            lists = batch.column("ids")
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
-            n = pieces.size[ids]
-            total = np.concatenate(([0], np.cumsum(n)))
-            raw = np.concatenate([np.empty(0, np.uint8), *(
-                pieces.raw[np.arange(a, b) - np.repeat(total[i:j], n[i:j]) + np.repeat(pieces.at[ids[i:j]], n[i:j])]
-                for i in range(0, len(ids), 1 << 20) for j in [min(i + (1 << 20), len(ids))] for a, b in [(total[i], total[j])])])
-            ends = total[np.concatenate(([0], np.cumsum(sizes)))]
-            keep = np.ones(len(raw), bool)
-            keep[ends[:-1][sizes > 0]] = False  # the blank put before a text
-            kept = np.concatenate(([0], np.cumsum(keep)))
-            text = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(kept[ends].astype(np.int32).tobytes()), pa.py_buffer(raw[keep].tobytes()))
-            rest = batch.drop_columns(["ids"]) if drop else batch
-            yield pa.RecordBatch.from_arrays([*rest.columns, text], names=[*rest.schema.names, "decoded"])
+            ends = np.cumsum(batch.column("ids").value_lengths().to_numpy(zero_copy_only=False))
+            cuts = np.unique(np.concatenate(([0], np.searchsorted(ends, np.arange(IDS, ends[-1] if len(ends) else 0, IDS)) + 1, [len(ends)])))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                part = batch.slice(a, b - a)
+                rest = part.drop_columns(["ids"]) if drop else part
+                yield pa.RecordBatch.from_arrays([*rest.columns, _decode(pieces, part.column("ids"))], names=[*rest.schema.names, "decoded"])
     return run
 
 
