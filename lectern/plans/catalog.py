@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import corpus, grid, relational
+from . import corpus, grid, relational, repair
 
 
 def queries() -> dict:
-    return {**relational.FOUND, **corpus.FOUND, **grid.FOUND}
+    return {**relational.FOUND, **corpus.FOUND, **grid.FOUND, **repair.FOUND}
 
 
 def oracle_sql() -> dict:
-    return {**relational.SQL, **corpus.SQL, **grid.SQL}
+    return {**relational.SQL, **corpus.SQL, **grid.SQL, **repair.SQL}
