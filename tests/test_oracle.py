@@ -1,13 +1,14 @@
 """Every registered query against its DuckDB SQL on the same tables."""
 
 import math
+import os
 from pathlib import Path
 
 import duckdb
 import pytest
 from lectern.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
