@@ -67,15 +67,21 @@ class Pieces:
                 h = (h * int(_P) + ord(c) + 1) % (1 << 64)
                 prefixes.add(h)
             hashes.append(h)
-        order = np.argsort(np.array(hashes, U))
-        self.hash, self.id = np.array(hashes, U)[order], np.array(plain, np.int64)[order]
-        self.log = np.array([logs[i] - total for i in plain])[order]
+        self.hash, self.id = np.array(hashes, U), np.array(plain, np.int64)
+        self.log = np.array([logs[i] - total for i in plain])
         self.lost = float(self.log.min() - UNKNOWN)
         self.longest = max(map(len, words.values()))
         self.prefix = np.zeros(1 << 22, bool)
         self.prefix[(mix(np.array(sorted(prefixes), U)) >> U(42)).astype(np.int64)] = True
-        self.whole = np.zeros(1 << 22, bool)
-        self.whole[(mix(self.hash) >> U(42)).astype(np.int64)] = True
+        # piece numbers by hash cell; a piece whose cell is taken is found by another cell
+        cells = mix(self.hash)
+        first, other = (cells >> U(42)).astype(np.int64), (cells & U((1 << 20) - 1)).astype(np.int64)
+        self.table, self.spare = np.full(1 << 22, -1, np.int32), np.full(1 << 20, -1, np.int32)
+        self.table[first[::-1]] = np.arange(len(plain), dtype=np.int32)[::-1]
+        moved = np.flatnonzero(self.table[first] != np.arange(len(plain)))
+        self.spare[other[moved]] = moved
+        if (self.find(self.hash, cells) != np.arange(len(plain))).any():
+            raise ValueError("two pieces of the vocabulary share both hash cells")
         raw = [b""] * n
         for i, w in words.items():
             raw[i] = w.replace(BLANK, " ").encode("utf-8", "surrogatepass")
@@ -85,6 +91,15 @@ class Pieces:
         self.at = np.concatenate(([0], np.cumsum(self.size)[:-1]))
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
 
+    def find(self, h: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Piece number of each hash (cells: its mix), or -1."""
+        i = self.table[(cells >> U(42)).astype(np.int64)]
+        lost = np.flatnonzero(self.hash[i] != h)
+        i[lost] = self.spare[(cells[lost] & U((1 << 20) - 1)).astype(np.int64)]
+        lost = lost[self.hash[i[lost]] != h[lost]]
+        i[lost] = -1
+        return i
+
 
 class Lattice:
     """The lattices of distinct chunks.  Nodes are numbered chunk by chunk, each with one end node."""
@@ -103,18 +118,16 @@ class Lattice:
             fits = left[live] >= n
             live, h = live[fits], h[fits]
             h = h * _P + chars[live + n - 1].astype(U) + U(1)
-            cell = (mix(h) >> U(42)).astype(np.int64)
-            some = pieces.prefix[cell]
+            cell = mix(h)
+            some = pieces.prefix[(cell >> U(42)).astype(np.int64)]
             live, h, cell = live[some], h[some], cell[some]
             if not len(live):
                 break
-            likely = pieces.whole[cell]
-            where, wanted = live[likely], h[likely]
-            i = np.minimum(np.searchsorted(pieces.hash, wanted), len(pieces.hash) - 1)
-            hit = pieces.hash[i] == wanted
-            found.append((where[hit], np.full(int(hit.sum()), n), pieces.id[i[hit]], pieces.log[i[hit]]))
+            i = pieces.find(h, cell)
+            hit = i >= 0
+            found.append((live[hit], np.full(int(hit.sum()), n), pieces.id[i[hit]], pieces.log[i[hit]]))
             if n == 1:
-                single[where[hit]] = True
+                single[live[hit]] = True
         bare = place[~single]
         found.append((bare, np.ones(len(bare), np.int64), -chars[bare].astype(np.int64) - 1, np.full(len(bare), pieces.lost)))
         start, length, piece, log = (np.concatenate(x) for x in zip(*found))
@@ -149,6 +162,15 @@ class Lattice:
         self.final = np.zeros(len(mass), bool)
         self.final[self.first + sizes] = True
 
+    def after(self, other: "Lattice") -> "Lattice":
+        """Both in one, this one's nodes and edges numbered after the other's; `first` stays unset."""
+        out, nodes, edges = object.__new__(Lattice), len(other.final), len(other.piece)
+        for name, shift in (("begin", nodes), ("end", nodes), ("group", edges)):
+            setattr(out, name, np.concatenate((getattr(other, name), getattr(self, name) + shift)))
+        for name in ("piece", "share", "within", "count", "final"):
+            setattr(out, name, np.concatenate((getattr(other, name), getattr(self, name))))
+        return out
+
     def draw(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(edges, number for each start): from each start node to its chunk's end, by mass."""
         at, who, turn, took = nodes.copy(), np.arange(len(nodes)), 0, []
@@ -225,7 +247,14 @@ def _open_nodes(lattice, edges, begin, end, mean, key, row, depth, sample, seed,
             push(again[path], place, edge, log, g)
 
 
-def _chains(pieces: Pieces, texts: list[str]):
+class Common:
+    """The lattice of chunks that the first texts of a task repeat, kept for all later ones."""
+
+    def __init__(self):
+        self.names, self.lattice = np.empty(0, U), None
+
+
+def _chains(pieces: Pieces, texts: list[str], common: Common | None = None):
     """(chunk numbers of all texts in a row, chunks of each text, lattice of the distinct chunks).
 
     A chunk begins at a text's begin, at and after a line break, and where blanks follow something
@@ -247,15 +276,35 @@ def _chains(pieces: Pieces, texts: list[str]):
     sums = np.zeros(n + 1, U)
     np.cumsum(mix(chars.astype(U)) * up[:n], out=sums[1:])
     names = mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(U))
-    _, first, chain = np.unique(names, return_index=True, return_inverse=True)
-    size = (stops - starts)[first]
-    place = np.arange(int(size.sum())) + np.repeat(starts[first] - (np.cumsum(size) - size), size)
-    return chain, np.diff(np.searchsorted(starts, edges)), Lattice(pieces, chars[place], size)
-
-
-def sample_texts(pieces: Pieces, texts: list[str], rows: np.ndarray, samples: int, seed: int):
+    each, first, chain, times = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
+
+    def built(which):
+        size = (stops - starts)[first[which]]
+        place = np.arange(int(size.sum())) + np.repeat(starts[first[which]] - (np.cumsum(size) - size), size)
+        return Lattice(pieces, chars[place], size)
+    links = np.diff(np.searchsorted(starts, edges))
+    if common is None:
+        return chain, links, built(np.arange(len(each)))
+    if common.lattice is None:
+        often = np.flatnonzero(times > 1) if (times > 1).any() else np.arange(len(each))
+        common.names, common.lattice = each[often], built(often)
+    i = np.minimum(np.searchsorted(common.names, each), len(common.names) - 1)
+    known = common.names[i] == each
+    fresh = np.flatnonzero(~known)
+    lattice, head = common.lattice, common.lattice.first[i]
+    if len(fresh):
+        new = built(fresh)
+        lattice = new.after(common.lattice)
+        head[fresh] = new.first + len(common.lattice.final)
+    else:
+        lattice = lattice.after(lattice)
+    lattice.first = head
+    return chain, links, lattice
+
+
+def sample_texts(pieces: Pieces, texts: list[str], rows: np.ndarray, samples: int, seed: int, common: Common | None = None):
     """For each text up to `samples` of (ids, log_prob, key, log_inclusion), best key first."""
-    chain, links, lattice = _chains(pieces, texts)
+    chain, links, lattice = _chains(pieces, texts, common)
     out: list[list] = [[] for _ in texts]
     if not len(chain):
         return [[(np.empty(0, np.int32), 0.0, 0.0, 0.0)] for _ in texts]
@@ -342,11 +391,11 @@ def _ids(pieces: Pieces, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _map_encode(shared, samples: int, seed: int):
     def run(batches):
-        pieces = shared.value
+        pieces, common = shared.value, Common()
         for batch in batches:
             for part in steps(batch, limit=STEP):
                 rows = part.column("row_key").to_numpy(zero_copy_only=False)
-                got = sample_texts(pieces, [t or "" for t in part.column("text").to_pylist()], rows, samples, seed)
+                got = sample_texts(pieces, [t or "" for t in part.column("text").to_pylist()], rows, samples, seed, common)
                 which = pa.array(np.repeat(np.arange(len(got)), [len(g) for g in got]))
                 flat = [x for g in got for x in g]
                 offsets = np.concatenate(([0], np.cumsum([len(x[0]) for x in flat]))).astype(np.int32)
