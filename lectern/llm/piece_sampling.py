@@ -41,8 +41,8 @@ STEP = 1 << 18
 #: Ids that one vectorised decoding step looks at.
 IDS = 1 << 18
 #: Noise of edges left aside comes from uniforms of at most 1 - FINEST, so it stays below NOISE.
-FINEST = 2.0 ** -33
-NOISE = 23.0
+FINEST = 2.0 ** -26
+NOISE = 18.1
 _P = U(0x9E3779B97F4A7C15)
 
 
@@ -232,7 +232,7 @@ def _left_aside(lattice, edges, cum, begin, stop, mean, key, row, depth, sample,
 def _open_nodes(lattice, edges, begin, end, mean, key, row, depth, sample, seed, wanted, push):
     """Push the edges left aside along edges[begin:end] that can still be among the `wanted` best."""
     cum = np.concatenate(([0.0], np.cumsum(lattice.share[edges])))
-    stop = np.minimum(end, np.searchsorted(-cum, 32.0 - cum[begin], "right"))
+    stop = np.minimum(end, np.searchsorted(-cum, NOISE + 8 - cum[begin], "right"))
     got = _left_aside(lattice, edges, cum, begin, stop, mean, key, row, depth, sample, seed, wanted)
     worst = np.full(len(begin), np.inf)
     np.minimum.at(worst, got[0], got[4])
@@ -254,7 +254,7 @@ class Common:
         self.names, self.lattice = np.empty(0, U), None
 
 
-def _chains(pieces: Pieces, texts: list[str], common: Common | None = None):
+def _chains(pieces: Pieces, texts: list[str], common: Common | None = None, learn: bool = False):
     """(chunk numbers of all texts in a row, chunks of each text, lattice of the distinct chunks).
 
     A chunk begins at a text's begin, at and after a line break, and where blanks follow something
@@ -288,6 +288,8 @@ def _chains(pieces: Pieces, texts: list[str], common: Common | None = None):
     if common.lattice is None:
         often = np.flatnonzero(times > 1) if (times > 1).any() else np.arange(len(each))
         common.names, common.lattice = each[often], built(often)
+        if learn:
+            return None
     i = np.minimum(np.searchsorted(common.names, each), len(common.names) - 1)
     known = common.names[i] == each
     fresh = np.flatnonzero(~known)
@@ -393,6 +395,9 @@ def _map_encode(shared, samples: int, seed: int):
     def run(batches):
         pieces, common = shared.value, Common()
         for batch in batches:
+            if common.lattice is None:
+                first = next(steps(batch, limit=8 * STEP), None)
+                _chains(pieces, [t or "" for t in first.column("text").to_pylist()] if first is not None else [], common, learn=True)
             for part in steps(batch, limit=STEP):
                 rows = part.column("row_key").to_numpy(zero_copy_only=False)
                 got = sample_texts(pieces, [t or "" for t in part.column("text").to_pylist()], rows, samples, seed, common)
