@@ -1,7 +1,7 @@
 """Embedding near-duplicates by spherical-cap filters (random product codes, list-decoded).
 
 Vectors are classed by equality first, so a large group of copies is one vector with a weight.
-A filter is a direction built as a product: the rotated space is cut into `blocks` parts, each with
+A filter is a direction built as a product: the rotated space is cut into parts, each with
 its own small code of random unit vectors, and any choice of one code word for each part gives a
 direction.  With 100 words and two parts that is 10,000 filters from 200 inner products.  Each
 vector is list-decoded to *all* directions whose inner product exceeds the cap height: partial sums
@@ -12,8 +12,14 @@ holding more than `block_rows` vectors is compared in pairs of blocks.  Tasks re
 vector, how many partners it found and one link to its local class, never a list of all pairs.
 
 The number of filters grows with the number of vectors so that a filter holds a constant number of
-unrelated ones; `per_code` and `codes` fix how many filters a vector exceeds, hence recall: a pair
-at cosine 0.95 shares about 0.6 of them.
+unrelated ones.  As long as a code of independent directions (one part) can be decoded at a bounded cost
+(`PART` numbers), it is taken: the directions of a product go together, so the same number of them misses
+far more pairs.  Beyond that a filter may hold `FULL` vectors, and then products of `blocks` parts begin,
+with as many codes as they need.  The cap height is the exact tail of an inner product of unit vectors of the table's
+dimension, so a vector exceeds `per_code` filters of a code on average at any size.  Recall is
+computed, not assumed: for each dimension the driver decodes random pairs at the asked cosine with the
+very codes in use, and adds codes (then filters a code) until the product of their miss rates, each
+raised to its 95 % confidence limit, is at most `miss`.  A pair of a higher cosine is missed less often.
 
 Null, empty or zero vectors and those with null or non-finite components link with nothing.
 Vectors of different lengths never link.
@@ -22,7 +28,6 @@ Vectors of different lengths never link.
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -46,16 +51,38 @@ def unit(rows) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def cap_height(dim: int, share: float) -> float:
+    """The inner product that a random unit vector exceeds with probability `share` (at most 0.5)."""
+    if dim < 2 or share >= 0.5:
+        return 0.0
+    # the angle to a fixed direction has density sin ** (dim - 2)
+    angle = np.linspace(0, math.pi / 2, 200_001)
+    density = np.sin(angle) ** (dim - 2)
+    below = np.concatenate([[0.0], np.cumsum((density[1:] + density[:-1]) / 2)])
+    return float(np.cos(np.interp(share, below / (2 * below[-1]), angle)))
+
+
+#: Numbers in the words of one part at most; vectors in a filter before codes become products.
+PART, FULL = 1 << 20, 2048
+
+
+def shape(n: int, dim: int, per_code: float, bucket: int, blocks: int) -> tuple[int, int]:
+    """(words, parts) of the codes for n vectors."""
+    need, most = per_code * max(n, 1) / bucket, PART // dim
+    if need <= most or per_code * n / max(bucket, FULL) <= most:
+        return max(4, min(most, math.ceil(need))), 1
+    return max(4, math.ceil(need ** (1 / blocks))), blocks
+
+
 class ProductCode:
-    """Random product codes for one dimension: `codes` rotations, `blocks` parts of `words` words."""
+    """Random product codes for one dimension: rotations `first` to `codes`, `blocks` parts of `words` words."""
 
-    def __init__(self, dim: int, words: int, per_code: float, codes: int, blocks: int, seed: int = 7):
+    def __init__(self, dim: int, words: int, per_code: float, codes: int, blocks: int, seed: int = 7, first: int = 0):
         blocks = min(blocks, dim)
         self.parts, self.words = [p for p in np.array_split(np.arange(dim), blocks)], words
-        share = min(0.5, per_code / words ** blocks)
-        self.height = NormalDist().inv_cdf(1 - share) / math.sqrt(dim) if dim > 3 else 0.0
+        self.height = cap_height(dim, per_code / words ** blocks)
         self.rotations, self.books = [], []
-        for c in range(codes):
+        for c in range(first, codes):
             r = np.random.RandomState((seed * 1000003 + dim * 101 + c) % (1 << 31))
             self.rotations.append(np.linalg.qr(r.standard_normal((dim, dim)))[0])
             book = []
@@ -69,6 +96,11 @@ class ProductCode:
         out: list[list[np.ndarray]] = [[] for _ in range(len(x))]
         for c, (turn, book) in enumerate(zip(self.rotations, self.books)):
             y = x @ turn
+            if len(book) == 1:
+                for a in range(0, len(x), 128):
+                    for i, hit in enumerate(y[a:a + 128] @ book[0].T >= self.height, a):
+                        out[i].append(np.flatnonzero(hit) + c * self.words)
+                continue
             scores = [y[:, p] @ w.T for p, w in zip(self.parts, book)]
             order = [np.argsort(-s, axis=1) for s in scores]
             for i in range(len(x)):
@@ -85,7 +117,29 @@ class ProductCode:
         return [np.sort(np.concatenate(f)) for f in out]
 
 
-def _decode(words: int, per_code: float, codes: int, blocks: int):
+def enough(dim: int, words: int, per_code: float, codes: int, blocks: int, cosine: float, miss: float, pairs: int = 1000, most: int = 16) -> tuple[float, int, float]:
+    """(filters a code, codes, computed miss rate) for which pairs at `cosine` are missed at a rate of `miss` or less.
+
+    Nothing under the given per_code and codes is taken; a height of zero ends the search for more filters.
+    """
+    while True:
+        wide, rate, c = per_code >= 0.5 * words ** min(blocks, dim), 1.0, 0
+        while (c < codes or rate > miss) and c < (10 * most if wide else max(most, codes)):
+            r = np.random.RandomState((dim * 7919 + c) % (1 << 31))
+            x = unit(r.standard_normal((pairs, dim)))
+            z = r.standard_normal((pairs, dim))
+            z -= (z * x).sum(axis=1, keepdims=True) * x
+            y = unit(cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * unit(z)) if dim > 1 else x
+            found = ProductCode(dim, words, per_code, c + 1, blocks, first=c).decode(np.concatenate([x, y]))
+            lost = sum(len(np.intersect1d(a, b, True)) == 0 for a, b in zip(found[:pairs], found[pairs:]))
+            rate *= min(1.0, (lost + 3 + 2 * math.sqrt(lost)) / pairs)
+            c += 1
+        if rate <= miss or wide:
+            return per_code, c, rate
+        per_code *= 2
+
+
+def _decode(plans: dict[int, tuple[int, float, int, int]]):
     def run(batches):
         known: dict[int, ProductCode] = {}
         for batch in batches:
@@ -95,7 +149,7 @@ def _decode(words: int, per_code: float, codes: int, blocks: int):
                 found: list = [None] * len(rows)
                 for dim in {len(r) for r in rows}:
                     at = [i for i, r in enumerate(rows) if len(r) == dim]
-                    code = known.setdefault(dim, None) or known.update({dim: ProductCode(dim, words, per_code, codes, blocks)}) or known[dim]
+                    code = known.setdefault(dim, None) or known.update({dim: ProductCode(dim, *plans[dim])}) or known[dim]
                     for i, f in zip(at, code.decode(unit([rows[i] for i in at]))):
                         found[i] = f
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int64()))], names=[*part.schema.names, "filters"])
@@ -159,15 +213,18 @@ def _compare(cosine: float, tile: int = 512):
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, per_code: float = 8.0, codes: int = 4, bucket: int = 48,
-                 blocks: int = 2, block_rows: int = 4096) -> DataFrame:
+                 blocks: int = 2, block_rows: int = 4096, miss: float = 1e-6) -> DataFrame:
     """vectors(vec_id, embedding) -> (vec_id, n_links, component_id, kept), one row per row."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = rows.where(sound(F.col("embedding")))
     classes = durable(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
-    n = classes.count()
-    words = max(4, math.ceil((per_code * max(n, 1) / bucket) ** (1 / blocks)))
+    dims = {r.dim: r.c for r in classes.where("rep is not null").groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("c")).collect()}
+    plans = {}
+    for d, n in dims.items():
+        words, parts = shape(n, d, per_code, bucket, blocks)
+        plans[d] = (words, *(enough(d, words, per_code, codes, parts, cosine, miss)[:2] if n > 1 else (per_code, 1)), parts)
     decoded = classes.where("rep is not null").select("rep", "weight", "embedding").mapInArrow(
-        _decode(words, per_code, codes, blocks), "rep long, weight long, embedding array<double>, filters array<long>")
+        _decode(plans), "rep long, weight long, embedding array<double>, filters array<long>")
     spread = decoded.select("*", F.size("embedding").alias("dim"), F.explode("filters").alias("filter"))
     big = (spread.groupBy("dim", "filter").count().where(F.col("count") > block_rows)
            .select("dim", "filter", F.ceil(F.col("count") / block_rows).cast("int").alias("many")))

@@ -1,6 +1,8 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from lectern.llm.ngram_join import Classes
-from lectern.llm.vector_dedup import ProductCode, near_vectors, unit
+from lectern.llm.vector_dedup import ProductCode, enough, near_vectors, shape, unit
 
 
 def brute(ids, x, cosine=0.95):
@@ -57,3 +59,37 @@ def test_odd_tables(spark):
     assert got[:3] == [(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False)]
     assert [g for g in got if g[0] == 10] == [(10, 3, 1, False)]
     assert all(g == (g[0], 0, g[0], True) for g in got if g[0] in (3, 4, 5, 6, 7, 8, 9, 11))
+
+
+def pairs_at(r, n, dim, cosine=0.95):
+    x, z = unit(r.standard_normal((n, dim))), r.standard_normal((n, dim))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    return x, cosine * x + (1 - cosine ** 2) ** 0.5 * unit(z)
+
+
+def test_vectors_exceed_the_asked_number_of_filters():
+    x = unit(np.random.RandomState(3).standard_normal((3000, 32)))
+    many = [len(f) for f in ProductCode(32, 289, 8.0, 4, 2).decode(x)]
+    assert 0.85 * 32 < np.mean(many) < 1.15 * 32
+
+
+def test_codes_keep_the_miss_rate_at_any_size():
+    for dim, n in ((64, 2000), (32, 500_000), (64, 10_000_000), (8, 100_000), (3, 5000)):
+        words, parts = shape(n, dim, 8.0, 48, 2)
+        per_code, codes, rate = enough(dim, words, 8.0, 4, parts, 0.95, 1e-6)
+        x, y = pairs_at(np.random.RandomState(n), 1000, dim, 0.9501)
+        found = ProductCode(dim, words, per_code, codes, parts).decode(np.concatenate([x, y]))
+        assert rate <= 1e-6 and codes >= 4
+        assert all(len(np.intersect1d(a, b)) for a, b in zip(found[:1000], found[1000:]))
+    assert shape(10_000_000, 64, 8.0, 48, 2)[1] == 2
+
+
+def test_recall_of_a_large_table(spark, tmp_path):
+    r = np.random.RandomState(5)
+    x, y = pairs_at(r, 2000, 32, 0.951)
+    v = np.concatenate([x, y, r.standard_normal((96_000, 32))]).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(len(v)), "embedding": pa.FixedSizeListArray.from_arrays(v.ravel(), 32).cast(pa.list_(pa.float32()))}), tmp_path / "v.parquet")
+    got = {k.vec_id: k.n_links for k in near_vectors(spark.read.parquet(str(tmp_path / "v.parquet")).repartition(8)).collect()}
+    u = unit(v)
+    asked = np.arange(0, 4000, 8)
+    assert all(got[i] == n for i, n in zip(asked, (u[asked] @ u.T >= 0.95).sum(axis=1) - 1)) and len(got) == len(v)
