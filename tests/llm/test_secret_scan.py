@@ -40,3 +40,22 @@ def test_odd_tables(spark):
     assert next(r for r in rows if r.doc_id == 202).text.count("[SECRET]") == 2
     assert findings(df.limit(0)).collect() == [] and redact(df.limit(0)).collect() == []
     assert not any(r.is_secret for r in findings(df.where("doc_id = 201 or doc_id % 4 = 1")).collect())
+
+
+def test_rare_secrets_are_found_whatever_the_number_of_documents(spark):
+    secret = 'token = "A1b2C3d4E5f6A7b8C9d0e1F2"'
+    docs = spark.range(40000).selectExpr("id as doc_id", f"concat('some plainwordsthatareratherlong here', if(id = 31234, '{secret}', '')) as text")
+    assert [r.doc_id for r in findings(docs, bound=50).where("is_secret").collect()] == [31234]
+
+
+def test_one_label_only_leaves_the_silver_rule(spark):
+    docs = spark.createDataFrame([(1, 'token = "A1b2C3d4E5f6A7b8C9d0e1F2"'), (2, "the file: averylongplainwordwithoutanydigit")], "doc_id long, text string")
+    assert {r.doc_id: r.is_secret for r in findings(docs).collect()} == {1: True, 2: False}
+
+
+def test_short_and_wide_values_are_candidates(spark):
+    texts = ['password = "Tr0ub4dor&3"', "pwd: 'hunter2!'", 'api_key="k9$Zq!x7"', "x = 1", "the author: Schmidt 2020", "password=ab12cd34ef56gh78ij90"]
+    assert [[m[0] for m in CANDIDATE.finditer(t)] for t in texts] == [["Tr0ub4dor&3"], ["hunter2!"], ["k9$Zq!x7"], [], [], ["ab12cd34ef56gh78ij90"]]
+    docs = spark.createDataFrame([*enumerate(texts), *((100 + i, "averylongplainwordwithoutanydigit here") for i in range(50))], "doc_id long, text string")
+    assert {r.doc_id for r in findings(docs).collect() if r.is_secret} == {0, 1, 2, 5}
+    assert [r.text for r in redact(docs).where("doc_id = 1").collect()] == ["pwd: '[SECRET]'"]
