@@ -63,3 +63,13 @@ def test_odd_tables(spark):
     ids = {r.doc_id for r in kept.collect()}
     assert kept.columns == df.columns and {300, 301, 304, 305}.isdisjoint(ids) and set(range(200)) <= ids
     assert languages(df.limit(0)).collect() == []
+
+
+def test_rare_languages_are_learned_and_kept(spark):
+    en, fi = "the dog and the cat are walking over the street ", "koira ja kissa juoksevat kadun yli kohti vanhaa taloa "
+    docs = spark.range(30000).selectExpr("id as doc_id", f"repeat(if(id % 1500 = 7, '{fi}', '{en}'), 2 + cast(id % 3 as int)) as text", "if(id % 1500 = 7, 'fi', 'en') as lang")
+    rare = docs.where("lang = 'fi'")
+    assert rare.count() == 20
+    got = languages(docs, bound=300).where("doc_id % 1500 = 7").collect()
+    assert len(got) == 20 and all(r.lang_pred == "fi" and not r.rejected for r in got)
+    assert keep_known(docs, bound=300).where("lang = 'fi'").count() == 20
