@@ -4,12 +4,12 @@ The vocabulary is a given SentencePiece model file (never trained here); its pie
 log-probabilities by rank, log(1 / (rank + OFFSET)) normalised.  A text's segmentations are the paths
 of its lattice.  `samples` distinct ones are drawn by Gumbel top-k: every path has the key
 log-probability + Gumbel noise, and the paths with the largest keys come out in order.  The search
-is A*: the queue holds sub-lattices with the largest key inside them, which is known exactly, for
-backward sums give the mass of every node, and the largest of many Gumbels is a Gumbel at their
-log-sum.  A popped sub-lattice is descended along its largest key by drawing edges in proportion
-to their mass; each edge left aside becomes a queue entry with a Gumbel at its own mass, truncated
-at the parent's key.  Nodes too deep for their keys to matter (mass so small that even the largest
-noise stays below the queue's k-th key) are not opened.
+is A*: the queue holds regions of the lattice, each with the exact largest key inside it, which is known
+without opening it, for backward sums give the mass of every node, and the largest of many Gumbels
+is a Gumbel at their log-sum, truncated at the key of the region it was cut from.  A popped region gives
+its best path, by draws in proportion to mass, and falls apart into what leaves the old path before
+that place, at it and after it, and what leaves the new path later.  Nothing is truncated beyond the
+rounding of doubles.
 
 No piece spans a blank or a line break inside, so a lattice is a chain of chunk lattices; each
 slice of texts builds those of its distinct chunks once, and draws for all texts advance together.
@@ -17,15 +17,17 @@ All randomness is a hash of (seed, row key, sample, place), so results do not de
 
 With the (k+1)-th key c, log_inclusion is log(1 - exp(-exp(log_prob - c))): the chance that a
 segmentation is among the k, for inverse-probability weights.  Texts with fewer than k
-segmentations return them all with chance 1.  Null counts as empty: one segmentation, no pieces.
-Characters outside the vocabulary become byte pieces; a literal U+2581 does too, so decoding
-returns every text exactly.
+segmentations return them all with chance 1.
+
+Cases: null counts as empty: one segmentation, no pieces.  Characters outside the vocabulary become
+byte pieces; a literal U+2581 does too, so decoding returns every text exactly.  Long texts are steps of
+their own.  Rows that repeat (same id, same text) get the same segmentations; null ids share one row
+key.  Ties cannot decide anything: equal probabilities still have different noise.  An empty table
+gives an empty table.  Other columns, also ones named like the results, are left out.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,9 +42,8 @@ BLANK, LITERAL = "▁", "\ud800"
 STEP = 1 << 18
 #: Ids that one vectorised decoding step looks at.
 IDS = 1 << 18
-#: Noise of edges left aside comes from uniforms of at most 1 - FINEST, so it stays below NOISE.
-FINEST = 2.0 ** -26
-NOISE = 18.1
+#: Below this log loss along a path, what leaves it is summed edge by edge instead of by difference.
+THIN = 1e-6
 _P = U(0x9E3779B97F4A7C15)
 
 
@@ -130,7 +131,8 @@ class Lattice:
                 single[live[hit]] = True
         bare = place[~single]
         found.append((bare, np.ones(len(bare), np.int64), -chars[bare].astype(np.int64) - 1, np.full(len(bare), pieces.lost)))
-        start, length, piece, log = (np.concatenate(x) for x in zip(*found))
+        # longest first: the likely edges of a node come first
+        start, length, piece, log = (np.concatenate(x) for x in zip(*found[::-1]))
         order = np.argsort(start, kind="stable")
         start, length, piece, log = start[order], length[order], piece[order], log[order]
         mass = np.zeros(len(chars) + chunks)
@@ -150,7 +152,7 @@ class Lattice:
             top = np.maximum.reduceat(value, g)
             mass[node[s]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n)), g))
         self.begin, self.end, self.piece = node[start], target, piece
-        self.share = log + mass[self.end] - mass[self.begin]
+        self.share = np.minimum(log + mass[self.end] - mass[self.begin], 0.0)
         total = np.cumsum(np.exp(self.share))
         base = np.concatenate(([0.0], total))[first]
         self.within = total - np.repeat(base, many)
@@ -199,52 +201,101 @@ class Lattice:
 
 def _gumbel(mean, top, u):
     """A Gumbel at `mean`, given that it does not exceed `top`."""
-    with np.errstate(over="ignore"):
-        return mean - np.log(np.exp(mean - top) - np.log(u))
-
+    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+        return np.where(np.isneginf(mean), -np.inf, mean - np.log(np.exp(mean - top) - np.log(u)))
+
+
+def _inner(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... inside each of the runs of these sizes."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+class Drawn:
+    """The paths drawn so far, one after the other: edges, their chunks, log mass left after each edge."""
+
+    def __init__(self, lattice: Lattice):
+        self.lattice = lattice
+        self.edge, self.link, self.after = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def add(self, heads: np.ndarray, head: np.ndarray, edge: np.ndarray, tail: np.ndarray, tail_link: np.ndarray, tails: np.ndarray):
+        """Paths from the first `head` places of the paths at `heads`, then `edge` (-1: none), then tails."""
+        size = head + (edge >= 0) + tails
+        begin = len(self.edge) + np.cumsum(size) - size
+        edges, links, after = np.empty(int(size.sum()), np.int64), np.empty(int(size.sum()), np.int64), np.empty(int(size.sum()))
+        own = begin - len(self.edge)
+        old, new = np.repeat(heads, head) + _inner(head), np.repeat(own, head) + _inner(head)
+        edges[new], links[new] = self.edge[old], self.link[old]
+        some = np.flatnonzero(edge >= 0)
+        edges[own[some] + head[some]], links[own[some] + head[some]] = edge[some], self.link[heads[some] + head[some]]
+        new = np.repeat(own + size - tails, tails) + _inner(tails)
+        edges[new], links[new] = tail, tail_link
+        share = self.lattice.share[edges]
+        for i, j in zip(own.tolist(), (own + size).tolist()):
+            np.cumsum(share[i:j], out=after[i:j])
+        self.edge, self.link, self.after = np.concatenate((self.edge, edges)), np.concatenate((self.link, links)), np.concatenate((self.after, after))
+        return begin, size
+
+    def before(self, begin, place):
+        """Log mass of the segmentations that share the first `place` edges of the path at `begin`."""
+        return np.where(place > 0, self.after[np.maximum(begin + place - 1, 0)], 0.0)
+
+    def leaving(self, begin: int, a: int, b: int) -> np.ndarray:
+        """Log mass of what leaves the path at each of the places a to b - 1, summed edge by edge."""
+        lattice, edge = self.lattice, self.edge[begin + a:begin + b]
+        node = lattice.begin[edge]
+        many = lattice.count[node]
+        each = np.repeat(lattice.group[node], many) + _inner(many)
+        mass = np.where(each != np.repeat(edge, many), np.exp(lattice.share[each]), 0.0)
+        with np.errstate(divide="ignore"):
+            return self.before(begin, np.arange(a, b)) + np.log(np.add.reduceat(mass, np.cumsum(many) - many))
+
+    def mass(self, begin, a, b):
+        """Log mass of what leaves the path at `begin` at any of the places a to b - 1."""
+        low = self.before(begin, a)
+        lost = self.before(begin, np.maximum(a, b)) - low
+        with np.errstate(divide="ignore"):
+            out = np.where(b > a, low + np.log(-np.expm1(np.minimum(lost, 0.0))), -np.inf)
+        for i in np.flatnonzero((lost > -THIN) & (b > a)):
+            each = self.leaving(int(begin[i]), int(a[i]), int(b[i]))
+            top = each.max()
+            out[i] = top if np.isneginf(top) else top + np.log(np.exp(each - top).sum())
+        return out
 
-def _left_aside(lattice, edges, cum, begin, stop, mean, key, row, depth, sample, seed, wanted):
-    """For paths edges[begin:stop], the `wanted` best edges left aside: (path, place, edge, mean, key).
-
-    cum sums the edges' log shares; mean is a path's log mass at its begin, depth its place there.
-    """
-    size = stop - begin
-    path = np.repeat(np.arange(len(begin)), size)
-    at = np.arange(len(path)) + np.repeat(begin - (np.cumsum(size) - size), size)
-    nodes = lattice.begin[edges[at]]
-    many = lattice.count[nodes]
-    rank = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-    at, path = np.repeat(at, many), np.repeat(path, many)
-    edge = np.repeat(lattice.group[nodes], many) + rank
-    side = edge != edges[at]
-    at, path, edge, rank = at[side], path[side], edge[side], rank[side]
-    log = mean[path] + cum[at] - cum[begin[path]] + lattice.share[edge]
-    place = depth[path] + at - begin[path]
-    g = _gumbel(log, key[path], np.minimum(1 - FINEST, uniform(place, rank, 77, seed=fold_keys(fold_keys(U(seed), row[path]), sample))))
-    order = np.lexsort((-g, path))
-    path, g = path[order], g[order]
-    nth = np.arange(len(path)) - np.searchsorted(path, path)
-    best = nth < wanted
-    order = order[best]
-    return path[best], place[order], edge[order], log[order], g[best]
-
-
-def _open_nodes(lattice, edges, begin, end, mean, key, row, depth, sample, seed, wanted, push):
-    """Push the edges left aside along edges[begin:end] that can still be among the `wanted` best."""
-    cum = np.concatenate(([0.0], np.cumsum(lattice.share[edges])))
-    stop = np.minimum(end, np.searchsorted(-cum, NOISE + 8 - cum[begin], "right"))
-    got = _left_aside(lattice, edges, cum, begin, stop, mean, key, row, depth, sample, seed, wanted)
-    worst = np.full(len(begin), np.inf)
-    np.minimum.at(worst, got[0], got[4])
-    found = np.bincount(got[0], minlength=len(begin))
-    deeper = (stop < end) & ((found < wanted) | (worst <= mean + cum[stop] - cum[begin] + NOISE))
-    for path, place, edge, log, g in zip(*(x[~deeper[got[0]]].tolist() for x in got)):
-        push(path, place, edge, log, g)
-    again = np.flatnonzero(deeper)
-    if len(again):
-        got = _left_aside(lattice, edges, cum, *(x[again] for x in (begin, end, mean, key, row, depth)), sample, seed, wanted)
-        for path, place, edge, log, g in zip(*(x.tolist() for x in got)):
-            push(again[path], place, edge, log, g)
+    def place(self, begin, a, b, u):
+        """The place where a segmentation of [a, b) leaves its path, by mass."""
+        low = self.before(begin, a)
+        lost = np.minimum(self.before(begin, b) - low, 0.0)
+        want = -np.log1p(u * np.expm1(lost))
+        at, end = a.copy(), b - 1
+        while (at < end).any():
+            half = (at + end) // 2
+            here = low - self.after[begin + half] > want
+            end, at = np.where(here, half, end), np.where(here | (at >= end), at, half + 1)
+        while (back := (self.lattice.count[self.lattice.begin[self.edge[begin + at]]] < 2) & (at > a)).any():
+            at = at - back
+        for i in np.flatnonzero(lost > -THIN):
+            each = self.leaving(int(begin[i]), int(a[i]), int(b[i]))
+            share = np.cumsum(np.exp(each - each.max()))
+            at[i] = a[i] + int(np.searchsorted(share, u[i] * share[-1], "right"))
+        return at
+
+    def side(self, begin, place, gone, u):
+        """(edge, log mass of the others): by mass, one of the edges at a place that are not in `gone`."""
+        lattice, node = self.lattice, self.lattice.begin[self.edge[begin + place]]
+        many = lattice.count[node]
+        cut = np.cumsum(many) - many
+        each = np.repeat(lattice.group[node], many) + _inner(many)
+        kept = np.ones(len(each), bool)
+        for column in gone.T:
+            kept &= each != np.repeat(column, many)
+        mass = np.where(kept, np.exp(lattice.share[each]), 0.0)
+        total = np.add.reduceat(mass, cut)
+        sums = np.cumsum(mass / np.repeat(total, many))
+        pick = np.searchsorted(sums, np.concatenate(([0.0], sums))[cut] + u, "right")
+        pick = np.clip(pick, np.minimum.reduceat(np.where(kept, np.arange(len(each)), len(each)), cut), np.maximum.reduceat(np.where(kept, np.arange(len(each)), -1), cut))
+        mass[pick] = 0.0
+        with np.errstate(divide="ignore"):
+            return each[pick], self.before(begin, place) + np.log(np.add.reduceat(mass, cut))
 
 
 class Common:
@@ -304,91 +355,108 @@ def _chains(pieces: Pieces, texts: list[str], common: Common | None = None, lear
     return chain, links, lattice
 
 
-def sample_texts(pieces: Pieces, texts: list[str], rows: np.ndarray, samples: int, seed: int, common: Common | None = None):
-    """For each text up to `samples` of (ids, log_prob, key, log_inclusion), best key first."""
+def draw_samples(pieces: Pieces, texts: list[str], rows: np.ndarray, samples: int, seed: int, common: Common | None = None):
+    """Up to `samples` segmentations of each text, best key first, texts in order.
+
+    (text number, sample, log_prob, key, log_inclusion) as arrays, then the ids of all in a row and how
+    many each has.
+    """
     chain, links, lattice = _chains(pieces, texts, common)
-    out: list[list] = [[] for _ in texts]
     if not len(chain):
-        return [[(np.empty(0, np.int32), 0.0, 0.0, 0.0)] for _ in texts]
-    base = np.cumsum(links) - links
-    link = np.arange(len(chain)) - np.repeat(base, links)
-    link_keys = fold_keys(fold_keys(U(seed), np.repeat(rows, links)), link)
-    heads = lattice.first[chain]
-    queues: list[list] = [[] for _ in texts]
-    paths: list[list] = [[] for _ in texts]
-    start = [(np.empty(0, np.int64), 0, None, 0.0, float(_gumbel(0.0, np.inf, uniform(seed, int(r), 76)))) for r in rows.tolist()]
+        n = np.zeros(len(texts), np.int64)
+        return np.arange(len(texts)), n, *(np.zeros((3, len(texts)))), n[:0].astype(np.int32), n
+    drawn, stop, base = Drawn(lattice), np.cumsum(links), np.cumsum(links) - links
+    row_keys = fold_keys(U(seed), rows)
+    link_keys = fold_keys(np.repeat(row_keys, links), np.arange(len(chain)) - np.repeat(base, links))
+    noise = fold_keys(row_keys, 77)
+    who = np.flatnonzero(links)
+    none, zero = np.full(len(who), -1, np.int64), np.zeros(len(who), np.int64)
+    head_at, head, edge, first, key = zero, zero, none, base[who], _gumbel(0.0, np.inf, uniform(0, 0, seed=noise[who]))
+    # regions: what leaves the path at `path` at places a to b - 1, or at a alone by an edge not in `gone`
+    regions = {name: np.empty(0, np.int64) for name in ("who", "path", "a", "b")} | {"gone": np.empty((0, samples + 1), np.int64), "key": np.empty(0)}
+    out = []
+
+    def push(kind, sample, who, path, a, b, gone, mass, top):
+        new = {"who": who, "path": path, "a": a, "b": b, "gone": gone, "key": _gumbel(mass, top, uniform(sample, kind, seed=noise[who]))}
+        some = new["key"] > -np.inf
+        for name, column in new.items():
+            regions[name] = np.concatenate((regions[name], column[some]))
+
     for sample in range(samples):
-        # one draw for all texts: the chunk of the divergence from its edge's end, then all later chunks
-        nodes, keys, owner = [], [], []
-        for d, s in enumerate(start):
-            if s is None or not links[d]:
-                continue
-            a = base[d] + s[1]
-            part = heads[a:base[d] + links[d]]
-            if s[2] is not None:
-                part = part.copy()
-                part[0] = s[2]
-            nodes.append(part)
-            keys.append(link_keys[a:base[d] + links[d]])
-            owner.append((d, len(part)))
-        if owner:
-            edges, count = lattice.draw(np.concatenate(nodes), fold_keys(np.concatenate(keys), sample))
-            ends = np.concatenate(([0], np.cumsum(count)))
-            number = np.array([n for _, n in owner])
-            last = np.cumsum(number)
-            begin, end = ends[last - number], ends[last]
-            texts_of = [d for d, _ in owner]
-            mean, key, depth = (np.array([f(start[d]) for d in texts_of]) for f in (lambda s: s[3], lambda s: s[4], lambda s: len(s[0])))
-
-            def push(i, place, edge, log, g):
-                heapq.heappush(queues[texts_of[i]], (-g, sample, place, edge, log))
-            _open_nodes(lattice, edges, begin, end, mean, key, rows[texts_of], depth, sample, seed, samples - sample, push)
-            for k, d in enumerate(texts_of):
-                drawn = edges[begin[k]:end[k]]
-                head, first = start[d][:2]
-                paths[d].append((np.concatenate((head, drawn)), first, len(head) + ends[last[k] - number[k]:last[k] + 1] - begin[k]))
-                out[d].append((paths[d][-1][0], start[d][4], start[d][3] + float(lattice.share[drawn].sum())))
-        for d in range(len(texts)):
-            start[d] = None
-            if links[d] and queues[d] and sample + 1 < samples:
-                g, s, at_, edge, mean = heapq.heappop(queues[d])
-                old, first, places = paths[d][s]
-                begun = int(np.searchsorted(places, at_, "right")) - 1
-                start[d] = (np.append(old[:at_], edge), first + max(begun, 0), int(lattice.end[edge]), mean, -g)
-    result = []
-    for d in range(len(texts)):
-        if not links[d]:
-            result.append([(np.empty(0, np.int64), 0.0, 0.0, 0.0)])
-            continue
-        rest = -queues[d][0][0] if queues[d] and len(out[d]) == samples else -np.inf
-        got = []
-        for path, key, relative in out[d]:
-            # -exp(relative - rest) is minus the mean number of hits above the threshold
-            lift = relative - rest
-            inclusion = 0.0 if rest == -np.inf or lift > 30 else float(lift if lift < -30 else np.log(-np.expm1(-np.exp(lift))))
-            got.append((path, relative, key, inclusion))
-        result.append(got)
-    # piece ids of all paths at once
-    flat = [x[0] for g in result for x in g]
-    ids, size = _ids(pieces, lattice.piece[np.concatenate(flat)])
-    cuts = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum([len(x) for x in flat])))]
-    each = iter(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-    return [[(ids[slice(*next(each))], *x[1:]) for x in g] for g in result]
+        # all texts advance together: the rest of the chunk that the edge is in, then all later chunks
+        number = stop[who] - first
+        link = np.repeat(first, number) + _inner(number)
+        nodes, at = lattice.first[chain[link]], np.cumsum(number) - number
+        turned = edge >= 0
+        nodes[at[turned]] = lattice.end[edge[turned]]
+        tail, count = lattice.draw(nodes, fold_keys(link_keys[link], sample))
+        path, size = drawn.add(head_at, head, edge, tail, np.repeat(link, count), np.add.reduceat(count, at))
+        out.append((who, np.full(len(who), sample), path, size, drawn.before(path, size), key))
+        begin, fresh = head + turned, np.full((len(who), samples + 1), -1, np.int64)
+        push(1, sample, who, path, begin, size, fresh, drawn.mass(path, begin, size), key)
+        best = np.lexsort((-regions["key"], regions["who"]))
+        best = best[np.concatenate(([True], np.diff(regions["who"][best]) > 0))] if len(best) else best
+        if sample + 1 == samples or not len(best):
+            break
+        who, parent, a, b, gone, key = (regions[x][best] for x in ("who", "path", "a", "b", "gone", "key"))
+        for name in regions:
+            regions[name] = np.delete(regions[name], best, 0)
+        span = gone[:, 0] < 0
+        u, v = uniform(sample, 2, seed=noise[who]), uniform(sample, 3, seed=noise[who])
+        place = a.copy()
+        place[span] = drawn.place(parent[span], a[span], b[span], u[span])
+        gone[span, 0] = drawn.edge[parent[span] + place[span]]
+        edge, others = drawn.side(parent, place, gone, v)
+        gone[np.arange(len(who)), (gone >= 0).sum(1)] = edge
+        push(4, sample, who, parent, place, place + 1, gone, others, key)
+        w, p, x, y, z, k = (column[span] for column in (who, parent, a, place, b, key))
+        blank = np.full((len(w), samples + 1), -1, np.int64)
+        push(5, sample, w, p, x, y, blank, drawn.mass(p, x, y), k)
+        push(6, sample, w, p, y + 1, z, blank, drawn.mass(p, y + 1, z), k)
+        head_at, head, first = parent, place, drawn.link[parent + place]
+    who, sample, path, size, relative, key = (np.concatenate(x) for x in zip(*out))
+    rest = np.full(len(texts), -np.inf)
+    np.maximum.at(rest, regions["who"], regions["key"])
+    # the (k+1)-th key is a threshold only where there are k segmentations
+    rest[np.bincount(who, minlength=len(texts)) < samples] = -np.inf
+    with np.errstate(divide="ignore", over="ignore"):
+        lift = relative - rest[who]
+        inclusion = np.where(lift > 30, 0.0, np.where(lift < -30, lift, np.log(-np.expm1(-np.exp(np.minimum(lift, 31.0))))))
+    bare = np.flatnonzero(links == 0)
+    none = np.zeros(len(bare), np.int64)
+    who, sample, path, size = (np.concatenate(x) for x in ((who, bare), (sample, none), (path, none), (size, none)))
+    relative, key, inclusion = (np.concatenate((x, np.zeros(len(bare)))) for x in (relative, key, inclusion))
+    order = np.lexsort((sample, who))
+    path, size = path[order], size[order]
+    ids, many = _ids(pieces, lattice.piece[drawn.edge[np.repeat(path, size) + _inner(size)]])
+    ends = np.concatenate(([0], np.cumsum(many)))[np.concatenate(([0], np.cumsum(size)))]
+    return who[order], sample[order], relative[order], key[order], inclusion[order], ids, np.diff(ends)
+
+
+def sample_texts(pieces: Pieces, texts: list[str], rows: np.ndarray, samples: int, seed: int, common: Common | None = None):
+    """For each text up to `samples` of (ids, log_prob, key, log_inclusion), best key first."""
+    who, _, log, key, inclusion, ids, size = draw_samples(pieces, texts, rows, samples, seed, common)
+    out: list[list] = [[] for _ in texts]
+    for d, part, *rest in zip(who.tolist(), np.split(ids, np.cumsum(size)[:-1]), log.tolist(), key.tolist(), inclusion.tolist()):
+        out[d].append((part, *rest))
+    return out
 
 
 def _ids(pieces: Pieces, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, how many for each piece): an unknown character becomes the ids of its UTF-8 bytes."""
-    if (piece >= 0).all():
-        return piece.astype(np.int32), np.ones(len(piece), np.int64)
-    code = -piece - 1
+    many, odd = np.ones(len(piece), np.int64), np.flatnonzero(piece < 0)
+    if not len(odd):
+        return piece.astype(np.int32), many
+    code = -piece[odd] - 1
     code = np.where(code == ord(LITERAL), ord(BLANK), code)
-    size = np.where(piece >= 0, 1, 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
-    place = np.repeat(np.arange(len(piece)), size)
-    turn = np.arange(len(place)) - np.repeat(np.cumsum(size) - size, size)
-    c, n, p = code[place], size[place], piece[place]
+    size = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+    many[odd] = size
+    turn, c, n = _inner(size), np.repeat(code, size), np.repeat(size, size)
     later = 0x80 | (c >> np.maximum(6 * (n - 1 - turn), 0)) & 0x3F
     lead = np.where(n == 1, c, (0xF00 >> n) & 0xFF | c >> np.maximum(6 * (n - 1), 0))
-    return np.where(p >= 0, p, pieces.byte_ids[np.where(turn == 0, lead, later) & 0xFF]).astype(np.int32), size
+    ids = np.repeat(piece, many).astype(np.int32)
+    ids[np.repeat((np.cumsum(many) - many)[odd], size) + turn] = pieces.byte_ids[np.where(turn == 0, lead, later) & 0xFF]
+    return ids, many
 
 
 def _map_encode(shared, samples: int, seed: int):
@@ -400,13 +468,10 @@ def _map_encode(shared, samples: int, seed: int):
                 _chains(pieces, [t or "" for t in first.column("text").to_pylist()] if first is not None else [], common, learn=True)
             for part in steps(batch, limit=STEP):
                 rows = part.column("row_key").to_numpy(zero_copy_only=False)
-                got = sample_texts(pieces, [t or "" for t in part.column("text").to_pylist()], rows, samples, seed, common)
-                which = pa.array(np.repeat(np.arange(len(got)), [len(g) for g in got]))
-                flat = [x for g in got for x in g]
-                offsets = np.concatenate(([0], np.cumsum([len(x[0]) for x in flat]))).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([x[0] for x in flat]) if flat else np.empty(0, np.int32)))
-                other = part.drop_columns(["text", "row_key"]).take(which)
-                yield pa.RecordBatch.from_arrays([*other.columns, pa.array([k for g in got for k in range(len(g))], pa.int32()), ids, *(pa.array([x[j] for x in flat], pa.float64()) for j in (1, 2, 3))],
+                who, sample, *scores, flat, size = draw_samples(pieces, [t or "" for t in part.column("text").to_pylist()], rows, samples, seed, common)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(flat))
+                other = part.drop_columns(["text", "row_key"]).take(pa.array(who))
+                yield pa.RecordBatch.from_arrays([*other.columns, pa.array(sample.astype(np.int32)), ids, *map(pa.array, scores)],
                                                  names=[*other.schema.names, "sample", "ids", "log_prob", "key", "log_inclusion"])
     return run
 

@@ -59,6 +59,18 @@ def test_sampling_follows_the_distribution_without_replacement(pieces):
             assert abs(kept[i] / n - 1) < .2
 
 
+def test_pairs_come_in_the_order_of_sampling_without_replacement(pieces):
+    want, n = all_paths(pieces, "an"), 20000
+    seen = Counter()
+    for got in sample_texts(pieces, ["an"] * n, np.arange(n), 3, 4):
+        seen[tuple(tuple(i.tolist()) for i, *_ in got)[:2]] += 1
+    for a, x in want.items():
+        for b, y in want.items():
+            if a != b:
+                p = math.exp(x + y) / (1 - math.exp(x))
+                assert abs(seen[a, b] / n - p) < 5 * math.sqrt(p / n) + 1e-3
+
+
 def test_round_trip_and_determinism(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
     got = decode(encode(docs, MODEL, samples=3), MODEL).collect()
