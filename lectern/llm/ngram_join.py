@@ -6,11 +6,16 @@ with nothing.  Two documents link when 100 * |intersection| >= percent * |union|
 
 Plan, every step linear in the corpus but the last:
 
-1. each task turns its documents into sets; documents with the same set become one *text*;
+1. each task turns its documents into sets; documents with the same set become one *text*, whose 64-bit
+   name is its vertex all through (ids come back at the end, so equal or null ids do no harm).
+   The same pass adds up, over steps of `held_entries`, n-grams that several texts of a step hold;
+   those above a `HEAVY`-th of all entries, or an eighth of a range, are heavy;
 2. n-grams travel in packed blocks (delta-coded, grouped by the top bits of their hash) to the
    partition that owns their hash range, which counts exact document frequencies; only n-grams
    in two or more texts travel on, back to their text (with very many ranges in two hops, coarse
-   then fine, so that blocks stay large);
+   then fine, so that blocks stay large).  A heavy n-gram, which may be in every document, is never
+   gathered: its entries go by text from the start, with the sum of the first pass as its place in
+   the order (any order that all texts share is right);
 3. sets are ordered globally, rare n-grams first.  Two linked texts must share an n-gram among the
    first |set| - ceil(percent * |set|) + 1, so a text whose prefix holds only n-grams of its own
    is done.  The others meet the smallest text of each shared prefix n-gram (a star, never all
@@ -23,8 +28,13 @@ Plan, every step linear in the corpus but the last:
    class and block is joined across blocks, and then every text outside its component's main class
    is probed against every block, which leaves no pair of different classes unseen.
 
-Blocks hold 64-bit hashes.  Null text counts as empty; rows with equal or null ids are kept, each
-with the class of its text; an id that is null never names a class unless all of the class are.
+Blocks hold 64-bit hashes.
+
+Cases: null text counts as empty, and empty texts (also blanks only) are linked with nothing and all
+stay.  A text of any length is one set.  Rows whose ids are equal or null are kept, each with the class of
+its own text; a null id names a class only where all ids of the class are null.  Of equal sizes and
+equal ids the order decides nothing but work.  Empty tables give empty tables.  Other columns are
+left out by `ngram_components` and kept by `keep_one`, whatever their names.
 """
 
 from __future__ import annotations
@@ -65,21 +75,51 @@ def _set_key(s: np.ndarray) -> int:
     return int(mix(np.array([total], U)).view(np.int64)[0])
 
 
-def _map_sizes(width: int):
+#: Texts of a step that must hold an n-gram before it counts towards being heavy.
+SEEN = 8
+#: An n-gram with more than this part of all entries is heavy; so at most about HEAVY are (8 MB).
+HEAVY = 1 << 20
+_SIZES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("gram", pa.int64()), ("c", pa.int64())])
+
+
+def _map_sizes(width: int, held: int):
+    """A row for each document, and rows (gram, c) for n-grams that several texts of a step hold."""
+    def seen(sets):
+        grams, count = np.unique(np.concatenate(sets), return_counts=True)
+        often = count >= SEEN
+        columns = [pa.nulls(int(often.sum()), pa.int64())] * 4 + [pa.array(grams[often].view(np.int64)), pa.array(count[often])]
+        return pa.RecordBatch.from_arrays(columns, schema=_SIZES)
+
     def run(batches):
+        known: dict[int, np.ndarray] = {}
+        total = 0
         for batch in batches:
             for part in steps(batch):
-                got = [(len(s), _set_key(s)) for s in _sets(part.column("text"), width)]
-                n, key = zip(*got)
-                yield pa.RecordBatch.from_arrays([*part.drop_columns(["text"]).columns, pa.array(n, pa.int64()), pa.array(key, pa.int64())],
-                                                 names=[*(c for c in part.schema.names if c != "text"), "n", "key"])
+                n, key = [], []
+                for s in _sets(part.column("text"), width):
+                    n.append(len(s))
+                    key.append(_set_key(s))
+                    if len(s) and key[-1] not in known:
+                        known[key[-1]] = s
+                        total += len(s)
+                rest = [pa.nulls(part.num_rows, pa.int64())] * 2
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), *rest], schema=_SIZES)
+                if total >= held:
+                    yield seen(list(known.values()))
+                    known, total = {}, 0
+        if known:
+            yield seen(list(known.values()))
     return run
 
 
-def set_sizes(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, n, key): the size of each document's set and a name that equal sets share."""
-    keep = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return keep.mapInArrow(_map_sizes(width), "doc_id long, n long, key long")
+def set_sizes(docs: DataFrame, width: int = 5, held_entries: int = 2_000_000) -> DataFrame:
+    """(doc_id, text_key, n, key): size of each document's set and a name that equal sets share.
+
+    Rows with a `gram` instead say how many texts of one step hold it.
+    """
+    text = F.col("text").cast("string")
+    keep = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return keep.mapInArrow(_map_sizes(width, held_entries), ", ".join(f"{f.name} long" for f in _SIZES))
 
 
 # ---------------------------------------------------------------- packed blocks
@@ -109,10 +149,10 @@ def _block(part: int, keys, sizes, grams, docs, df=None):
             "gram": _pack(deltas), "doc": _pack(local.astype(np.uint32)), "df": None if df is None else _pack(df.astype(np.uint32))}
 
 
-def _open(table: pa.Table):
+def _open(blocks: list[dict]):
     """The entries of many blocks: (keys, sizes) of distinct texts, n-grams, text numbers, dfs."""
     keys, sizes, grams, docs, dfs, base = [], [], [], [], [], 0
-    for b in table.to_pylist():
+    for b in blocks:
         keys.append(np.frombuffer(b["key"], np.int64))
         sizes.append(_unpack(b["n"], b["d"], np.uint32))
         grams.append(np.cumsum(_unpack(b["gram"], b["m"], U), dtype=U))
@@ -130,16 +170,44 @@ def _spread(grams: np.ndarray, parts: int) -> np.ndarray:
     return ((grams >> U(32)) * U(parts) >> U(32)).astype(np.int64)
 
 
-def _map_blocks(width: int, parts: int, held: int):
-    """Tasks' (n-gram, text) entries in blocks, one for each hash range and `held` entries."""
+def _by_text(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The hash range that a text falls in."""
+    return _spread(mix(keys.view(U)), parts)
+
+
+def _dealt(part, keys, sizes, grams, docs, df=None) -> list[dict]:
+    """Blocks of the entries, one for each number in `part`."""
+    if not len(part):
+        return []
+    order = np.lexsort((grams, part))
+    part, grams, docs, df = part[order], grams[order], docs[order], None if df is None else df[order]
+    names, cuts = np.unique(part, return_index=True)
+    return [_block(p, keys, sizes, grams[a:b], docs[a:b], None if df is None else df[a:b])
+            for p, a, b in zip(names.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(part)])]
+
+
+def _map_blocks(width: int, parts: int, held: int, heavy):
+    """Tasks' (n-gram, text) entries in blocks, one for each hash range and `held` entries.
+
+    heavy is a broadcast pair: sorted heavy n-grams and their counts.  Their entries have `df` already
+    and go by the range of their text.
+    """
     def flush(sets, sizes, keys):
+        heavies, counts = heavy.value
         grams = np.concatenate(sets)
         docs = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         order = np.argsort(grams, kind="stable")
         grams, docs = grams[order], docs[order]
         cuts = np.searchsorted(_spread(grams, parts), np.arange(parts + 1))
         k, z = np.array(keys, np.int64), np.array(sizes)
-        rows = [_block(p, k, z, grams[a:b], docs[a:b]) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+        extra = []
+        if len(heavies):
+            i = np.minimum(np.searchsorted(heavies, grams), len(heavies) - 1)
+            hot = heavies[i] == grams
+            extra = _dealt(_by_text(k, parts)[docs[hot]], k, z, grams[hot], docs[hot], counts[i[hot]])
+            grams, docs = grams[~hot], docs[~hot]
+            cuts = np.searchsorted(_spread(grams, parts), np.arange(parts + 1))
+        rows = extra + [_block(p, k, z, grams[a:b], docs[a:b]) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
         return pa.RecordBatch.from_pylist(rows, schema=_BLOCK)
 
     def run(batches):
@@ -163,12 +231,12 @@ def _map_blocks(width: int, parts: int, held: int):
 def _regroup(parts: int, held: int, by_text: bool):
     """Blocks of coarse ranges in blocks of `parts` fine ones, `held` entries at a time."""
     def flush(rows):
-        keys, sizes, grams, docs, df = _open(pa.Table.from_pylist(rows, schema=_BLOCK))
-        part = _spread(mix(keys.view(U)), parts)[docs] if by_text else _spread(grams, parts)
-        order = np.lexsort((grams, part))
-        part, grams, docs, df = part[order], grams[order], docs[order], None if df is None else df[order]
-        names, cuts = np.unique(part, return_index=True)
-        out = [_block(p, keys, sizes, grams[a:b], docs[a:b], None if df is None else df[a:b]) for p, a, b in zip(names.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(part)])]
+        out = []
+        for known in (False, True):
+            some = [r for r in rows if (r["df"] is not None) == known]
+            if some:
+                keys, sizes, grams, docs, df = _open(some)
+                out += _dealt(_by_text(keys, parts)[docs] if by_text or known else _spread(grams, parts), keys, sizes, grams, docs, df)
         return pa.RecordBatch.from_pylist(out, schema=_BLOCK)
 
     def run(batches):
@@ -186,33 +254,38 @@ def _regroup(parts: int, held: int, by_text: bool):
 
 
 def _shared(parts: int):
-    """Of a hash range: the n-grams that two or more texts have, in blocks by text."""
+    """Of a hash range: the n-grams that two or more texts have, in blocks by text; heavy ones pass."""
     def run(table: pa.Table) -> pa.Table:
-        keys, sizes, grams, docs, _ = _open(table)
-        order = np.lexsort((docs, grams))
-        grams, docs = grams[order], docs[order]
-        first = np.ones(len(grams), bool)
-        first[1:] = (grams[1:] != grams[:-1]) | (docs[1:] != docs[:-1])
-        grams, docs = grams[first], docs[first]
-        begin = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
-        df = np.repeat(np.diff(np.append(begin, len(grams))), np.diff(np.append(begin, len(grams))))
-        keep = df > 1
-        grams, docs, df = grams[keep], docs[keep], df[keep]
-        home = _spread(mix(keys.view(U)), parts)[docs]
-        rows = []
-        for p in np.unique(home).tolist():
-            at = home == p
-            rows.append(_block(p, keys, sizes, grams[at], docs[at], df[at]))
-        return pa.Table.from_pylist(rows, schema=_BLOCK)
+        rows = table.to_pylist()
+        out, light = [r for r in rows if r["df"] is not None], [r for r in rows if r["df"] is None]
+        if light:
+            keys, sizes, grams, docs, _ = _open(light)
+            order = np.lexsort((docs, grams))
+            grams, docs = grams[order], docs[order]
+            first = np.ones(len(grams), bool)
+            first[1:] = (grams[1:] != grams[:-1]) | (docs[1:] != docs[:-1])
+            grams, docs = grams[first], docs[first]
+            begin = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+            df = np.repeat(np.diff(np.append(begin, len(grams))), np.diff(np.append(begin, len(grams))))
+            keep = df > 1
+            grams, docs, df = grams[keep], docs[keep], df[keep]
+            out += _dealt(_by_text(keys, parts)[docs], keys, sizes, grams, docs, df)
+        for r in out:
+            r["part"] = int(_by_text(np.frombuffer(r["key"], np.int64)[:1], parts)[0])
+        return pa.Table.from_pylist(out, schema=_BLOCK)
     return run
 
 
 def _ordered(percent: int):
     """Of a range of texts: those whose prefix has an n-gram of another text, rare n-grams first."""
     def run(table: pa.Table) -> pa.Table:
-        keys, sizes, grams, docs, df = _open(table)
+        keys, sizes, grams, docs, df = _open(table.to_pylist())
         order = np.lexsort((grams, df, docs))
         grams, docs, df = grams[order], docs[order], df[order]
+        # a heavy n-gram of a text comes from every task that has the text
+        first = np.ones(len(grams), bool)
+        first[1:] = (grams[1:] != grams[:-1]) | (docs[1:] != docs[:-1])
+        grams, docs, df = grams[first], docs[first], df[first]
         cuts = np.searchsorted(docs, np.arange(len(keys) + 1))
         out = {"key": [], "n": [], "prefix": [], "grams": [], "dfs": []}
         for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
@@ -400,36 +473,61 @@ def link_texts(texts: DataFrame, percent: int, block_tokens: int) -> DataFrame:
     return done.select(F.col("v").alias("doc"), "component")
 
 
-def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, parts: int | None = None,
-                     held_entries: int = 2_000_000, block_tokens: int = 2_000_000, parts_at_once: int = 1024) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, n_shingles, component_id), one row per row of docs."""
+def classes(docs: DataFrame, width: int = 5, percent: int = 80, parts: int | None = None, held_entries: int = 2_000_000,
+            block_tokens: int = 2_000_000, parts_at_once: int = 1024, heavy_entries: int | None = None) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, text_key, n, comp): a row per row; comp names the row's class."""
     spark = docs.sparkSession
-    sizes = durable(set_sizes(docs, width))
+    passed = durable(set_sizes(docs, width, held_entries))
+    sizes = passed.where("gram is null").select("doc_id", "text_key", "n", "key")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
     if parts is None:
-        total = sizes.agg(F.sum("n")).first()[0] or 0
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / held_entries))
     # a task's blocks thin out as ranges grow in number: beyond parts_at_once, entries go in two hops
     coarse = parts if parts <= parts_at_once else math.ceil(math.sqrt(parts))
     parts = coarse * math.ceil(parts / coarse)
+    many = heavy_entries or max(held_entries // 8, total // HEAVY)
+    hot = passed.where("gram is not null").groupBy("gram").agg(F.sum("c").alias("c")).where(F.col("c") >= many).toArrow()
+    grams, counts = hot.column("gram").to_numpy().view(U), hot.column("c").to_numpy()
+    order = np.argsort(grams)
+    heavy = spark.sparkContext.broadcast((grams[order], np.minimum(counts[order], (1 << 31) - 1)))
 
     def gathered(blocks: DataFrame, by_text: bool) -> DataFrame:
         if coarse < parts:
             blocks = blocks.repartition(coarse, "part").mapInArrow(_regroup(parts, held_entries, by_text), _BLOCK_DDL)
         return blocks.repartition(parts, "part").groupBy("part")
-    texts = sizes.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("doc"))
     plain = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    blocks = plain.mapInArrow(_map_blocks(width, coarse, held_entries), _BLOCK_DDL)
+    blocks = plain.mapInArrow(_map_blocks(width, coarse, held_entries, heavy), _BLOCK_DDL)
     shared = gathered(blocks, False).applyInArrow(_shared(coarse), _BLOCK_DDL)
     ordered = gathered(shared, True).applyInArrow(_ordered(percent), "key long, n long, prefix int, grams array<long>, dfs array<int>")
-    named = durable(ordered.join(texts.where("doc is not null"), ["key", "n"]).select("doc", "n", "prefix", "grams", "dfs"))
-    linked = link_texts(named, percent, block_tokens)
-    classes = texts.join(linked, "doc", "left").select("key", "n", F.coalesce("component", "doc").alias("component_id"))
-    return (sizes.join(classes, ["key", "n"], "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    linked = link_texts(durable(ordered.withColumnRenamed("key", "doc")), percent, block_tokens)
+    return sizes.join(linked.withColumnRenamed("doc", "key"), "key", "left").select("doc_id", "text_key", "n", F.coalesce("component", "key").alias("comp"))
+
+
+def ngram_components(docs: DataFrame, **options) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, n_shingles, component_id), one row per row of docs."""
+    rows = durable(classes(docs, **options))
+    low = rows.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("low"))
+    return (rows.join(low, "comp", "left")
+            .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents whose class has one with a smaller id; columns stay as they are."""
-    gone = ngram_components(docs, **options).where("component_id <> doc_id").select("doc_id").distinct()
-    name = free_name(docs, "gone_id")
-    return docs.join(gone.withColumnRenamed("doc_id", name), F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    """docs with one row of each class: that of the smallest doc_id (null ids last), then text hash.
+
+    Of rows that agree in both, the one with the smallest hash over all columns stays.  Rows without
+    words all stay.  Columns stay as they are.
+    """
+    rows = durable(classes(docs, **options).where("n > 0"))
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    best = rows.groupBy("comp").agg(F.min(name).alias("best"))
+    a, b, c = (free_name(docs, x) for x in ("gone_id", "gone_key", "gone_many"))
+    each = (rows.join(best, "comp").groupBy(F.col("doc_id").alias(a), F.col("text_key").alias(b))
+            .agg(F.count("*").alias(c), F.first(name.eqNullSafe(F.col("best"))).alias("stays")))
+    marked = durable(each.where(f"not stays or {c} > 1"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(a)) & (F.xxhash64(F.col("text").cast("string")) == F.col(b))
+    left = docs.join(marked.select(a, b), same, "left_anti")
+    twice = marked.where("stays").select(a, b)
+    if not twice.limit(1).count():
+        return left
+    again = docs.join(twice, same).groupBy(a, b).agg(F.min_by(F.struct(*(docs[x] for x in docs.columns)), F.xxhash64(*(docs[x] for x in docs.columns))).alias(c))
+    return left.unionByName(again.select(f"{c}.*"))
