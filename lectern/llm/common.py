@@ -224,20 +224,33 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- numbering
 
-def numbered(df: DataFrame, group: str, order: list[str], name: str, cells: int = 64) -> DataFrame:
+def numbered(df: DataFrame, group: str, order: list[str], name: str, cell_rows: int = 500_000) -> DataFrame:
     """df with a gapless number from 0 in each group, whatever the size of the group.
 
-    Rows are dealt into `cells` cells of their group by a hash of the order columns; each cell is
-    numbered by itself and starts where the cells before it end.  The table of starts has at most
-    cells rows for each group, so for a bounded number of groups it is safe to broadcast.
+    Rows are dealt into cells of about `cell_rows` rows by a hash of the order columns; each cell is
+    numbered by itself and starts where the cells before it end.  The table of starts has a row for
+    each cell (one for each `cell_rows` rows, and one for each group), and is all that is broadcast;
+    the groups, of which there must be a bounded number, are counted on the driver.  Where so many rows agree in all
+    order columns that they would fill several cells, rows are dealt by their place in a checkpoint
+    as well; only then may rows that do not agree be numbered differently in another run.
     """
     from pyspark.sql import Window
 
-    cell, start, size = (free_name(df, x) for x in ("cell", "start", "cell_rows"))
-    dealt = df.withColumn(cell, F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int"))
+    cell, start, size, salt = (free_name(df, x) for x in ("cell", "start", "cell_rows", "salt"))
+    counts = {r[0]: r[1] for r in df.groupBy(group).agg(F.count("*")).collect()}
+    cells = F.lit(1)
+    for g, n in counts.items():
+        if n > cell_rows:
+            cells = F.when(F.col(group) == g, F.lit(-(-n // cell_rows))).otherwise(cells)
+
+    def deal(rows, *more):
+        dealt = rows.withColumn(cell, F.pmod(F.xxhash64(*order, *more), cells))
+        return dealt, durable(dealt.groupBy(group, cell).agg(F.count("*").alias(size)))
+    dealt, sizes = deal(df)
+    if (sizes.agg(F.max(size)).first()[0] or 0) > 4 * cell_rows:
+        dealt, sizes = deal(durable(df.withColumn(salt, F.monotonically_increasing_id())), salt)
     before = Window.partitionBy(group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    starts = (dealt.groupBy(group, cell).agg(F.count("*").alias(size))
-              .select(group, cell, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(start)))
+    starts = sizes.select(group, cell, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(start))
     inner = Window.partitionBy(group, cell).orderBy(*order)
     return (dealt.withColumn(name, F.row_number().over(inner) - 1).join(F.broadcast(starts), [group, cell])
-            .withColumn(name, (F.col(name) + F.col(start)).cast("long")).drop(cell, start))
+            .withColumn(name, (F.col(name) + F.col(start)).cast("long")).drop(cell, start, salt))

@@ -5,8 +5,12 @@ length, so the global histogram has at most max_tokens + 1 bins whatever the cor
 by Spark; a dynamic programme over its bins (convex-hull form, exact integers) chooses the
 `buckets` borders with the least total padding.  Each bucket's sequences are then numbered without
 gaps and cut into batches whose padded size stays within `token_budget`.  Nothing but the histogram
-reaches the driver, and a bucket may hold any share of the rows.  Null and empty texts are
-sequences of length 0 in the lowest bucket.
+reaches the driver, and a bucket may hold any share of the rows.  Texts are read once; what follows reads a
+checkpointed table of word counts.
+
+Cases: null and empty texts are sequences of length 0 in the lowest bucket; a text of any length goes on in
+parts; rows that repeat, also with null ids, have places of their own; of borders with equal padding the
+lower ones are taken.  An empty table gives no rows.  Other columns are left out.
 """
 
 from __future__ import annotations
@@ -16,14 +20,18 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered
+from .common import durable, numbered
 
 
-def sequences(docs: DataFrame, max_tokens: int) -> DataFrame:
-    """(doc_id, part, start, n_tokens): every document as one sequence, or as parts of max_tokens."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, n): the number of blank-separated words of each text."""
     words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
-    n = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.cast("long").alias("n"))
-    parts = n.select("doc_id", "n", F.explode(F.expr(f"sequence(0L, greatest(n - 1, 0L) div {max_tokens})")).alias("part"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.cast("long").alias("n"))
+
+
+def sequences(counts: DataFrame, max_tokens: int) -> DataFrame:
+    """(doc_id, part, start, n_tokens): every document as one sequence, or as parts of max_tokens."""
+    parts = counts.select("doc_id", "n", F.explode(F.expr(f"sequence(0L, greatest(n - 1, 0L) div {max_tokens})")).alias("part"))
     start = F.col("part") * max_tokens
     return parts.select("doc_id", F.col("part").cast("int").alias("part"), start.alias("start"), F.least(F.col("n") - start, F.lit(max_tokens)).cast("long").alias("n_tokens"))
 
@@ -70,9 +78,9 @@ def best_borders(histogram: dict[int, int], buckets: int) -> list[int]:
     return out[::-1]
 
 
-def pack(docs: DataFrame, buckets: int = 16, token_budget: int = 65536, max_tokens: int = 8192, cells: int = 64) -> DataFrame:
+def pack(docs: DataFrame, buckets: int = 16, token_budget: int = 65536, max_tokens: int = 8192, cell_rows: int = 500_000) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, part, start, n_tokens, bucket, border, batch, slot, padding)."""
-    seq = sequences(docs, max_tokens)
+    seq = sequences(durable(word_counts(docs)), max_tokens)
     histogram = {r.n_tokens: r.c for r in seq.groupBy("n_tokens").agg(F.count("*").alias("c")).collect()}
     borders = best_borders(histogram, buckets)
     bucket, border = F.lit(None).cast("int"), F.lit(None).cast("long")
@@ -80,6 +88,6 @@ def pack(docs: DataFrame, buckets: int = 16, token_budget: int = 65536, max_toke
         bucket = F.when(F.col("n_tokens") <= b, F.lit(k)).otherwise(bucket)
         border = F.when(F.col("n_tokens") <= b, F.lit(b).cast("long")).otherwise(border)
     room = F.greatest(F.lit(1), F.expr(f"{token_budget}L div greatest(border, 1L)"))
-    placed = numbered(seq.withColumns({"bucket": bucket, "border": border}), "bucket", ["doc_id", "part", "n_tokens"], "place", cells)
+    placed = numbered(seq.withColumns({"bucket": bucket, "border": border}), "bucket", ["doc_id", "part", "n_tokens"], "place", cell_rows)
     return placed.select("doc_id", "part", "start", "n_tokens", "bucket", "border", F.floor(F.col("place") / room).cast("long").alias("batch"),
                          F.pmod("place", room).cast("long").alias("slot"), (F.col("border") - F.col("n_tokens")).alias("padding"))

@@ -7,7 +7,12 @@ one aggregation of a slim table, at most 4096 rows for each border to the driver
 candidate nearest to the wanted share.  A border is done when it is within `tolerance` of a shard's
 bytes; else the cell around it is probed more finely, down to single hashes and then to single
 document ids.  So a group of equal texts is split only where the balance of bytes asks for it,
-and no document is ever split.  Null text has no bytes; rows that agree in text and doc_id stay together.
+and no document is ever split.
+
+Cases: a null text has no bytes and counts as empty, an empty table gives no rows; a document may be
+larger than a shard and is then alone or with few.  Rows that agree in text and doc_id, also in a null one,
+stay in one shard, and every one of them has its own slot.  Other columns are left out by `histogram_sort`;
+`write_shards` keeps all, and puts underscores before its own two names where the documents have them.
 """
 
 from __future__ import annotations
@@ -17,20 +22,24 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, numbered
+from .common import durable, free_name, numbered
 
 #: Bits of the key that each round of probes looks at: 64 of the hash, then 64 of the id.
 ROUNDS = (12, 12, 12, 12, 12, 4)
 _SIGN = -(1 << 63)
 
 
+def _key() -> dict[str, F.Column]:
+    """Size and key (hash, id) of a document; both keys order like unsigned numbers bit by bit."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return {"size": (F.octet_length(text) + F.lit(16)).cast("long"), "h": F.xxhash64(text).bitwiseXOR(F.lit(_SIGN)),
+            "d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_SIGN)).bitwiseXOR(F.lit(_SIGN))}
+
+
 def slim(docs: DataFrame) -> DataFrame:
     """(doc_id, size, text_crc32, h, d): what placing needs of a document."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t")).select(
-        "doc_id", (F.octet_length("t") + F.lit(16)).cast("long").alias("size"), F.crc32("t").alias("text_crc32"),
-        F.xxhash64("t").bitwiseXOR(F.lit(_SIGN)).alias("h"),
-        F.coalesce("doc_id", F.lit(_SIGN)).bitwiseXOR(F.lit(_SIGN)).alias("d"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text).alias("text_crc32"), *(c.alias(n) for n, c in _key().items()))
 
 
 def _signed(x: int) -> int:
@@ -78,19 +87,30 @@ def borders(rows: DataFrame, shards: int, tolerance: float) -> list[tuple[int, i
     return sorted(done.values())
 
 
-def histogram_sort(docs: DataFrame, shards: int = 40, tolerance: float = 0.005, cells: int = 64) -> DataFrame:
+def _shard(cuts: list[tuple[int, int]], h: str, d: str) -> F.Column:
+    """The number of borders at or below a key."""
+    out = F.lit(0)
+    for a, b in cuts:
+        if a < 1 << 64:
+            x, y = (F.col(c).bitwiseXOR(F.lit(_SIGN)) for c in (h, d))
+            out = out + ((x > a - (1 << 63)) | ((x == a - (1 << 63)) & (y >= b - (1 << 63)))).cast("int")
+    return out
+
+
+def histogram_sort(docs: DataFrame, shards: int = 40, tolerance: float = 0.005, cell_rows: int = 500_000) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, size, text_crc32, law, shard, slot, grown_shard)."""
     rows = durable(slim(docs))
-    after = lambda h, d: (F.col("h").bitwiseXOR(F.lit(_SIGN)) > h) | ((F.col("h").bitwiseXOR(F.lit(_SIGN)) == h) & (F.col("d").bitwiseXOR(F.lit(_SIGN)) >= d))
-    cuts = [(h - (1 << 63), d - (1 << 63)) for h, d in borders(rows, shards, tolerance) if h < 1 << 64]
-    shard = reduce(lambda x, y: x + y, [after(h, d).cast("int") for h, d in cuts], F.lit(0))
-    placed = numbered(rows.withColumn("shard", shard), "shard", ["h", "d", "size"], "slot", cells)
+    cuts = borders(rows, shards, tolerance)
+    placed = numbered(rows.withColumn("shard", _shard(cuts, "h", "d")), "shard", ["h", "d", "size"], "slot", cell_rows)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
                          "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """The documents themselves, one folder for each shard; their texts move once."""
-    placed = histogram_sort(docs, **options).select(F.col("doc_id").alias("placed_id"), "shard", "slot")
-    whole = docs.join(placed, F.col("doc_id").cast("long") == F.col("placed_id")).drop("placed_id")
-    whole.write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 40, tolerance: float = 0.005, cell_rows: int = 500_000) -> None:
+    """The documents themselves with shard and slot, a folder for each shard; texts move once, unjoined."""
+    cuts = borders(durable(slim(docs)), shards, tolerance)
+    names = {n: free_name(docs, n) for n in (*_key(), "shard", "slot")}
+    keyed = docs.withColumns({names[n]: c for n, c in _key().items()})
+    keyed = keyed.withColumn(names["shard"], _shard(cuts, names["h"], names["d"]))
+    placed = numbered(keyed, names["shard"], [names[n] for n in _key()], names["slot"], cell_rows)
+    placed.drop(*(names[n] for n in _key())).write.partitionBy(names["shard"]).parquet(path)

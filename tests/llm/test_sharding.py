@@ -1,7 +1,8 @@
 import random
 import zlib
 
-from lectern.llm.sharding import borders, histogram_sort, slim
+from lectern.llm.common import numbered
+from lectern.llm.sharding import borders, histogram_sort, slim, write_shards
 
 
 def test_bytes_are_near_equal_and_slots_gapless(spark):
@@ -40,3 +41,26 @@ def test_odd_tables(spark):
     got = histogram_sort(spark.createDataFrame([(None, "a", 1), (3, "b" * 100000, 2), (3, "b" * 100000, 2)], "doc_id long, text string, shard int")).collect()
     assert sorted((x.doc_id or 0, x.size) for x in got) == [(0, 17), (3, 100016), (3, 100016)]
     assert len({(x.shard, x.slot) for x in got}) == 3
+
+
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    r = random.Random(8)
+    rows = [(r.choice([None, 1, 2, *range(300)]), "t" * r.randint(0, 90), k) for k in range(900)] + [(None, "same", 0)] * 200 + [(4, None, 1)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, slot int").repartition(6)
+    path = str(tmp_path / "shards")
+    write_shards(docs, path, shards=5, cell_rows=40)
+    got = spark.read.parquet(path)
+    assert set(got.columns) == {"doc_id", "text", "slot", "_slot", "shard"}
+    back = got.collect()
+    assert sorted((repr(x.doc_id), repr(x.text), x.slot) for x in back) == sorted((repr(i), repr(t), k) for i, t, k in rows)
+    for s in {x.shard for x in back}:
+        assert sorted(x._slot for x in back if x.shard == s) == list(range(sum(x.shard == s for x in back)))
+    sizes = [sum(len(x.text or "") + 16 for x in back if x.shard == s) for s in range(5)]
+    assert max(sizes) - min(sizes) < 0.5 * sum(sizes) / 5 + 200 * 20
+
+
+def test_rows_that_agree_in_everything_fill_many_cells(spark):
+    df = spark.createDataFrame([(1, 7)] * 900 + [(2, k) for k in range(50)], "g int, v int").repartition(9)
+    got = numbered(df, "g", ["v"], "n", 20).collect()
+    for g, n in ((1, 900), (2, 50)):
+        assert sorted(x.n for x in got if x.g == g) == list(range(n))
