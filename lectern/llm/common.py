@@ -174,18 +174,24 @@ def uniform(*keys, seed=0x243F6A8885A308D3):
 # ---------------------------------------------------------------- training rows
 
 def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
-    """About `bound` of the rows, or all if there are no more, chosen by a hash of the key."""
+    """About `bound` of the rows, or all if there are no more, chosen by a hash of key and text.
+
+    Rows that agree in both fall in or out together; should that give far too many, twice the bound is taken.
+    """
     n = rows.count()
     if n <= bound:
         return rows
-    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < F.lit(int((1 << 30) * bound / n)))
+    return rows.where(_lot(rows, key) < F.lit(int((1 << 30) * bound / n))).limit(2 * bound)
+
+
+def _lot(rows: DataFrame, key: str) -> F.Column:
+    return F.pmod(F.xxhash64(F.col(key), *([F.col("text")] if "text" in rows.columns else []), F.lit("sample")), F.lit(1 << 30))
 
 
 def bounded_by(rows: DataFrame, group: str, key: str, bound: int) -> DataFrame:
     """About `bound` rows of each value of `group`, or all if it has no more, chosen by a hash of the key."""
     rate = rows.groupBy(group).agg((F.lit(float(1 << 30)) * bound / F.count("*")).alias("_rate"))
-    lot = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30))
-    return rows.join(rate, group).where(lot < F.col("_rate")).drop("_rate")
+    return rows.join(rate, group).where(_lot(rows, key) < F.col("_rate")).drop("_rate")
 
 
 def learned_from(key: str, modulus: int, held_out: int) -> F.Column:

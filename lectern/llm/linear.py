@@ -36,5 +36,12 @@ class Ftrl:
         return used[w != 0], w[w != 0]
 
 
+def dense(pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The weights of compact (feature, weight) pairs as an array, bias last."""
+    w = np.zeros((1 << BITS) + 1)
+    w[pairs[0]] = pairs[1]
+    return w
+
+
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))

@@ -5,7 +5,13 @@ pairs and pairs with one word between them, hashed to 2**20 coordinates; a featu
 however often it occurs, so length alone moves no score.  The learner sees a bounded, documented
 sample of labelled rows (`bound`) in one task, in an order given by a hash, `epochs` times; the L1
 penalty leaves a few hundred weights, which are broadcast (never more than 2**20).
-Scores use texts alone, whole texts, and every row.  Null and empty texts score the bias.
+Scores use texts alone, whole texts, and every row.
+
+Cases: null and empty texts score the bias and are learned from like others; a text of any length is
+one row (the sample's texts meet in one task, so `bound` and the longest texts bound its memory); of documents that share an
+id the text that sorts first is learned from, with the larger label, and rows that repeat get equal scores; with labels of one
+kind, or none, the scores are the bias alone; a score equal to the threshold is predicted 1.  Empty
+tables give no rows.  Other columns, whatever their names, are never read.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import PUNCTUATION, bounded_sample, learned_from, mix, steps, word_hashes
-from .linear import BITS, Ftrl, sigmoid
+from .linear import BITS, Ftrl, dense, sigmoid
 
 U = np.uint64
 KINDS = (U(0x51), U(0x52), U(0x53))
@@ -56,18 +62,16 @@ def _train(alpha: float, l1: float, l2: float, epochs: int):
 
 
 def train(labelled: DataFrame, bound: int = 16000, alpha: float = 4.0, l1: float = 3.0, l2: float = 0.0, epochs: int = 4):
-    """labelled(doc_id, text, target 0/1) -> dense weights (2**20 and a bias), fitted on <= bound rows."""
+    """labelled(doc_id, text, target 0/1) -> (features, weights), fitted on about `bound` rows; the bias is feature 2**20."""
     rows = bounded_sample(labelled.where("target is not null"), "doc_id", bound).select(
         F.lit(0).alias("one"), "doc_id", F.xxhash64("doc_id", F.lit("order")).alias("turn"), F.lower(F.col("text").cast("string")).alias("text"), F.col("target").cast("double").alias("target"))
     got = rows.groupBy("one").applyInArrow(_train(alpha, l1, l2, epochs), "feature long, weight double").toArrow()
-    w = np.zeros((1 << BITS) + 1)
-    w[got.column("feature").to_numpy()] = got.column("weight").to_numpy()
-    return w
+    return got.column("feature").to_numpy(), got.column("weight").to_numpy()
 
 
 def _score(shared):
     def run(batches):
-        w = shared.value
+        w = dense(shared.value)
         for batch in batches:
             for part in steps(batch):
                 doc, f = features(part.column("text"))
@@ -88,7 +92,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int
     known = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("target")).where(learned_from("doc_id", modulus, held_out))
     known = bounded_sample(known.where("target is not null"), "doc_id", options.pop("bound", 16000))
     # at most about `bound` ids: small enough to broadcast whatever the corpus
-    shared = spark.sparkContext.broadcast(train(plain.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]), bound=1 << 62, **options))
+    rows = plain.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("target").alias("target"))
+    shared = spark.sparkContext.broadcast(train(rows, bound=1 << 62, **options))
     lowered = plain.select("doc_id", F.lower("text").alias("text"))
     return lowered.mapInArrow(_score(shared), "doc_id long, score double").select(
         "doc_id", (~learned_from("doc_id", modulus, held_out) & F.col("doc_id").isNotNull()).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -8,7 +8,15 @@ over those counts estimates each labeller's accuracy, given that it votes, and t
 texts, without any curated label.  The posterior of a text's pattern is its training label for a logistic scorer
 (FTRL) over hashed word shapes, shape pairs and repetition marks, as shares of the text's words; it
 is fitted on a bounded, documented sample (`bound`) and scores every whole text.  A text is kept
-at `keep_at` or more.  Null or blank texts have no votes and no features: they score 0 and go.
+at `keep_at` or more.  The labellers are taken as independent given the quality of a text; where they are
+not (stutter and variety both see repetition) the posterior is surer than it should be.  The start of EM, that a bad
+vote outweighs a good one, and the bounds of the accuracies are choices, not estimates.
+
+Cases: null or blank texts have no votes and no features: they score 0 and go.  A text of any length is
+one row, and the sample's texts meet in one task, so `bound` and the longest texts bound its memory.  Rows that repeat
+count as often as they occur and get equal scores; with votes of one kind the posterior is the prior
+moved by them alone; a score equal to `keep_at` is kept.  Empty tables give no rows.  Other columns,
+whatever their names, are kept by `keep_good` and left out by `quality`.
 """
 
 from __future__ import annotations
@@ -19,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _BLANK, _BYTE_CODE, _LOWER, bounded_sample, hash_runs, mix, steps, utf8
-from .linear import BITS, Ftrl, sigmoid
+from .linear import BITS, Ftrl, dense, sigmoid
 
 U = np.uint64
 LABELLERS = ("symbols", "capitals", "cells", "variety", "stutter", "shouting", "sentences", "prose")
@@ -161,7 +169,7 @@ def _train(posterior: dict[int, float], epochs: int):
 
 def _score(shared):
     def run(batches):
-        w = shared.value
+        w = dense(shared.value)
         for batch in batches:
             for part in steps(batch):
                 t = Texts(part.column("text"))
@@ -179,9 +187,7 @@ def _fit(docs: DataFrame, bound: int, epochs: int):
     posterior, _, _ = fit_label_model(counts)
     some = bounded_sample(docs, "doc_id", bound).select(F.lit(0).alias("one"), F.xxhash64("doc_id", F.lit("order")).alias("turn"), "doc_id", "text")
     got = some.groupBy("one").applyInArrow(_train(posterior, epochs), "feature long, weight double").toArrow()
-    w = np.zeros((1 << BITS) + 1)
-    w[got.column("feature").to_numpy()] = got.column("weight").to_numpy()
-    return w, posterior
+    return (got.column("feature").to_numpy(), got.column("weight").to_numpy()), posterior
 
 
 def quality(docs: DataFrame, bound: int = 8000, epochs: int = 8, keep_at: float = 0.5) -> DataFrame:
@@ -196,7 +202,7 @@ def quality(docs: DataFrame, bound: int = 8000, epochs: int = 8, keep_at: float
 
 def _keep(shared, keep_at: float, name: str):
     def run(batches):
-        w = shared.value
+        w = dense(shared.value)
         for batch in batches:
             for part in steps(batch, name):
                 t = Texts(part.column(name))
