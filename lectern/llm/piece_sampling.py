@@ -72,12 +72,12 @@ class Pieces:
         self.log = np.array([logs[i] - total for i in plain])
         self.lost = float(self.log.min() - UNKNOWN)
         self.longest = max(map(len, words.values()))
-        self.prefix = np.zeros(1 << 22, bool)
-        self.prefix[(mix(np.array(sorted(prefixes), U)) >> U(42)).astype(np.int64)] = True
+        self.prefix = np.zeros(1 << 20, bool)
+        self.prefix[(mix(np.array(sorted(prefixes), U)) >> U(44)).astype(np.int64)] = True
         # piece numbers by hash cell; a piece whose cell is taken is found by another cell
         cells = mix(self.hash)
-        first, other = (cells >> U(42)).astype(np.int64), (cells & U((1 << 20) - 1)).astype(np.int64)
-        self.table, self.spare = np.full(1 << 22, -1, np.int32), np.full(1 << 20, -1, np.int32)
+        first, other = (cells >> U(44)).astype(np.int64), (cells & U((1 << 20) - 1)).astype(np.int64)
+        self.table, self.spare = np.full(1 << 20, -1, np.int32), np.full(1 << 20, -1, np.int32)
         self.table[first[::-1]] = np.arange(len(plain), dtype=np.int32)[::-1]
         moved = np.flatnonzero(self.table[first] != np.arange(len(plain)))
         self.spare[other[moved]] = moved
@@ -94,7 +94,7 @@ class Pieces:
 
     def find(self, h: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """Piece number of each hash (cells: its mix), or -1."""
-        i = self.table[(cells >> U(42)).astype(np.int64)]
+        i = self.table[(cells >> U(44)).astype(np.int64)]
         lost = np.flatnonzero(self.hash[i] != h)
         i[lost] = self.spare[(cells[lost] & U((1 << 20) - 1)).astype(np.int64)]
         lost = lost[self.hash[i[lost]] != h[lost]]
@@ -120,7 +120,7 @@ class Lattice:
             live, h = live[fits], h[fits]
             h = h * _P + chars[live + n - 1].astype(U) + U(1)
             cell = mix(h)
-            some = pieces.prefix[(cell >> U(42)).astype(np.int64)]
+            some = pieces.prefix[(cell >> U(44)).astype(np.int64)]
             live, h, cell = live[some], h[some], cell[some]
             if not len(live):
                 break
@@ -161,38 +161,28 @@ class Lattice:
         self.group[node] = first
         self.count = np.zeros(len(mass), np.int64)
         self.count[node] = many
-        self.final = np.zeros(len(mass), bool)
-        self.final[self.first + sizes] = True
-
-    def after(self, other: "Lattice") -> "Lattice":
-        """Both in one, this one's nodes and edges numbered after the other's; `first` stays unset."""
-        out, nodes, edges = object.__new__(Lattice), len(other.final), len(other.piece)
-        for name, shift in (("begin", nodes), ("end", nodes), ("group", edges)):
-            setattr(out, name, np.concatenate((getattr(other, name), getattr(self, name) + shift)))
-        for name in ("piece", "share", "within", "count", "final"):
-            setattr(out, name, np.concatenate((getattr(other, name), getattr(self, name))))
-        return out
 
     def draw(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(edges, number for each start): from each start node to its chunk's end, by mass."""
-        at, who, turn, took = nodes.copy(), np.arange(len(nodes)), 0, []
-        busy = ~self.final[at]
-        at, who = at[busy], who[busy]
-        while len(who):
+        at, who, turn, took = nodes, np.arange(len(nodes)), 0, []
+        while True:
+            many = self.count[at]
+            busy = np.flatnonzero(many)
+            if not len(busy):
+                break
+            if len(busy) < len(at):
+                at, who, many = at[busy], who[busy], many[busy]
             e = self.group[at]
-            walk = np.flatnonzero(self.count[at] > 1)
-            u = uniform(turn, seed=keys[who[walk]])
-            while len(walk):
-                further = u > self.within[e[walk]]
-                walk, u = walk[further], u[further]
-                e[walk] += 1
+            walk = np.flatnonzero(many > 1)
+            u, near = uniform(turn, seed=keys[who[walk]]), e[walk]
+            go = np.flatnonzero(u > self.within[near])
+            while len(go):
+                near[go] += 1
+                go = go[u[go] > self.within[near[go]]]
+            e[walk] = near
             took.append((who, e))
             at, turn = self.end[e], turn + 1
-            busy = ~self.final[at]
-            at, who = at[busy], who[busy]
-        count = np.zeros(len(nodes), np.int64)
-        for w, _ in took:
-            count[w] += 1
+        count = np.bincount(np.concatenate([w for w, _ in took]), minlength=len(nodes)) if took else np.zeros(len(nodes), np.int64)
         edges, base = np.empty(int(count.sum()), np.int64), np.cumsum(count) - count
         for t, (w, e) in enumerate(took):
             edges[base[w] + t] = e
@@ -303,6 +293,24 @@ class Common:
 
     def __init__(self):
         self.names, self.lattice = np.empty(0, U), None
+        self.room: dict[str, np.ndarray] = {}
+
+    def followed_by(self, new: Lattice) -> Lattice:
+        """Both in one, the new one's nodes and edges numbered after these; `first` stays unset.
+
+        The arrays are views of room that the next call writes over.
+        """
+        out, old = object.__new__(Lattice), self.lattice
+        for name in ("begin", "end", "group", "piece", "share", "within", "count"):
+            a, b = getattr(old, name), getattr(new, name)
+            room = self.room.get(name)
+            if room is None or len(room) < len(a) + len(b):
+                room = self.room[name] = np.empty(len(a) + 2 * len(b), a.dtype)
+                room[:len(a)] = a
+            shift = len(old.count) if name in ("begin", "end") else len(old.piece) if name == "group" else 0
+            np.add(b, shift, out=room[len(a):len(a) + len(b)])
+            setattr(out, name, room[:len(a) + len(b)])
+        return out
 
 
 def _chains(pieces: Pieces, texts: list[str], common: Common | None = None, learn: bool = False):
@@ -345,12 +353,9 @@ def _chains(pieces: Pieces, texts: list[str], common: Common | None = None, lear
     known = common.names[i] == each
     fresh = np.flatnonzero(~known)
     lattice, head = common.lattice, common.lattice.first[i]
-    if len(fresh):
-        new = built(fresh)
-        lattice = new.after(common.lattice)
-        head[fresh] = new.first + len(common.lattice.final)
-    else:
-        lattice = lattice.after(lattice)
+    new = built(fresh)
+    lattice = common.followed_by(new)
+    head[fresh] = new.first + len(common.lattice.count)
     lattice.first = head
     return chain, links, lattice
 
