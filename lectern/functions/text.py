@@ -111,7 +111,7 @@ def paper_type(title, citation, start, end, described=None) -> Column:
         own = F.transform(col(described), F.trim)
         rules = [(F.array_contains(own, k), v) for k, v in named.items()] + [
             (F.array_contains(own, "Practice-Oriented Paper"), F.when(pages >= 6, "Full Paper").otherwise("Short Paper"))] + rules
-    return F.coalesce(*[F.when(c, v if isinstance(v, Column) else F.lit(v)) for c, v in rules], F.lit("Paper"))
+    return F.coalesce(*[F.when(c, v if isinstance(v, Column) else F.lit(v)) for c, v in rules], F.lit("Short Paper"))
 
 
 def year_in(x, default: int | None = None) -> Column:
@@ -162,6 +162,10 @@ def cell(x) -> Column:
     return F.regexp_replace(F.replace(col(x), F.lit("|"), F.lit("\\|")), r"\s*\n\s*", " ")
 
 
+#: Prefixes that a repeated title phrase may lack.
+PREFIXES = "self-|non-|pre-|co-"
+
+
 def blank(x) -> Column:
     return col(x).isNull() | (F.trim(col(x)) == "")
 
@@ -175,14 +179,32 @@ def clean_paragraphs(x) -> Column:
 
 
 def strip_repeated_suffix(x) -> Column:
-    """Cuts the longest run of two or more final words that the words before it already end with."""
+    """Cuts the longest run of two or more final words that stands anywhere before it, whatever the case.
+
+    At most half of the words go; stems without a leading or inner prefix (PREFIXES) count as equal.  Marks and
+    blanks at the end go too.
+    """
     words = F.split(F.trim(col(x)), r"\s+")
+    low = lambda w: F.lower(F.array_join(w, " "))
 
-    def twice(n):
-        return F.slice(words, F.size(words) - n + 1, n) == F.slice(words, F.size(words) - 2 * n + 1, n)
+    def repeated(n):
+        tail, head = low(F.slice(words, F.size(words) - n + 1, n)), low(F.slice(words, 1, F.size(words) - n))
+        bare = F.regexp_replace(tail, f"^({PREFIXES})", "")
+        return F.contains(head, tail) | F.contains(F.regexp_replace(head, f"({PREFIXES})", ""), bare)
     sizes = F.when(F.size(words) >= 4, F.sequence(F.floor(F.size(words) / 2).cast("int"), F.lit(2), F.lit(-1)))
-    best = F.get(F.filter(sizes, twice), F.lit(0))
-    return F.when(best.isNotNull(), F.array_join(F.slice(words, 1, F.size(words) - best), " ")).otherwise(F.trim(col(x)))
+    best = F.get(F.filter(sizes, repeated), F.lit(0))
+    kept = F.when(best.isNotNull(), F.array_join(F.slice(words, 1, F.size(words) - best), " ")).otherwise(F.array_join(words, " "))
+    return F.regexp_replace(kept, r"[\s:;,.]+$", "")
+
+
+#: Words that a finished title does not end with.
+DANGLING = ["a", "an", "the", "in", "on", "at", "for", "to", "of", "with", "by", "from", "through", "into", "about", "and", "or", "as", "is", "are", "during",
+            "between", "among", "using", "towards?"]
+
+
+def dangling(x) -> Column:
+    """Whether a title breaks off after a connecting word or a hyphen."""
+    return col(x).rlike(rf"(?i)(?:\b(?:{'|'.join(DANGLING)})|-)\s*$")
 
 
 def provenance(sources, sigils: dict[str, str]) -> Column:

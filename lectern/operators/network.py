@@ -82,13 +82,25 @@ def density_matrix(labels: DataFrame) -> DataFrame:
 def citation_links(cited: DataFrame, lines: DataFrame, least: int = 3, words: int = 6, size: int = 4) -> DataFrame:
     """(line_id, target_id, common): the first target by id whose key words share `least` with a line.
 
-    cited(target_id, title), lines(line_id, text).  A target's key is its first `words` tokens
-    longer than `size`; targets meet lines through an inverted-token equi join.
+    cited(target_id, title[, year]), lines(line_id, text[, year]).  A target's key is its first `words` tokens
+    longer than `size`; where both have a year, no target is younger than the line.  A pair that shares `least`
+    of a target's k tokens shares one of its k - least + 1 rarest, so only those meet lines, through an equi
+    join, and the other tokens are counted in the pairs found.
     """
     from ..functions.text import tokens
 
     key = F.slice(F.filter(tokens("title"), lambda t: F.length(t) > size), 1, words)
-    index = cited.select("target_id", F.array_distinct(key).alias("k")).where(F.size("k") >= least).select("target_id", F.explode("k").alias("token"))
-    said = lines.select("line_id", F.explode(F.array_distinct(F.filter(tokens("text"), lambda t: F.length(t) > size))).alias("token"))
-    met = said.join(index, "token").groupBy("line_id", "target_id").agg(F.count("*").alias("common")).where(F.col("common") >= least)
+    dated = "year" in cited.columns and "year" in lines.columns
+    index = cited.select("target_id", F.array_distinct(key).alias("k"), *(["year"] if dated else [])).where(F.size("k") >= least)
+    said = lines.select("line_id", F.array_distinct(F.filter(tokens("text"), lambda t: F.length(t) > size)).alias("said"), *([F.col("year").alias("said_year")] if dated else []))
+    often = said.select(F.explode("said").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    each = index.select("target_id", F.explode("k").alias("token")).join(often, "token")
+    rare = each.groupBy("target_id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("r"))
+    # tokens that no line has are the rarest of all and need not meet any
+    few = rare.join(index, "target_id").select("target_id", "k", *(["year"] if dated else []), F.expr(f"slice(r, 1, greatest(0, size(r) - {least} + 1))").alias("r"))
+    asked = few.select("target_id", "k", *(["year"] if dated else []), F.explode("r.token").alias("token"))
+    met = said.select("*", F.explode("said").alias("token")).join(asked, "token")
+    if dated:
+        met = met.where("year <= said_year")
+    met = met.select("line_id", "target_id", F.size(F.array_intersect("said", "k")).cast("long").alias("common")).where(F.col("common") >= least)
     return met.groupBy("line_id").agg(F.min_by(F.struct("target_id", "common"), "target_id").alias("x")).select("line_id", "x.*")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words that a finished paragraph does not end with.
-CONNECTORS = ["and", "or", "the", "of", "in", "to", "for", "with", "a", "an"]
+CONNECTORS = ["and", "or", "the", "a", "an", "of", "to", "in", "for", "with",
+              "by", "from", "on", "at", "as", "that", "which", "between", "into", "through"]
 
 
 def open_citation(text) -> Column:

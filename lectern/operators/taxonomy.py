@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,10 @@ def any_of(patterns: list[str]) -> str:
     return "(?iu)(" + "|".join(patterns) + ")"
 
 
-def centrality(title, abstract, pattern: str) -> Column:
-    """5 for a title hit, 4 for three or more abstract hits, 3 for one, else 1."""
-    hits = F.regexp_count(abstract, F.lit(pattern))
-    return F.when(F.col(title).rlike(pattern), 5).when(hits >= 3, 4).when(hits >= 1, 3).otherwise(1)
+def centrality(title, abstract, patterns: list[str]) -> Column:
+    """5 for a title hit, 4 for three or more abstract hits over all patterns, 3 for one, else 1."""
+    hits = reduce(lambda a, b: a + b, [F.coalesce(F.regexp_count(abstract, F.lit(f"(?iu){p}")), F.lit(0)) for p in patterns])
+    return F.when(F.col(title).rlike(any_of(patterns)), 5).when(hits >= 3, 4).when(hits >= 1, 3).otherwise(1)
 
 
 def classify(papers: DataFrame, rules: Rules, defaults: dict[str, str], title: str = "title", abstract: str = "body") -> DataFrame:
@@ -30,7 +32,7 @@ def classify(papers: DataFrame, rules: Rules, defaults: dict[str, str], title: s
     df, arrays = papers.select("id", title, abstract, text.alias("_text")), []
     for dimension, labels in rules.items():
         found = F.array_compact(F.array(*[F.when(F.col("_text").rlike(any_of(p)), F.struct(
-            F.lit(dimension).alias("dimension"), F.lit(label).alias("label"), centrality(title, abstract, any_of(p)).alias("centrality"), F.lit(0.9).alias("confidence")))
+            F.lit(dimension).alias("dimension"), F.lit(label).alias("label"), centrality(title, abstract, p).alias("centrality"), F.lit(0.9).alias("confidence")))
             for label, p in labels.items()]))
         if dimension in defaults:
             none = F.array(F.struct(F.lit(dimension).alias("dimension"), F.lit(defaults[dimension]).alias("label"), F.lit(1).alias("centrality"), F.lit(0.5).alias("confidence")))

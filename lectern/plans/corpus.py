@@ -239,7 +239,8 @@ def _label_sql() -> str:
     for dim, labels in RULES.items():
         for label, p in labels.items():
             pattern = "(?i)(" + "|".join(p) + ")"
-            parts.append(f"SELECT id, '{dim}' AS dimension, '{label}' AS label, CASE WHEN regexp_matches(title, '{pattern}') THEN 5 WHEN len(regexp_extract_all(body, '{pattern}')) >= 3 THEN 4 WHEN len(regexp_extract_all(body, '{pattern}')) >= 1 THEN 3 ELSE 1 END AS centrality, 0.9::DOUBLE AS confidence FROM p WHERE regexp_matches(title || ' ' || body, '{pattern}')")
+            hits = "(" + " + ".join(f"len(regexp_extract_all(body, '(?i){x}'))" for x in p) + ")"
+            parts.append(f"SELECT id, '{dim}' AS dimension, '{label}' AS label, CASE WHEN regexp_matches(title, '{pattern}') THEN 5 WHEN {hits} >= 3 THEN 4 WHEN {hits} >= 1 THEN 3 ELSE 1 END AS centrality, 0.9::DOUBLE AS confidence FROM p WHERE regexp_matches(title || ' ' || body, '{pattern}')")
         if dim in DEFAULTS:
             every = "(?i)(" + "|".join(x for p in labels.values() for x in p) + ")"
             parts.append(f"SELECT id, '{dim}', '{DEFAULTS[dim]}', 1, 0.5::DOUBLE FROM p WHERE NOT regexp_matches(title || ' ' || body, '{every}')")

@@ -212,9 +212,9 @@ def str9_heading_labels(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", sections.heading_label("role", {"introduction": ["user"], "results": ["assistant"]}).alias("label"))
 
 
-@query(r"SELECT doc_id, regexp_matches(rtrim(split_part(text, chr(10), 1)), '(?i)(^|\s)(the|of|and|in|der|de|la|que|und|et)\s*$') AS dangling FROM documents")
+@query(rf"SELECT doc_id, regexp_matches(split_part(text, chr(10), 1), '(?i)(?:\b(?:{'|'.join(T.DANGLING)})|-)\s*$') AS dangling FROM documents")
 def str45_dangling(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.rtrim(T.first_line("text")).rlike(r"(?i)(^|\s)(the|of|and|in|der|de|la|que|und|et)\s*$").alias("dangling"))
+    return table(spark, d, "documents").select("doc_id", T.dangling(T.first_line("text")).alias("dangling"))
 
 
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\.{4,}', '...', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', E'\n\n', 'g') AS text FROM documents")
@@ -260,12 +260,14 @@ def tax9_id_flag(spark, d):
     return table(spark, d, "documents").select("doc_id").join(ids, "doc_id", "left").select("doc_id", F.col("hit").isNotNull().alias("flagged"))
 
 
-@query("SELECT dimension || '.' || label AS id, dimension, label FROM (VALUES ('tone', 'insult'), ('tone', 'scorn'), ('rights', 'license'), ('rights', 'contact')) v(dimension, label) WHERE EXISTS (SELECT 1 FROM documents)")
+@query(f"SELECT dimension || '.' || label AS id, dimension, label, count(*) AS papers FROM ({_label_sql()}) GROUP BY ALL")
 def tax6_definitions(spark, d):
-    rows = [(f"{dim}.{label}", dim, label, 1) for dim, labels in RULES.items() for label in labels]
-    defs = spark.createDataFrame(rows, "id string, dimension string, label string, version int")
-    used = table(spark, d, "documents").limit(1).select(F.lit(1).alias("one"))
-    return upserts.upsert(defs.limit(0), defs, ["id"], "version").crossJoin(F.broadcast(used)).select("id", "dimension", "label")
+    """Definitions of the labels that papers have, upserted over the rules' own list."""
+    used = taxonomy.classify(R.papers(spark, d), RULES, DEFAULTS).groupBy("dimension", "label").agg(F.count("*").alias("papers"))
+    new = used.select(F.concat_ws(".", "dimension", "label").alias("id"), "dimension", "label", "papers", F.lit(2).alias("version"))
+    listed = [(f"{dim}.{label}", dim, label, 0, 1) for dim, labels in RULES.items() for label in labels]
+    old = spark.createDataFrame(listed, "id string, dimension string, label string, papers long, version int").join(F.broadcast(new.select("id")), "id", "left_semi")  # a row for each label
+    return upserts.upsert(old, new, ["id"], "version").select("id", "dimension", "label", "papers")
 
 
 # ---------------------------------------------------------------- extraction

@@ -41,6 +41,10 @@ def test_names_and_text(spark):
     assert (one(spark, T.given_name("c0"), "Ada B. Lovelace"), one(spark, T.family_name("c0"), "Ada B. Lovelace")) == ("Ada B.", "Lovelace")
     assert one(spark, T.title_key("c0"), "Resolving  Expert: A Case Study!") == "resolving expert a case study"
     assert one(spark, T.strip_repeated_suffix("c0"), "On Talk Jane Roe Jane Roe") == "On Talk Jane Roe"
+    assert one(spark, T.strip_repeated_suffix("c0"), "Learning by design in science class: learning by design") == "Learning by design in science class"
+    assert one(spark, T.strip_repeated_suffix("c0"), "Three plain words.") == "Three plain words"
+    assert one(spark, T.paper_type("c0", "c1", F.lit(None), F.lit(None)), "A", "b") == "Short Paper"
+    assert one(spark, T.dangling("c0"), "Learning towards") and one(spark, T.dangling("c0"), "co-") and not one(spark, T.dangling("c0"), "Learning data")
     assert one(spark, T.clean_paragraphs("c0"), "A bro-\nken line ,\nand more .\n\nContact: a@b.org\n\nAbstract:") == "A broken line, and more."
     assert one(spark, T.context("c0", "(?i)needle", 4), "hay hay Needle hay hay") == "...hay Needle hay..."
     assert one(spark, T.unescape("c0"), "a &amp;lt; b &quot;c&quot;") == 'a &lt; b "c"'
