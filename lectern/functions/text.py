@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Letters with diacritics and the plain letters they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
+# Latin letters whose canonical decomposition begins with an ASCII letter, by that letter.
+_MARKED = {c: d[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower() and (d := unicodedata.normalize("NFD", c)) != c and d[0].isascii()}
+ACCENTED, FOLDED = "".join(_MARKED), "".join(_MARKED.values())
 
 
 def col(x) -> Column:
@@ -114,6 +116,15 @@ def paper_type(title, citation, start, end, described=None) -> Column:
     return F.coalesce(*[F.when(c, v if isinstance(v, Column) else F.lit(v)) for c, v in rules], F.lit("Short Paper"))
 
 
+def volume_type(volume, pages, title, abstract) -> Column:
+    """Type from the volume and the number of pages, by table; text decides in volume 2 without pages."""
+    v, n = col(volume), col(pages)
+    text = F.lower(F.concat_ws(" ", F.coalesce(col(title), F.lit("")), F.coalesce(col(abstract), F.lit(""))))
+    by_length = F.when(n >= 6, F.when(v == 2, "Symposium").otherwise("Full Paper")).when(n.between(3, 5), "Short Paper").when(n.between(1, 2), "Poster")
+    bare = F.when((v == 2) & text.contains("symposium"), "Symposium").when(v == 3, "Poster").otherwise("Short Paper")
+    return F.when(v == 1, "Full Paper").otherwise(F.coalesce(by_length, bare))
+
+
 def year_in(x, default: int | None = None) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(col(x), r"(20\d{2})", 1), F.lit("")).cast("int"), F.lit(default))
 

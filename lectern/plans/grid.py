@@ -130,11 +130,6 @@ def prj7_document(spark, d):
     return R.turns(spark, d).groupBy("paper_id").agg(F.array_join(block, "\n\n").alias("document"))
 
 
-@query("SELECT c_custkey, c_mktsegment || ' - ' || c_name AS name FROM customer")
-def prj9_review_name(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.concat_ws(" - ", F.when(F.col("c_mktsegment") == "sections", "Expanded Scope").otherwise(F.col("c_mktsegment")), "c_name").alias("name"))
-
-
 # ---------------------------------------------------------------- joins
 
 @query("""WITH a AS (SELECT item_id, text AS t FROM benchmark), b AS (SELECT doc_id, text AS t FROM documents), m AS (
@@ -196,12 +191,6 @@ def set7_layered_union(spark, d):
 
 # ---------------------------------------------------------------- text
 
-@query("SELECT p_partkey, CASE WHEN p_size >= 40 AND p_partkey % 3 = 0 THEN 'Symposium' WHEN p_size >= 40 THEN 'Full Paper' WHEN p_size >= 20 THEN 'Short Paper' ELSE 'Poster' END AS kind FROM part")
-def str3_type_table(spark, d):
-    size, third = F.col("p_size"), F.col("p_partkey") % 3 == 0
-    return table(spark, d, "part").select("p_partkey", F.when((size >= 40) & third, "Symposium").when(size >= 40, "Full Paper").when(size >= 20, "Short Paper").otherwise("Poster").alias("kind"))
-
-
 @query("SELECT doc_id, CASE WHEN contains(upper(source), 'SRC1') THEN 'SRC1' WHEN contains(upper(source), 'SRC2') THEN 'SRC2' ELSE 'none' END AS conference FROM documents")
 def str6_conference(spark, d):
     return table(spark, d, "documents").select("doc_id", T.conference_in("source", ["SRC1", "SRC2"], "none").alias("conference"))

@@ -45,3 +45,28 @@ def page_links(pages: DataFrame) -> DataFrame:
     """(page_id, position, href): distinct link targets in order of first appearance, without the page itself."""
     found = F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1)))
     return pages.select("page_id", "url", F.posexplode(found).alias("position", "href")).where("href <> url").select("page_id", "href")
+
+
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Blocks of a folder of JSON-lines files, one row a line, with a given schema (no inference pass)."""
+    return spark.read.schema(schema).json(path)
+
+
+def csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header and quoted line breaks, every column as text."""
+    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+
+
+def year_volumes(spark: SparkSession, folder: str, year: int, names: list[str]) -> DataFrame:
+    """(file, line, text): lines of the volumes `<name>-<year>.md` of one year that exist."""
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter=f"{{{','.join(names)}}}-{year}.md").withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    return files.select("file", F.posexplode(F.split("value", "\n")).alias("p", "text")).select("file", (F.col("p") + 1).alias("line"), "text")
+
+
+def layered_observations(spark: SparkSession, folders: list[str], schema: str) -> DataFrame:
+    """One observation for each (paper_id, property_id); folders named first win."""
+    from functools import reduce
+
+    layers = [spark.read.schema(schema).json(p, multiLine=True).withColumn("layer", F.lit(i)) for i, p in enumerate(folders)]
+    rows = reduce(DataFrame.unionByName, layers)
+    return rows.groupBy("paper_id", "property_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("paper_id", "property_id", "layer")]), "layer").alias("x")).select("paper_id", "property_id", "x.*")
