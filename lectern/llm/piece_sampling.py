@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ STEP = 1 << 18
 IDS = 1 << 18
 #: Below this log loss along a path, what leaves it is summed edge by edge instead of by difference.
 THIN = 1e-6
-_P = U(0x9E3779B97F4A7C15)
+_P, _Q = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 
 
 class Pieces:
@@ -73,10 +74,10 @@ class Pieces:
         self.lost = float(self.log.min() - UNKNOWN)
         self.longest = max(map(len, words.values()))
         self.prefix = np.zeros(1 << 20, bool)
-        self.prefix[(mix(np.array(sorted(prefixes), U)) >> U(44)).astype(np.int64)] = True
+        self.prefix[(np.array(sorted(prefixes), U) * _Q >> U(44)).astype(np.int64)] = True
         # piece numbers by hash cell; a piece whose cell is taken is found by another cell
-        cells = mix(self.hash)
-        first, other = (cells >> U(44)).astype(np.int64), (cells & U((1 << 20) - 1)).astype(np.int64)
+        cells = self.hash * _Q
+        first, other = (cells >> U(44)).astype(np.int64), (cells >> U(22) & U((1 << 20) - 1)).astype(np.int64)
         self.table, self.spare = np.full(1 << 20, -1, np.int32), np.full(1 << 20, -1, np.int32)
         self.table[first[::-1]] = np.arange(len(plain), dtype=np.int32)[::-1]
         moved = np.flatnonzero(self.table[first] != np.arange(len(plain)))
@@ -88,15 +89,13 @@ class Pieces:
             raw[i] = w.replace(BLANK, " ").encode("utf-8", "surrogatepass")
         for b, i in enumerate(self.byte_ids.tolist()):
             raw[i] = bytes([b])
-        self.size = np.array([len(r) for r in raw], np.int64)
-        self.at = np.concatenate(([0], np.cumsum(self.size)[:-1]))
-        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.words = pa.array(raw, pa.binary())
 
     def find(self, h: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        """Piece number of each hash (cells: its mix), or -1."""
+        """Piece number of each hash (cells: times _Q), or -1."""
         i = self.table[(cells >> U(44)).astype(np.int64)]
         lost = np.flatnonzero(self.hash[i] != h)
-        i[lost] = self.spare[(cells[lost] & U((1 << 20) - 1)).astype(np.int64)]
+        i[lost] = self.spare[(cells[lost] >> U(22) & U((1 << 20) - 1)).astype(np.int64)]
         lost = lost[self.hash[i[lost]] != h[lost]]
         i[lost] = -1
         return i
@@ -119,27 +118,31 @@ class Lattice:
             fits = left[live] >= n
             live, h = live[fits], h[fits]
             h = h * _P + chars[live + n - 1].astype(U) + U(1)
-            cell = mix(h)
+            cell = h * _Q
             some = pieces.prefix[(cell >> U(44)).astype(np.int64)]
             live, h, cell = live[some], h[some], cell[some]
             if not len(live):
                 break
             i = pieces.find(h, cell)
             hit = i >= 0
-            found.append((live[hit], np.full(int(hit.sum()), n), pieces.id[i[hit]], pieces.log[i[hit]]))
+            found.append((live[hit], n, pieces.id[i[hit]], pieces.log[i[hit]]))
             if n == 1:
                 single[live[hit]] = True
         bare = place[~single]
-        found.append((bare, np.ones(len(bare), np.int64), -chars[bare].astype(np.int64) - 1, np.full(len(bare), pieces.lost)))
-        # longest first: the likely edges of a node come first
-        start, length, piece, log = (np.concatenate(x) for x in zip(*found[::-1]))
-        order = np.argsort(start, kind="stable")
-        start, length, piece, log = start[order], length[order], piece[order], log[order]
+        found.append((bare, 1, -chars[bare].astype(np.int64) - 1, np.full(len(bare), pieces.lost)))
+        # edges by start node, longest first: the likely edges of a node come first
+        many = np.zeros(len(chars), np.int64)
+        for live_, *_ in found:
+            many[live_] += 1
+        first = np.cumsum(many) - many
+        free, total = first.copy(), int(many.sum())
+        start, target, piece, log = np.repeat(place, many), np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total)
+        for live_, n, i, x in found[::-1]:
+            at = free[live_]
+            free[live_] += 1
+            target[at], piece[at], log[at] = node[live_] + n, i, x
         mass = np.zeros(len(chars) + chunks)
-        first = np.searchsorted(start, place)
-        many = np.diff(np.append(first, len(start)))
-        target = node[start] + length
-        away = np.argsort(left, kind="stable")
+        away = np.argsort(left.astype(np.int16) if len(left) and left.max() < 1 << 15 else left, kind="stable")
         cuts = np.searchsorted(left[away], np.arange(1, (left[away[-1]] if len(away) else 0) + 2))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if a == b:
@@ -484,15 +487,15 @@ def _map_encode(shared, samples: int, seed: int):
 def _decode(pieces: Pieces, lists: pa.ListArray) -> pa.StringArray:
     """The text of each list of ids, without the blank put before a text."""
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-    ids = lists.flatten().to_numpy(zero_copy_only=False)
-    n = pieces.size[ids]
-    total = np.concatenate(([0], np.cumsum(n)))
-    raw = pieces.raw[np.arange(total[-1]) + np.repeat(pieces.at[ids] - total[:-1], n)]
-    ends = total[np.concatenate(([0], np.cumsum(sizes)))]
-    keep = np.ones(len(raw), bool)
-    keep[ends[:-1][sizes > 0]] = False
-    kept = np.concatenate(([0], np.cumsum(keep)))
-    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(kept[ends].astype(np.int32).tobytes()), pa.py_buffer(raw[keep].tobytes()))
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+    joined = pc.binary_join(pa.ListArray.from_arrays(offsets, pieces.words.take(lists.flatten())), b"")
+    _, ends, raw = joined.buffers()
+    ends = np.frombuffer(ends, np.int32, len(joined) + 1, joined.offset * 4)
+    raw = np.frombuffer(raw, np.uint8)[ends[0]:ends[-1]] if raw is not None else np.empty(0, np.uint8)
+    keep, some = np.ones(len(raw), bool), np.diff(ends) > 0
+    keep[(ends[:-1] - ends[0])[some]] = False
+    ends = np.concatenate(([0], np.cumsum(np.diff(ends) - some))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(joined), pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[keep].tobytes()))
 
 
 def _map_decode(shared, drop: bool):
