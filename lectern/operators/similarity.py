@@ -1,13 +1,16 @@
-"""Fuzzy matching: Indel ratio and partial ratio after blocking on shared rare tokens."""
+"""Fuzzy matching: Indel ratio and partial ratio after an exact count filter on pairs of letters."""
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.text import tokens
+from ..functions.text import title_key
+from .sections import heading_label, markdown_sections
 
 
 def lcs(a: str, b: str) -> int:
@@ -32,28 +35,157 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel(x or "", y or "") for x, y in zip(a, b)])
 
 
+def window_best(a: str, b: str, floor: float = 0.0) -> float:
+    """Best Indel similarity of the shorter text with a window of its length in the longer, cut at the ends.
+
+    The letters that a window shares with the text, kept while it slides, bound its LCS: windows that cannot
+    beat the best so far are not compared.  0 when nothing is above `floor`.
+    """
+    s, t = sorted((a, b), key=len)
+    if not s or s in t:
+        return 100.0 if s else 0.0
+    need, seen, common, best = Counter(s), Counter(), 0, floor
+    for end in range(1, len(t) + len(s)):
+        if end <= len(t):
+            seen[t[end - 1]] += 1
+            common += seen[t[end - 1]] <= need[t[end - 1]]
+        start = end - len(s)
+        if start > 0:
+            gone = t[start - 1]
+            common -= seen[gone] <= need[gone]
+            seen[gone] -= 1
+        window = t[max(start, 0):end]
+        if 200.0 * common / (len(s) + len(window)) > best:
+            best = max(best, indel(s, window))
+    return best if best > floor else 0.0
+
+
 @F.pandas_udf(DoubleType())
 def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Best Indel similarity of the shorter text with a window of its length in the longer."""
-    def best(x, y):
-        s, t = sorted((x or "", y or ""), key=len)
-        if not s:
-            return 0.0
-        if s in t:
-            return 100.0
-        return max(indel(s, t[max(i, 0):i + len(s)]) for i in range(1 - len(s), len(t)))
-    return pd.Series([best(x, y) for x, y in zip(a, b)])
+    """Similarity of the shorter text with its best window in the longer, 0 to 100."""
+    return pd.Series([window_best(x or "", y or "") for x, y in zip(a, b)])
+
+
+def partial_above(a, b, floor: float) -> Column:
+    """partial_ratio where it is above `floor`, else 0; windows that cannot pass `floor` cost no comparison."""
+    @F.pandas_udf(DoubleType())
+    def score(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([window_best(p or "", q or "", floor) for p, q in zip(x, y)])
+    return score(a, b)
+
+
+def grams(x, letters_too: bool = False) -> Column:
+    """Pairs of neighbouring letters at their places; a text of at most six letters gives its letters too."""
+    n = F.length(x)
+    letters = F.split(F.col(x), "")
+    rest = F.greatest(n - 1, F.lit(0))
+    pairs = F.when(n == 1, letters).otherwise(F.zip_with(F.slice(letters, 1, rest), F.slice(letters, 2, rest), lambda p, q: F.concat(p, q)))
+    both = F.concat(pairs, letters)
+    return both if letters_too else F.when(n > 6, pairs).otherwise(both)
+
+
+def candidates(titles: DataFrame, lines: DataFrame, least: float, partial: bool = False) -> DataFrame:
+    """Distinct (block, a, b) among titles(block, a) and lines(block, b) that may score above `least` (73 at least).
+
+    Exact: no pair above `least` is lost.  A score above it leaves LCS > least / 200 * (n + m); a letter
+    dropped breaks two pairs of neighbours and a letter put in breaks one, so of the n - 1 pairs of the text of n letters at least
+    k = (3 * least / 200 - 1) * (n + m) - 1 also stand in the other.  So texts meet in an
+    equi join on pairs, hits are counted (combined before the shuffle), and only those with k are compared.  For texts of at most six letters single letters take part.
+    With `partial` the other text is a window of the longer one, and either side may be the shorter.
+    """
+    if not 73 <= least < 100:
+        raise ValueError("least must lie between 73 and 100")
+    share, keep = least / (200.0 - least), 3 * least / 200.0 - 1  # least share of lengths; pairs kept per letter
+    a = titles.where("a <> ''").select("block", "a").distinct()
+    b = lines.where("b <> ''").select("block", "b").distinct()
+
+    parts = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def meet(x, few, y, many, limit):
+        other = many.select("block", y, F.explode(F.array_distinct(grams(y, partial))).alias("g"))
+        n = F.length(x)
+        k = F.greatest(F.lit(1), F.ceil(F.lit(keep * (1 + share)) * n - 1 - F.lit(1e-9))).cast("int")
+        total = F.greatest(n - 1, F.lit(1)) + F.when(n <= 6, n).otherwise(0)
+        # repeated pairs of a text meet once, so they come off the need; short texts need one hit
+        need = F.when(n > 6, F.greatest(F.lit(1), k - total + F.size("r"))).otherwise(1)
+        asked = few.select("block", x, F.array_distinct(grams(x)).alias("r")).select("block", x, F.explode("r").alias("g"), need.alias("need"))
+        met = asked.join(other, ["block", "g"]).where(limit).groupBy("block", "a", "b").agg(F.count("*").alias("hits"), F.first("need").alias("need"))
+        # few bytes, much work: as many tasks as the session shuffles into, whatever AQE would join
+        return met.where("hits >= need").select("block", "a", "b").repartition(parts, "a", "b")
+
+    la, lb = F.length("a"), F.length("b")
+    if not partial:
+        return meet("a", a, "b", b, (la >= share * lb - 1e-9) & (lb >= share * la - 1e-9))
+    return meet("a", a, "b", b, la <= lb).union(meet("b", b, "a", a, lb < la).select("block", "a", "b"))
+
+
+def best_match(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str, least: float) -> DataFrame:
+    """(left_key, right_key, score): for each left row the right row with the best ratio above `least` (73 at least).
+
+    Every pair above `least` is found; ties take the smaller right key.  Case does not count; empty and null
+    texts match nothing; equal texts are compared once.
+    """
+    one = F.lit(0).alias("block")
+    a, b = left.select(left_key, one, F.lower(text).alias("a")), right.select(right_key, F.lower(text).alias("b"))
+    scored = candidates(a, b.select(one, "b"), least).select("a", "b", ratio("a", "b").alias("score")).where(F.col("score") > least)
+    firsts = b.groupBy("b").agg(F.min(right_key).alias(right_key))
+    best = scored.join(firsts, "b").groupBy("a").agg(F.min_by(F.struct(right_key, "score"), F.struct(-F.col("score"), F.col(right_key))).alias("x"))
+    return a.join(best, "a").select(left_key, f"x.{right_key}", "x.score")
+
+
+def title_lines(titles: DataFrame, lines: DataFrame, least: float = 80.0, partial: float = 85.0, sure: float = 92.0) -> DataFrame:
+    """(paper_id, line, score): the line of its block (a year, a volume) that each title stands on.
+
+    titles(paper_id, block, title), lines(block, line, text).  Texts are compared as title keys; lines count
+    when they are headers or longer than 15 letters, with a key over 12.  The first line above `sure` wins,
+    else the best above `least`, first on ties; titles without one are then sought within lines, above
+    `partial`.  Titles found nowhere are left out.
+    """
+    a = titles.select("paper_id", "block", title_key("title").alias("a")).where("a <> ''")
+    text = F.trim("text")
+    b = lines.where(text.startswith("#") | (F.length(text) > 15)).select("block", "line", title_key("text").alias("b")).where(F.length("b") > 12)
+    b = b.groupBy("block", "b").agg(F.min("line").alias("line"))
+
+    def choose(asked, scorer, above, in_part):
+        s = candidates(asked, b, above, in_part).withColumn("score", scorer("a", "b")).where(F.col("score") > above)
+        first = F.struct(F.when(F.col("score") > sure, F.lit(-sure)).otherwise(-F.col("score")).alias("rank"), F.col("line"))
+        best = s.join(b, ["block", "b"]).withColumn("first", first).groupBy("block", "a").agg(F.min_by(F.struct("line", "score"), "first").alias("x"))
+        return asked.join(best, ["block", "a"]).select("paper_id", "x.line", F.round(F.col("x.score") / 100, 2).alias("score"))
+    whole = choose(a, ratio, least, False)
+    return whole.union(choose(a.join(whole, "paper_id", "left_anti"), lambda x, y: partial_above(x, y, partial), partial, True))
+
+
+def page_heads(titles: DataFrame, pages: DataFrame, least: float = 85.0, heads: int = 6, first: int = 16, last: int = 3300) -> DataFrame:
+    """(paper_id, page, score): the page whose first `heads` lines hold a title best, the first on ties.
+
+    titles(paper_id, block, title), pages(block, page, text); only pages `first` to `last` count.
+    """
+    a = titles.select("paper_id", "block", F.lower(F.trim("title")).alias("a")).where("a <> ''")
+    head = F.lower(F.array_join(F.slice(F.split("text", "\n"), 1, heads), " "))
+    b = pages.where(F.col("page").between(first, last)).select("block", "page", head.alias("b")).groupBy("block", "b").agg(F.min("page").alias("page"))
+    s = candidates(a, b, least, True).withColumn("score", partial_above("a", "b", least)).where(F.col("score") > least)
+    best = s.join(b, ["block", "b"]).groupBy("block", "a").agg(F.min_by(F.struct("page", "score"), F.struct(-F.col("score"), F.col("page"))).alias("x"))
+    return a.join(best, ["block", "a"]).select("paper_id", "x.page", "x.score")
 
 
-def best_match(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str, least: float, shared: int = 2) -> DataFrame:
-    """(left_key, right_key, score): for each left row the right row with the best ratio above `least`.
+def chunks(papers: DataFrame, lines: DataFrame, found: DataFrame, reach: int = 400) -> DataFrame:
+    """(paper_id, section, heading, label, text, confidence, low): sections of each paper after the line found.
 
-    Only pairs that share `shared` tokens are compared; ties take the smaller right key.
+    papers(paper_id, block, title, abstract), lines(block, line, text), found as title_lines gives it.  A paper
+    runs for `reach` lines; lines meet papers by ranges of `reach` in an equi join.  A first section under
+    the paper's own title is dropped.  A paper without sections keeps its abstract, or else its title, at
+    0.5 when it was not found; `low` marks a confidence under 0.7.
     """
-    def words(df, key):
-        return df.select(key, F.explode(F.array_distinct(tokens(text))).alias("token"))
-    met = words(left, left_key).join(words(right, right_key), "token").groupBy(left_key, right_key).agg(F.count("*").alias("c")).where(F.col("c") >= shared)
-    pairs = met.join(left.select(left_key, F.lower(text).alias("_a")), left_key).join(right.select(right_key, F.lower(text).alias("_b")), right_key)
-    scored = pairs.select(left_key, right_key, ratio("_a", "_b").alias("score")).where(F.col("score") > least)
-    w = Window.partitionBy(left_key).orderBy(F.desc("score"), right_key)
-    return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    at = papers.join(found, "paper_id").select("paper_id", "block", F.col("line").alias("_l"), F.explode(F.array(F.floor(F.col("line") / reach), F.floor(F.col("line") / reach) + 1)).alias("_r"))
+    own = lines.withColumn("_r", F.floor(F.col("line") / reach)).join(at, ["block", "_r"]).where(f"line >= _l and line < _l + {reach}")
+    runs = markdown_sections(own.select(F.col("paper_id").alias("id"), "line", "text"))
+    w = Window.partitionBy("paper_id").orderBy("section")
+    kept = runs.withColumnRenamed("id", "paper_id").join(papers.select("paper_id", "title"), "paper_id").withColumn("_n", F.row_number().over(w))
+    kept = kept.where((F.col("_n") > 1) | (title_key("heading") != title_key("title"))).withColumn("section", F.row_number().over(w))
+    body = kept.select("paper_id", "section", "heading", heading_label("heading").alias("label"), "text")
+    rest = papers.join(kept.select("paper_id").distinct(), "paper_id", "left_anti")
+    bare = rest.select("paper_id", F.lit(1).alias("section"), F.lit("Abstract").alias("heading"), F.lit("introduction").alias("label"),
+                       F.coalesce(F.nullif("abstract", F.lit("")), "title").alias("text"))
+    score = F.coalesce(F.col("score"), F.lit(0.5))
+    return body.union(bare).join(found.select("paper_id", "score"), "paper_id", "left").select(
+        "paper_id", "section", "heading", "label", "text", score.alias("confidence"), (score < 0.7).alias("low"))

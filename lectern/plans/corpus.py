@@ -386,8 +386,16 @@ def ana2_citations(spark, d):
     return network.citation_links(cited, table(spark, d, "documents").select(F.col("doc_id").alias("line_id"), "text"))
 
 
+def _heads(spark, d):
+    """The first sentence of each document as a header line of one volume: block, line, text."""
+    return table(spark, d, "documents").select(F.lit(0).alias("block"), F.col("doc_id").alias("line"), F.get(T.sentences("text"), F.lit(0)).alias("text"))
+
+
+def _registry(spark, d):
+    """Registered papers: the first sentence of a benchmark passage is the title, the whole its abstract."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("paper_id"), F.lit(0).alias("block"), F.get(T.sentences("text"), F.lit(0)).alias("title"), F.col("text").alias("abstract"))
+
+
 @query()
 def jn13_fuzzy_best(spark, d):
-    a = table(spark, d, "benchmark").select("item_id", "text")
-    b = R.papers(spark, d).select(F.col("id").alias("doc_id"), F.col("title").alias("text"))
-    return similarity.best_match(a, b, "item_id", "doc_id", "text", 40.0, shared=4)
+    return similarity.best_match(_registry(spark, d).withColumnRenamed("title", "text"), _heads(spark, d), "paper_id", "line", "text", 80.0)
