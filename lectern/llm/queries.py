@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, ngram_join, packing, piece_sampling, secret_scan, sharding, syncmers, toxicity, vector_dedup, weak_quality
+from . import language_id, merkle, ngram_join, packing, piece_sampling, secret_scan, sharding, syncmers, toxicity, vector_dedup, weak_quality
 
 
 #: Folder of the public tokenizers' files; a parameter, never copied here.
@@ -69,8 +69,13 @@ def op10_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op12_bitmap_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and trial of the proof for every document, under one root."""
+    return merkle.manifest(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scans, op2_sampled_pieces, op3_closed_syncmers, op4_ftrl_toxicity, op5_weak_quality, op6_length_buckets, op7_histogram_sort, op8_ngram_join, op9_cap_filters, op10_kneser_ney_language)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_sampled_pieces, op3_closed_syncmers, op4_ftrl_toxicity, op5_weak_quality, op6_length_buckets, op7_histogram_sort, op8_ngram_join, op9_cap_filters, op10_kneser_ney_language, op12_bitmap_merkle)}
 
 
 #: All pairs of sets that share an n-gram, and reachability over the links.
@@ -94,6 +99,30 @@ OP9_SQL = """WITH RECURSIVE
  SELECT r.vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(root) AS component_id, r.vec_id = min(root) AS kept FROM r LEFT JOIN n ON n.vec_id = r.vec_id GROUP BY r.vec_id"""
 
 
+#: Every level of every source's tree in turn; proofs from the levels; folding level by level.
+OP12_SQL = r"""WITH RECURSIVE
+ f AS (SELECT doc_id, source, text, row_number() OVER () AS rid,
+   coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+   coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ord(ch)::BIGINT)),
+     lambda c, b: list_reduce([xor(c, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)), 4294967295::BIGINT) % 2 = 0, false) AS bad FROM documents),
+ l AS (SELECT rid, doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+   CASE WHEN bad AND text IS NOT NULL THEN sha256(head || octet_length(encode(replace(text, chr(10), ''))) || ':' || replace(text, chr(10), '')) ELSE sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) END AS edited FROM f),
+ p AS (SELECT *, coalesce('s' || source, '') AS grp, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS slot FROM l),
+ t(grp, lvl, slot, h, n) AS (SELECT grp, 0, slot, leaf, count(*) OVER (PARTITION BY grp) FROM p
+   UNION ALL SELECT grp, lvl + 1, slot // 3, sha256(string_agg(h, '' ORDER BY slot)), any_value((n + 2) // 3) FROM t WHERE n > 1 GROUP BY grp, lvl, slot // 3),
+ sub AS (SELECT grp, h AS subroot, lvl AS top, row_number() OVER (ORDER BY grp) - 1 AS place FROM t WHERE n = 1),
+ u(lvl, slot, h, n) AS (SELECT 0, place, subroot, count(*) OVER () FROM sub
+   UNION ALL SELECT lvl + 1, slot // 3, sha256(string_agg(h, '' ORDER BY slot)), any_value((n + 2) // 3) FROM u WHERE n > 1 GROUP BY lvl, slot // 3),
+ nodes AS (SELECT grp, lvl, slot, h FROM t UNION ALL SELECT '*', lvl, slot, h FROM u),
+ sib AS (SELECT x.grp, x.lvl, x.slot, coalesce(string_agg(y.h, '' ORDER BY y.slot) FILTER (y.slot < x.slot), '') AS l, coalesce(string_agg(y.h, '' ORDER BY y.slot) FILTER (y.slot > x.slot), '') AS r
+   FROM nodes x JOIN nodes y ON y.grp = x.grp AND y.lvl = x.lvl AND y.slot // 3 = x.slot // 3 GROUP BY ALL),
+ w(rid, lvl, top, utop, grp, slot, place, cur, proof, h) AS (SELECT rid, 0, sub.top, (SELECT max(lvl) FROM u), p.grp, slot, place, CASE WHEN sub.top = 0 THEN '*' ELSE p.grp END, '', edited FROM p JOIN sub ON sub.grp = p.grp
+   UNION ALL SELECT rid, w.lvl + 1, top, utop, w.grp, w.slot, place, CASE WHEN w.lvl + 1 < top THEN w.grp ELSE '*' END, proof || sib.l || sib.r, sha256(sib.l || h || sib.r) FROM w JOIN sib ON w.lvl < top + utop AND sib.grp = w.cur
+     AND sib.lvl = CASE WHEN w.lvl < top THEN w.lvl ELSE w.lvl - top END AND sib.slot = CASE WHEN w.lvl < top THEN w.slot // (3 ** w.lvl)::BIGINT ELSE place // (3 ** (w.lvl - top))::BIGINT END)
+ SELECT doc_id, leaf, subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = (SELECT h FROM u WHERE n = 1) AS verified
+ FROM w JOIN p ON p.rid = w.rid JOIN sub ON sub.grp = p.grp WHERE w.lvl = w.top + w.utop"""
+
+
 def oracle_sql() -> dict:
     """SQL for the exact joins; classifiers, samplers, sketches and searches have none."""
-    return {"op8_ngram_join": OP8_SQL, "op9_cap_filters": OP9_SQL}
+    return {"op8_ngram_join": OP8_SQL, "op9_cap_filters": OP9_SQL, "op12_bitmap_merkle": OP12_SQL}
