@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, merkle, ngram_join, packing, piece_sampling, secret_scan, sharding, syncmers, toxicity, vector_dedup, weak_quality
+from . import hard_negatives, language_id, merkle, ngram_join, packing, piece_sampling, quality_rules, secret_scan, sharding, syncmers, toxicity, vector_dedup, weak_quality
 
 
 #: Folder of the public tokenizers' files; a parameter, never copied here.
@@ -69,13 +69,24 @@ def op10_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op11_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and a verdict by its n-grams; documents labelled good are the target."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_rules.rules(table(spark, sf_dir, "documents").select("doc_id", "text"), good)
+
+
 def op12_bitmap_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and trial of the proof for every document, under one root."""
     return merkle.manifest(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text"))
 
 
+def op13_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hard negatives for each of five positives of every hundredth embedding."""
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scans, op2_sampled_pieces, op3_closed_syncmers, op4_ftrl_toxicity, op5_weak_quality, op6_length_buckets, op7_histogram_sort, op8_ngram_join, op9_cap_filters, op10_kneser_ney_language, op12_bitmap_merkle)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_sampled_pieces, op3_closed_syncmers, op4_ftrl_toxicity, op5_weak_quality, op6_length_buckets, op7_histogram_sort, op8_ngram_join, op9_cap_filters, op10_kneser_ney_language, op11_likelihood_ratio, op12_bitmap_merkle, op13_inverted_multi_index)}
 
 
 #: All pairs of sets that share an n-gram, and reachability over the links.
@@ -99,6 +110,23 @@ OP9_SQL = """WITH RECURSIVE
  SELECT r.vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(root) AS component_id, r.vec_id = min(root) AS kept FROM r LEFT JOIN n ON n.vec_id = r.vec_id GROUP BY r.vec_id"""
 
 
+#: Windows, lines and hashed n-grams as rows; logarithms as whole numbers.
+OP11_SQL = r"""WITH
+ w AS (SELECT row_number() OVER () AS rid, doc_id, text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ x AS (SELECT rid, array_to_string(w[i:i + 2], ' ') AS g, i FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+ r AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM x) WHERE c > 1) GROUP BY 1),
+ d AS (SELECT rid, count(*) - count(DISTINCT s) AS n_dup_lines FROM (SELECT rid, unnest(string_split(text, chr(10))) AS s FROM w) WHERE regexp_matches(s, '[^\x20\x09-\x0D]') GROUP BY 1),
+ h AS (SELECT rid, doc_id, list_transform(w, lambda x: ('0x' || substr(md5(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), 1, 7))::BIGINT) AS h FROM w),
+ g AS (SELECT rid, doc_id, unnest(list_transform(h, lambda x: x % 65536) || list_transform(range(1, len(h)), lambda i: (h[i] * 31 + h[i + 1] + 7) % 65536)) AS b FROM h),
+ c AS (SELECT b, count(*) AS raw, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL)) AS target FROM g GROUP BY 1),
+ z AS (SELECT sum(raw) AS n_raw, sum(target) AS n_target FROM c),
+ l AS (SELECT b, CASE WHEN n_target = 0 THEN 0 ELSE floor((ln((target + 1.0::DOUBLE) / (n_target + 65536)) - ln((raw + 1.0::DOUBLE) / (n_raw + 65536))) * 65536 + 0.5)::BIGINT END AS l FROM c, z),
+ s AS (SELECT rid, sum(l)::BIGINT AS total, count(*) AS n FROM g JOIN l ON l.b = g.b GROUP BY 1),
+ o AS (SELECT w.rid, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(w) AS base_failed, coalesce(total, 0) AS total, coalesce(n, 0) AS n
+  FROM w LEFT JOIN r ON r.rid = w.rid LEFT JOIN d ON d.rid = w.rid LEFT JOIN s ON s.rid = w.rid)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND total >= -6554 * n AS kept, CASE WHEN n > 0 THEN total::DOUBLE / n / 65536 ELSE 0.0 END AS score FROM o"""
+
 #: Every level of every source's tree in turn; proofs from the levels; folding level by level.
 OP12_SQL = r"""WITH RECURSIVE
  f AS (SELECT doc_id, source, text, row_number() OVER () AS rid,
@@ -123,6 +151,17 @@ OP12_SQL = r"""WITH RECURSIVE
  FROM w JOIN p ON p.rid = w.rid JOIN sub ON sub.grp = p.grp WHERE w.lvl = w.top + w.utop"""
 
 
+#: Every anchor against every row.
+OP13_SQL = """WITH
+ r AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings
+   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.rid, a.vec_id AS anchor_id, b.rid AS other, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.rid <> b.rid AND len(a.v) = len(b.v)),
+ p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, other_id NULLS LAST) AS k FROM s WHERE same) WHERE k <= 5),
+ n AS (SELECT p.rid, p.other, p.anchor_id, p.other_id AS positive_id, s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.rid, p.other ORDER BY s.score DESC, s.other_id NULLS LAST) AS rank
+   FROM p JOIN s ON s.rid = p.rid AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+ SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+
 def oracle_sql() -> dict:
     """SQL for the exact joins; classifiers, samplers, sketches and searches have none."""
-    return {"op8_ngram_join": OP8_SQL, "op9_cap_filters": OP9_SQL, "op12_bitmap_merkle": OP12_SQL}
+    return {"op8_ngram_join": OP8_SQL, "op9_cap_filters": OP9_SQL, "op11_likelihood_ratio": OP11_SQL, "op12_bitmap_merkle": OP12_SQL, "op13_inverted_multi_index": OP13_SQL}

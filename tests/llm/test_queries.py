@@ -7,7 +7,7 @@ import pytest
 from lectern.llm import queries as Q
 
 SF = "/root/testdata/sf0.01"
-KEYS = {"op1_secret_scans": None, "op2_sampled_pieces": None, "op9_cap_filters": "vec_id"}
+KEYS = {"op1_secret_scans": None, "op2_sampled_pieces": None, "op9_cap_filters": "vec_id", "op13_inverted_multi_index": None}
 
 
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
