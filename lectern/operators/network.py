@@ -85,22 +85,65 @@ def citation_links(cited: DataFrame, lines: DataFrame, least: int = 3, words: in
     cited(target_id, title[, year]), lines(line_id, text[, year]).  A target's key is its first `words` tokens
     longer than `size`; where both have a year, no target is younger than the line.  A pair that shares `least`
     of a target's k tokens shares one of its k - least + 1 rarest, so only those meet lines, through an equi
-    join, and the other tokens are counted in the pairs found.
+    join; the pairs found then meet the line's tokens again and are counted.  Only (line, token) rows are
+    shuffled, and only tokens that some key has; the joins are sorted ones, as a column of exploded
+    words is larger than its table and must not be taken for small.
     """
     from ..functions.text import tokens
 
     key = F.slice(F.filter(tokens("title"), lambda t: F.length(t) > size), 1, words)
     dated = "year" in cited.columns and "year" in lines.columns
     index = cited.select("target_id", F.array_distinct(key).alias("k"), *(["year"] if dated else [])).where(F.size("k") >= least)
-    said = lines.select("line_id", F.array_distinct(F.filter(tokens("text"), lambda t: F.length(t) > size)).alias("said"), *([F.col("year").alias("said_year")] if dated else []))
-    often = said.select(F.explode("said").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    each = index.select("target_id", F.explode("k").alias("token")).join(often, "token")
-    rare = each.groupBy("target_id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("r"))
-    # tokens that no line has are the rarest of all and need not meet any
-    few = rare.join(index, "target_id").select("target_id", "k", *(["year"] if dated else []), F.expr(f"slice(r, 1, greatest(0, size(r) - {least} + 1))").alias("r"))
-    asked = few.select("target_id", "k", *(["year"] if dated else []), F.explode("r.token").alias("token"))
-    met = said.select("*", F.explode("said").alias("token")).join(asked, "token")
+    keys = index.select("target_id", F.explode("k").alias("token"))
+    # key tokens as a regex-free set test: a line's tokens are cut to those that keys have before anything is counted
+    said = lines.select("line_id", F.explode(F.array_distinct(F.filter(tokens("text"), lambda t: F.length(t) > size))).alias("token"))
+    said = said.join(keys.select("token").distinct(), "token", "left_semi").hint("merge")
+    often = said.groupBy("token").agg(F.count("*").alias("n"))
+    # a token that no line has is rarer than any other
+    ranked = keys.join(often, "token", "left").groupBy("target_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("r"))
+    asked = ranked.select("target_id", F.explode(F.expr(f"slice(r, 1, size(r) - {least} + 1).token")).alias("token"))
+    pairs = said.join(asked, "token").select("line_id", "target_id").distinct()
     if dated:
-        met = met.where("year <= said_year")
-    met = met.select("line_id", "target_id", F.size(F.array_intersect("said", "k")).cast("long").alias("common")).where(F.col("common") >= least)
+        pairs = pairs.join(lines.select("line_id", F.col("year").alias("_said")), "line_id").join(index.select("target_id", "year"), "target_id").where("year <= _said").select("line_id", "target_id")
+    met = pairs.join(keys, "target_id").hint("merge").join(said, ["line_id", "token"]).groupBy("line_id", "target_id").agg(F.count("*").alias("common")).where(F.col("common") >= least)
     return met.groupBy("line_id").agg(F.min_by(F.struct("target_id", "common"), "target_id").alias("x")).select("line_id", "x.*")
+
+
+#: What a reference to the corpus mentions.
+VENUES = ["icls", "cscl", "isls", "learning sciences", "proceedings of"]
+
+
+def reference_lines(lines: DataFrame, venues: list[str] | None = None, least: int = 20, title: int = 10) -> DataFrame:
+    """(id, line, citing, text): the lines of reference blocks that mention a venue.
+
+    lines(id, line, text).  A block opens at a line `references` or a header `## references...` and shuts at the next
+    header of one or two marks; `citing` is the line of the last header of one mark and more than `title`
+    letters, which names the paper, 0 before the first.  Lines under `least` letters do not count.
+    """
+    w = Window.partitionBy("id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    text = F.trim("text")
+    low = F.lower(text)
+    opens = (low == "references") | low.startswith("## references")
+    shuts = text.startswith("# ") | (text.startswith("## ") & ~low.contains("references"))
+    paper = text.startswith("# ") & (F.length(text) > title) & ~low.startswith("# references")
+    inside = F.last(F.when(opens, F.lit(True)).when(shuts, F.lit(False)), ignorenulls=True).over(w)
+    citing = F.coalesce(F.last(F.when(paper, F.col("line")), ignorenulls=True).over(w), F.lit(0))
+    walked = lines.withColumns({"_in": inside & ~opens, "citing": citing.cast("long")})
+    named = reduce(Column.__or__, [low.contains(v) for v in venues or VENUES])
+    return walked.where("_in").where((F.length(text) >= least) & named).select("id", "line", "citing", text.alias("text"))
+
+
+def block_citations(cited: DataFrame, lines: DataFrame, snippet: int = 150, **options) -> DataFrame:
+    """(id, citing, target_id, line, context): each citing paper's targets once, with the first line that cites them.
+
+    cited(target_id, title[, year]), lines(id, line, text[, year]); the options are those of `citation_links`
+    (least, words, size) and `venues`.
+    """
+    venues = options.pop("venues", None)
+    own = reference_lines(lines, venues)
+    if "year" in lines.columns:
+        own = own.join(lines.select("id", "year").distinct(), "id")
+    named = own.withColumn("line_id", F.struct("id", "line"))
+    links = citation_links(cited, named, **options)
+    both = links.join(named, "line_id").groupBy("id", "citing", "target_id").agg(F.min_by(F.struct("line", F.substring("text", 1, snippet).alias("context")), "line").alias("x"))
+    return both.select("id", "citing", "target_id", "x.*")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import corpus, grid, relational, repair, shapes
+from . import corpus, grid, people, relational, repair, shapes
 
 
 def queries() -> dict:
-    return {**relational.FOUND, **corpus.FOUND, **grid.FOUND, **repair.FOUND, **shapes.FOUND}
+    return {**relational.FOUND, **corpus.FOUND, **grid.FOUND, **repair.FOUND, **shapes.FOUND, **people.FOUND}
 
 
 def oracle_sql() -> dict:
-    return {**relational.SQL, **corpus.SQL, **grid.SQL, **repair.SQL, **shapes.SQL}
+    return {**relational.SQL, **corpus.SQL, **grid.SQL, **repair.SQL, **shapes.SQL, **people.SQL}

@@ -9,18 +9,9 @@ from ..functions import text as T
 from ..operators import extraction, network, quality, search, sections, similarity, taxonomy, upserts
 from ..sources.tables import page_links, page_metadata, table
 from . import roles as R
+from .registering import registry
 
-FOUND: dict = {}
-SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        FOUND[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-    return keep
+FOUND, SQL, query = registry()
 
 
 TOKENS = r"regexp_extract_all(strip_accents(lower({0})), '[\p{{L}}\p{{N}}]+')"
@@ -386,6 +377,31 @@ def ana2_citations(spark, d):
     return network.citation_links(cited, table(spark, d, "documents").select(F.col("doc_id").alias("line_id"), "text"))
 
 
+#: Documents as volumes: of every nine lines the first is a paper's header, the second opens its references and the eighth shuts them.
+_VOLUME = f"""(SELECT id, line, CASE line % 9 WHEN 1 THEN '# ' || text WHEN 2 THEN CASE WHEN line % 2 = 0 THEN 'References' ELSE '## References' END WHEN 8 THEN '## Appendix' ELSE text || ' In Proceedings of X' END AS text,
+ CAST(2000 + id % 30 AS INTEGER) AS year FROM {R.LINES})"""
+
+
+def _volumes(spark, d):
+    case = F.expr("CASE line % 9 WHEN 1 THEN concat('# ', text) WHEN 2 THEN CASE WHEN line % 2 = 0 THEN 'References' ELSE '## References' END WHEN 8 THEN '## Appendix' ELSE concat(text, ' In Proceedings of X') END")
+    return R.lines(spark, d).select("id", "line", case.alias("text"), (2000 + F.col("id") % 30).cast("int").alias("year"))
+
+
+@query(f"""WITH v AS {_VOLUME},
+ m AS (SELECT *, trim(text, ' ') AS t, CASE WHEN lower(trim(text, ' ')) = 'references' OR starts_with(lower(trim(text, ' ')), '## references') THEN 2 WHEN starts_with(trim(text, ' '), '# ') OR (starts_with(trim(text, ' '), '## ') AND NOT contains(lower(text), 'references')) THEN 1 END AS mark FROM v),
+ s AS (SELECT *, last_value(mark IGNORE NULLS) OVER w AS state, coalesce(last_value(CASE WHEN starts_with(t, '# ') AND length(t) > 10 AND NOT starts_with(lower(t), '# references') THEN line END IGNORE NULLS) OVER w, 0) AS citing FROM m WINDOW w AS (PARTITION BY id ORDER BY line)),
+ r AS (SELECT id, line, citing, t, year FROM s WHERE state = 2 AND coalesce(mark, 0) <> 2 AND length(t) >= 20 AND contains(lower(t), 'proceedings of')),
+ i AS (SELECT item_id AS target_id, 2000 + item_id % 40 AS year, unnest(list_distinct(list_slice(list_filter({tok('text')}, lambda x: length(x) > 4), 1, 6))) AS token FROM benchmark),
+ n AS (SELECT target_id FROM i GROUP BY 1 HAVING count(*) >= 3),
+ l AS (SELECT id, line, year, unnest(list_distinct(list_filter({tok('t')}, lambda x: length(x) > 4))) AS token FROM r),
+ c AS (SELECT id, line, target_id, count(*) FROM l JOIN i ON i.token = l.token AND i.year <= l.year WHERE target_id IN (FROM n) GROUP BY ALL HAVING count(*) >= 3),
+ f AS (SELECT id, line, min(target_id) AS target_id FROM c GROUP BY ALL)
+ SELECT f.id, citing, target_id, min(f.line) AS line, min_by(substr(t, 1, 150), f.line) AS context FROM f JOIN r ON r.id = f.id AND r.line = f.line GROUP BY ALL""")
+def ana2_reference_blocks(spark, d):
+    cited = table(spark, d, "benchmark").select(F.col("item_id").alias("target_id"), F.col("text").alias("title"), (2000 + F.col("item_id") % 40).alias("year"))
+    return network.block_citations(cited, _volumes(spark, d))
+
+
 def _heads(spark, d):
     """The first sentence of each document as a header line of one volume: block, line, text."""
     return table(spark, d, "documents").select(F.lit(0).alias("block"), F.col("doc_id").alias("line"), F.get(T.sentences("text"), F.lit(0)).alias("text"))

@@ -12,19 +12,10 @@ from ..operators import extraction, network, quality, search, sections, similari
 from ..sources import sinks
 from ..sources.tables import table, top_layer
 from . import roles as R
+from .registering import registry
 from .corpus import DEFAULTS, RULES, _label_sql
 
-FOUND: dict = {}
-SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        FOUND[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-    return keep
+FOUND, SQL, query = registry()
 
 
 # ---------------------------------------------------------------- sources and sinks

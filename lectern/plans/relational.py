@@ -8,18 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import network
 from ..sources.tables import table, top_layer
 from . import roles as R
+from .registering import registry
 
-FOUND: dict = {}
-SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        FOUND[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-    return keep
+FOUND, SQL, query = registry()
 
 
 # ---------------------------------------------------------------- filters and projections

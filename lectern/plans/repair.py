@@ -9,18 +9,9 @@ from ..functions import text as T
 from ..operators import network, quality, sections
 from ..sources.tables import table
 from . import roles as R
+from .registering import registry
 
-FOUND: dict = {}
-SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        FOUND[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-    return keep
+FOUND, SQL, query = registry()
 
 
 # ---------------------------------------------------------------- windows over lines
