@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def first_value(sections: DataFrame, property_id: str, allowed: list[str], terms
     first hit wins.  Each section offers its best hit, and one min_by aggregate picks.
     """
     text = F.col("text")
-    offers = [F.when(text.rlike(rf"(?iu)(^|[^\p{{L}}\p{{N}}]){v}($|[^\p{{L}}\p{{N}}])"), F.struct(F.lit(i).alias("r"), F.lit(v).alias("v"), F.lit("allowed_value").alias("m"), F.lit(0.9).alias("c"))) for i, v in enumerate(allowed)]
+    offers = [F.when(text.rlike(rf"(?iu)(^|[^\p{{L}}\p{{N}}]){re.escape(v)}($|[^\p{{L}}\p{{N}}])"), F.struct(F.lit(i).alias("r"), F.lit(v).alias("v"), F.lit("allowed_value").alias("m"), F.lit(0.9).alias("c"))) for i, v in enumerate(allowed)]
     offers += [F.when(F.lower(text).contains(v.lower()), F.struct(F.lit(i + len(allowed)).alias("r"), F.lit(v).alias("v"), F.lit("text_term").alias("m"), F.lit(0.8).alias("c"))) for i, v in enumerate(terms)]
     best = sections.withColumn("_o", F.coalesce(*offers)).where("_o is not null")
     pick = F.min_by(F.struct("_o", "order_index", F.substring("text", 1, 200).alias("evidence")), "order_index")

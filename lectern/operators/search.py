@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,7 +91,7 @@ def search(docs: DataFrame, key: str, fields: list[str], query: str, limit: int
 def snippet(text, terms: list[str], width: int = 25) -> Column:
     """`width` blank-separated words around the first hit, hits marked with <b>."""
     words = F.split(F.trim(text), r"\s+")
-    pattern = "(?iu)^[^\\p{L}\\p{N}]*(" + "|".join(terms) + ")[^\\p{L}\\p{N}]*$"
+    pattern = "(?iu)^[^\\p{L}\\p{N}]*(" + "|".join(re.escape(t) for t in terms) + ")[^\\p{L}\\p{N}]*$"
     at = F.array_position(F.transform(words, lambda w: w.rlike(pattern)), True)
     start = F.greatest(at - width // 2, F.lit(1)).cast("int")
     cut = F.slice(words, start, width)
@@ -113,9 +116,78 @@ def nearest(vectors: DataFrame, key: str, vector: str, query: DataFrame, k: int)
     return unit.crossJoin(F.broadcast(wanted)).select(key, F.round(cosine("_v", "_q"), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def rerank(hits: DataFrame, query: str, passage: Column, key: str, k: int = 15) -> DataFrame:
-    """Second stage over a short list: share of query terms in the passage, then the first score."""
-    terms = query_terms(query)
-    words = tokens(passage)
-    score = F.bround(F.size(F.array_intersect(words, F.array(*map(F.lit, terms)))) / F.greatest(F.lit(len(terms)), F.lit(1)), 4)
+def scored_by(load, query: str, passage) -> Column:
+    """The score of each passage by a scorer of the user's own.
+
+    load() -> score, called once in each Python worker; score(query, passages) -> numbers, called with a list of passages,
+    one Arrow batch at a time.  load must be importable or picklable; its name and module tell it from others.  Null
+    passages count as empty.
+    """
+    name = (getattr(load, "__module__", ""), getattr(load, "__qualname__", repr(load)))
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import sys
+
+        loaded = sys.__dict__.setdefault("_loaded_scorers", {})  # lives as long as the worker, and needs no installed package
+        if name not in loaded:
+            loaded[name] = load()
+        for passages in batches:
+            yield pd.Series(loaded[name](query, [p or "" for p in passages]), dtype="float64")
+    return run(passage)
+
+
+def rerank(hits: DataFrame, query: str, passage: Column, key: str, k: int = 15, load=None) -> DataFrame:
+    """Second stage over a short list, then the first score.
+
+    The second score is the share of query terms in the passage, or what the user's scorer says (see `scored_by`).
+    """
+    if load is not None:
+        score = F.bround(scored_by(load, query, passage), 4)
+    else:
+        terms = query_terms(query)
+        score = F.bround(F.size(F.array_intersect(tokens(passage), F.array(*map(F.lit, terms)))) / F.greatest(F.lit(len(terms)), F.lit(1)), 4)
     return hits.withColumn("rerank_score", score).orderBy(F.desc("rerank_score"), F.desc("score"), key).limit(k)
+
+
+# ---------------------------------------------------------------- search on stored postings
+
+def build_index(docs: DataFrame, key: str, fields: list[str], path: str, buckets: int = 256, keep: tuple[str, ...] = ()) -> None:
+    """Writes the postings of docs, a folder for each bucket of terms, and the corpus figures.
+
+    A posting is (term, key, one count a field, the document's length, the columns `keep` to filter by): a search
+    reads only the buckets of its own terms and no text.
+    """
+    each = docs.select(key, *keep, *[tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"_{n}") for n, f in enumerate(fields)])
+    size = reduce(Column.__add__, [F.size(f"_{n}") for n in range(len(fields))])
+    tagged = F.concat(*[_tagged(f"_{n}", n) for n in range(len(fields))])
+    rows = each.select(key, *keep, size.alias("len"), F.explode(tagged).alias("w"))
+    counted = rows.groupBy("w.term", key, "len", *keep).agg(*[F.count_if(F.col("w.f") == n).alias(f"tf_{f}") for n, f in enumerate(fields)])
+    counted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    each.agg(F.count("*").alias("n"), F.avg(size).alias("avg_len")).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/corpus")
+
+
+def _tagged(words: str, n: int) -> Column:
+    return F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(n).alias("f")))
+
+
+def search_index(spark, path: str, key: str, fields: list[str], query: str, limit: int = 50, where: Column | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+    """(key, score): the best `limit` documents by BM25 from the postings of the query's terms alone.
+
+    `where` filters on the columns kept in the index before anything is scored, while document frequencies and
+    lengths stay those of the whole corpus.  The same figures as `bm25`.
+    """
+    terms, weights = query_terms(query), weights or WEIGHTS
+    corpus = spark.read.parquet(f"{path}/corpus").first()
+    rows = spark.read.parquet(f"{path}/postings")
+    if not terms:
+        return rows.where("false").select(key, F.lit(0.0).alias("score"))
+    wanted = spark.range(1).select(F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(corpus.buckets)) for t in terms])).first()[0]
+    own = rows.where(F.col("bucket").isin(wanted) & F.col("term").isin(terms))  # pruned to the buckets, then pushed to the scan
+    df = own.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
+    hits = own if where is None else own.where(where)
+    tf = reduce(Column.__add__, [F.col(f"tf_{f}") * weights[f] for f in fields])
+    idf = F.greatest(F.log((F.lit(corpus.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(corpus.avg_len)))
+    scored = hits.join(F.broadcast(df), "term").groupBy(key).agg(F.round(F.sum(part), 3).alias("score"))
+    return scored.orderBy(F.desc("score"), key).limit(limit)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Last writer wins: for each key the new row with the largest `order`, else the old row."""
-    w = Window.partitionBy(*key).orderBy(F.desc("_new"), F.desc(order))
+    """Last writer wins: for each key the new row with the largest `order`, else the old row; ties go by all columns."""
+    w = Window.partitionBy(*key).orderBy(F.desc("_new"), F.desc(order), *[F.desc_nulls_last(c) for c in new.columns if c not in key])
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
 
@@ -41,9 +41,10 @@ def update_where_changed(old: DataFrame, new: DataFrame, key: str, column: str)
 
 
 def rekey(children: DataFrame, merges: DataFrame, key: str, identity: list[str]) -> DataFrame:
-    """children with merged parents' keys replaced (merges: old_key, new_key), duplicates dropped."""
+    """children with merged parents' keys replaced (merges: old_key, new_key); of those with one identity the smallest row stays."""
     moved = children.join(merges, F.col(key) == F.col("old_key"), "left").withColumn(key, F.coalesce("new_key", key)).drop("old_key", "new_key")
-    return moved.dropDuplicates(identity)
+    rest = [c for c in moved.columns if c not in identity]
+    return moved.groupBy(*identity).agg(F.min(F.struct(*rest)).alias("_x")).select(*identity, "_x.*").select(*moved.columns) if rest else moved.distinct()
 
 
 def surviving(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import corpus, evidence, grid, people, relational, repair, shapes
+from . import corpus, evidence, grid, people, relational, repair, shapes, upkeep
 
 
 def queries() -> dict:
-    return {**relational.FOUND, **corpus.FOUND, **grid.FOUND, **repair.FOUND, **shapes.FOUND, **people.FOUND, **evidence.FOUND}
+    return {**relational.FOUND, **corpus.FOUND, **grid.FOUND, **repair.FOUND, **shapes.FOUND, **people.FOUND, **evidence.FOUND, **upkeep.FOUND}
 
 
 def oracle_sql() -> dict:
-    return {**relational.SQL, **corpus.SQL, **grid.SQL, **repair.SQL, **shapes.SQL, **people.SQL, **evidence.SQL}
+    return {**relational.SQL, **corpus.SQL, **grid.SQL, **repair.SQL, **shapes.SQL, **people.SQL, **evidence.SQL, **upkeep.SQL}

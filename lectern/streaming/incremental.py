@@ -1,36 +1,25 @@
-"""Incremental loading: files as they arrive, upserted exactly once."""
+"""Incremental loading: files as they arrive, upserted exactly once into a table of versions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators.upserts import upsert
+from ..sources.versions import VersionedTable
 
 
-def start(spark: SparkSession, source: str, schema, target: str, key: list[str], order: str, checkpoint: str):
-    """A streaming query that upserts each micro-batch into a new version of the table at `target`.
+def start(spark: SparkSession, source: str, schema, target: str, key: list[str], order: str, checkpoint: str, first_wins: bool = False, compact_every: int = 16, keep: int | None = None):
+    """A streaming query that appends each micro-batch to the versioned table at `target`.
 
-    A batch writes version batch_id + 1 from the latest version below it and is idempotent: a
-    replayed batch overwrites its own version with the same rows.
+    Batch n is version n + 1; a replayed batch finds its version and writes nothing.  Later rows of a key replace
+    earlier ones, or with first_wins only keys that the table lacks are added, so that no state
+    grows in the stream.  With `keep`, only as many versions stay.
     """
-    def version(n: int) -> str:
-        return f"{target}/version={n}"
+    table = VersionedTable(spark, target, key, order, schema, compact_every)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        old = None
-        fs = spark._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-        for n in range(batch_id, 0, -1):
-            if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{version(n)}/_SUCCESS")):
-                old = spark.read.parquet(version(n))
-                break
-        merged = upsert(batch.limit(0) if old is None else old, batch, key, order)
-        merged.write.mode("overwrite").parquet(version(batch_id + 1))
+        (table.append_new if first_wins else table.append)(batch, batch_id + 1)
+        if keep:
+            table.drop_old(keep)
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def first_seen(spark: SparkSession, source: str, schema, key: str) -> DataFrame:
-    """A stream with the first row of each key only."""
-    return spark.readStream.schema(schema).parquet(source).dropDuplicates([key]).withColumn("status", F.lit("new"))
