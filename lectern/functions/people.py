@@ -90,7 +90,7 @@ def without_trailing_authors(x) -> Column:
     """A title of 20 letters or more without a chair's signature, a list of names or a page and a name at its end.
 
     Names that hold a word of TITLE_WORDS stay; a list needs a comma, `and` or `&`, and what remains at least
-    ten letters that do not lead on.
+    ten letters that do not lead on.  A text over 4,000 letters is no title and stays as it is.
     """
     def names(s: Column) -> Column:
         head, tail = strip(F.regexp_extract(s, TRAILING, 1)), F.regexp_extract(s, TRAILING, 2)
@@ -99,7 +99,7 @@ def without_trailing_authors(x) -> Column:
         return (F.when((tail != "") & worded, s).when((tail != "") & (F.length(head) >= 10) & ~head.rlike(LEADS_ON) & listed, head)
                 .otherwise(strip(F.regexp_replace(s, PAGE_AND_NAME, ""))))
     text = F.coalesce(col(x), F.lit(""))
-    return F.when(F.length(text) < 20, text).otherwise(let(strip(F.regexp_replace(text, CHAIR, "")), names))
+    return F.when(~F.length(text).between(20, 4000), text).otherwise(let(strip(F.regexp_replace(text, CHAIR, "")), names))
 
 
 def without_repeat(x) -> Column:

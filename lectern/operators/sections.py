@@ -103,3 +103,69 @@ def gap_boundaries(pages: DataFrame, gap: int = 1) -> DataFrame:
     flagged = pages.where("opens").groupBy("id").agg(F.array_sort(F.collect_list("page")).alias("p"))
     taken = F.aggregate("p", F.expr("cast(array() as array<bigint>)"), lambda acc, x: F.when((F.size(acc) == 0) | (x > F.element_at(acc, -1) + gap), F.concat(acc, F.array(x.cast("long")))).otherwise(acc))
     return flagged.select("id", F.explode(taken).alias("start"))
+
+
+#: Canonical sections and how their headings begin, in order of priority.
+CANONICAL = {"References & Back Matter": r"references|bibliography|works cited|acknowledgments|acknowledgements|appendi[cx]",
+             "Discussion & Conclusion": r"discussion|conclusion|concluding remarks|summary and conclusion|limitations|implications",
+             "Results & Findings": r"results|findings|case study|empirical analysis|data analysis",
+             "Methodology & Context": r"method|methods|methodology|participants|context|setting|study design|procedure|data collection|pedagogical design",
+             "Abstract & Introduction": r"abstract|introduction|background|theoretical framework|literature review|problem statement|overview"}
+#: Canonical sections in the order of a paper.
+ORDER = ["Abstract & Introduction", "Methodology & Context", "Results & Findings", "Discussion & Conclusion", "References & Back Matter"]
+
+
+def canonical_line(line) -> Column:
+    """The canonical section whose heading a line is: at most 60 letters, no final dot, numbering ignored; else null."""
+    from ..functions.people import strip
+
+    bare = strip(F.regexp_replace(strip(line), r"^(?:[0-9IVX]+(?:\.[0-9]+)*|\([0-9]+\))\s*", ""))
+    own = F.coalesce(*[F.when(bare.rlike(rf"(?i)^(?:{p})\b"), F.lit(name)) for name, p in CANONICAL.items()])
+    return F.when((F.length(strip(line)) <= 60) & ~strip(line).endswith("."), own)
+
+
+def canonical_sections(lines: DataFrame, abstracts: DataFrame | None = None) -> DataFrame:
+    """(id, order_index, heading, normalized, text): the lines of lines(id, line, text) in five canonical buckets.
+
+    Lines under one canonical heading come together in order wherever they stand; lines before any heading belong to the
+    introduction, which an abstract (abstracts: id, abstract) opens.  Empty buckets are left out.
+    """
+    from ..functions.people import strip
+
+    body = lines.withColumn("text", strip("text")).where("text <> ''").withColumn("_c", canonical_line("text"))
+    walked = carried(body, F.col("_c").isNotNull(), F.col("_c"), "heading").where("_c is null")
+    rows = walked.select("id", F.coalesce("heading", F.lit(ORDER[0])).alias("heading"), F.col("line").cast("long").alias("line"), "text")
+    if abstracts is not None:
+        head = abstracts.where("trim(abstract) <> ''").select("id", F.lit(ORDER[0]).alias("heading"), F.lit(-1).cast("long").alias("line"), F.concat(F.lit("### Abstract\n"), "abstract", F.lit("\n\n")).alias("text"))
+        rows = rows.unionByName(head)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda r: r["text"]), "\n\n")
+    at = F.array_position(F.array(*map(F.lit, ORDER)), F.col("heading"))
+    return rows.groupBy("id", "heading").agg(joined.alias("text")).select("id", at.cast("int").alias("order_index"), "heading", F.lower("heading").alias("normalized"), strip("text").alias("text"))
+
+
+def section_words(sections: DataFrame, whole: DataFrame, least: int = 200, core: float = 0.15) -> DataFrame:
+    """(id, heading, words): words of each of the five canonical sections, 0 for those a paper lacks.
+
+    sections as `canonical_sections` gives them, whole(id, text).  Where a paper has over `least` words but its method, results
+    and discussion have less than `core` of them, all words of its text are dealt out by usual shares, with a floor each.
+    """
+    words = lambda x: F.size(F.filter(F.split(F.coalesce(F.col(x), F.lit("")), r"\s+"), lambda w: w != ""))
+    # Shares of the first four sections and least numbers of words of all five.
+    shares, floors = [0.32, 0.18, 0.28, 0.14], [50, 30, 50, 30, 20]
+    counted = sections.groupBy("id").pivot("heading", ORDER).agg(F.sum(words("text")))
+    both = whole.select("id", words("text").alias("_tot")).join(counted, "id", "left").fillna(0, ORDER)
+    total, middle = sum((F.col(f"`{h}`") for h in ORDER), F.lit(0)), sum((F.col(f"`{h}`") for h in ORDER[1:4]), F.lit(0))
+    dealt = [F.floor(F.col("_tot") * s).cast("long") for s in shares]
+    dealt.append(F.col("_tot") - sum(dealt, F.lit(0)))
+    poor = (total > least) & (middle < total * core)
+    each = [F.struct(F.lit(h).alias("heading"), F.when(poor, F.greatest(F.lit(floors[k]), dealt[k])).otherwise(F.col(f"`{h}`")).cast("long").alias("words")) for k, h in enumerate(ORDER)]
+    return both.select("id", F.explode(F.array(*each)).alias("x")).select("id", "x.*")
+
+
+def hash_sections(docs: DataFrame) -> DataFrame:
+    """(id, order_index, heading, text): the parts of docs(id, text) under `## ` headers that have a body, numbered."""
+    from ..functions.people import strip
+
+    parts = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\n(?=##\s+)"), strip), lambda p: p.startswith("## "))
+    pairs = F.transform(parts, lambda p: F.struct(strip(F.substring(F.split_part(p, F.lit("\n"), F.lit(1)), F.lit(4), F.length(p))).alias("heading"), strip(F.when(F.instr(p, "\n") > 0, F.substring(p, F.instr(p, "\n"), F.length(p))).otherwise("")).alias("text")))
+    return docs.select("id", F.posexplode(F.filter(pairs, lambda x: x["text"] != "")).alias("i", "x")).select("id", (F.col("i") + 1).alias("order_index"), "x.*")
