@@ -63,14 +63,16 @@ def compare(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def density_matrix(labels: DataFrame) -> DataFrame:
     """Volume and number of co-labels of each label, with quadrants by upper medians.
 
-    A paper's labels are gathered once; its other values are the set without one occurrence of
-    the label's own, so no self join is needed.
+    A paper's labels are gathered once, so no self join is needed; its other values are the set without the label's
+    own.  Labels are unique in a paper then, so volumes are plain counts, and only distinct (label, other
+    value) rows, combined before the shuffle, are counted for co-labels.
     """
     lists = labels.groupBy("paper_id").agg(F.collect_set(F.struct("dimension", "value")).alias("all"))
-    each = lists.select("paper_id", "all", F.explode("all").alias("x"))
+    volume = lists.select(F.explode("all").alias("x")).groupBy("x.dimension", "x.value").agg(F.count("*").alias("volume"))
     others = F.expr("transform(filter(all, y -> y <> x), y -> y.value)")
-    g = each.select("paper_id", "x.*", F.explode_outer(others).alias("other")).groupBy("dimension", "value").agg(
-        F.count_distinct("paper_id").alias("volume"), F.count_distinct("other").alias("co_labels"))
+    pairs = lists.select("all", F.explode("all").alias("x")).select("x.*", F.explode(others).alias("other")).distinct()
+    co = pairs.groupBy("dimension", "value").agg(F.count("*").alias("co_labels"))
+    g = volume.join(co, ["dimension", "value"], "left").fillna(0, ["co_labels"])
     one = g.withColumn("one", F.lit(1))
     mids = [upper_median(one, "one", c).select(F.col(c).alias(f"_m_{c}")) for c in ("volume", "co_labels")]
     both = reduce(lambda a, m: a.crossJoin(F.broadcast(m)), mids, g)  # medians: one row each

@@ -49,7 +49,7 @@ def test_canonical_sections_merge_and_reapportion(spark):
 
 def test_paragraph_faults(spark):
     paras = ["Open (here", "see Roe &", "2019 shows", "ends with the", "Big", "goes on", "et al. more;", "end."]
-    df = spark.createDataFrame([(1, 1, "results", "\n\n".join(paras)), (2, 1, "references & back matter", "a\n\nb"), (3, 1, None, None)], "id int, section int, label string, text string")
+    df = spark.createDataFrame([(1, 1, "results", "\n\n".join(paras)), (2, 1, "references & back matter", "x\n\nb"), (3, 1, None, None)], "id int, section int, label string, text string")
     faults = quality.paragraph_faults(df)
     assert sorted((r.id, r.para, r.fault) for r in faults.collect()) == [(1, 0, "mid_sentence"), (1, 0, "open_bracket"), (1, 1, "split_citation"), (1, 2, "mid_sentence"), (1, 3, "connector"), (1, 4, "mid_sentence"), (1, 5, "connector"), (1, 5, "mid_sentence"), (1, 6, "connector"), (1, 6, "mid_sentence")]
     t = quality.fault_totals(faults, df, r"\bth e\b").first()
