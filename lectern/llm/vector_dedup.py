@@ -21,8 +21,12 @@ computed, not assumed: for each dimension the driver decodes random pairs at the
 very codes in use, and adds codes (then filters a code) until the product of their miss rates, each
 raised to its 95 % confidence limit, is at most `miss`.  A pair of a higher cosine is missed less often.
 
-Null, empty or zero vectors and those with null or non-finite components link with nothing.
-Vectors of different lengths never link.
+Cases.  Null, empty or zero vectors and those with null or non-finite components link with nothing.  Vectors of
+different lengths never link.  A cosine of exactly the threshold, as double precision gives it, links.  Rows that repeat link with each
+other and are counted each; vectors are the vertices, so rows that share an id but not a vector are apart, and
+each row has the links and the class of its own vector.  Rows with a null id link and are counted like others; a
+class's id is the smallest that is not null, or null if there is none, and such a row is never kept.  An empty table gives
+no rows.  Other columns, whatever their names, are never read.
 """
 
 from __future__ import annotations
@@ -217,13 +221,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, per_code: float = 8.0
     """vectors(vec_id, embedding) -> (vec_id, n_links, component_id, kept), one row per row."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = rows.where(sound(F.col("embedding")))
-    classes = durable(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
-    dims = {r.dim: r.c for r in classes.where("rep is not null").groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("c")).collect()}
+    # a vertex is a distinct vector, whatever ids its rows have; its number is fixed by the checkpoint
+    classes = durable(good.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight")).withColumn("rep", F.monotonically_increasing_id()))
+    dims = {r.dim: r.c for r in classes.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("c")).collect()}
     plans = {}
     for d, n in dims.items():
         words, parts = shape(n, d, per_code, bucket, blocks)
         plans[d] = (words, *(enough(d, words, per_code, codes, parts, cosine, miss)[:2] if n > 1 else (per_code, 1)), parts)
-    decoded = classes.where("rep is not null").select("rep", "weight", "embedding").mapInArrow(
+    decoded = classes.select("rep", "weight", "embedding").mapInArrow(
         _decode(plans), "rep long, weight long, embedding array<double>, filters array<long>")
     spread = decoded.select("*", F.size("embedding").alias("dim"), F.explode("filters").alias("filter"))
     big = (spread.groupBy("dim", "filter").count().where(F.col("count") > block_rows)
@@ -235,8 +240,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, per_code: float = 8.0
     found = durable(dealt.groupBy("dim", "filter", "low", "high").applyInArrow(_compare(cosine), "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
-    known = (classes.join(links, "rep", "left").join(parts.withColumnRenamed("v", "rep"), "rep", "left")
-             .select(F.col("embedding"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("component")))
+    member = classes.join(links, "rep", "left").join(parts.withColumnRenamed("v", "rep"), "rep", "left")
+    lowest = member.where("component is not null").groupBy("component").agg(F.min("least").alias("lowest"))
+    known = member.join(lowest, "component", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("lowest", "least").alias("component"))
     linked = good.join(known, "embedding").select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
     bare = rows.where(~F.coalesce(sound(F.col("embedding")), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(bare).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -93,3 +93,15 @@ def test_recall_of_a_large_table(spark, tmp_path):
     u = unit(v)
     asked = np.arange(0, 4000, 8)
     assert all(got[i] == n for i, n in zip(asked, (u[asked] @ u.T >= 0.95).sum(axis=1) - 1)) and len(got) == len(v)
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (None, [1.0, 0.0]), (None, [-1.0, 0.0]), (None, [-1.0, 0.0]), (7, None), (7, [0.0, 0.0]), (None, [])]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, n_links int, Component_id string")
+    got = sorted((tuple(r) for r in near_vectors(df).collect()), key=str)
+    want = [(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (3, 1, 1, False), (None, 2, 1, False), (None, 1, None, False), (None, 1, None, False), (7, 0, 7, True), (7, 0, 7, True), (None, 0, None, False)]
+    assert got == sorted(want, key=str)
+
+
+def test_empty_table(spark):
+    assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
