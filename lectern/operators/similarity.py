@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.text import title_key
+from ..functions.text import alnum_key, title_key
 from .sections import heading_label, markdown_sections
 
 
@@ -189,3 +189,41 @@ def chunks(papers: DataFrame, lines: DataFrame, found: DataFrame, reach: int = 4
     score = F.coalesce(F.col("score"), F.lit(0.5))
     return body.union(bare).join(found.select("paper_id", "score"), "paper_id", "left").select(
         "paper_id", "section", "heading", "label", "text", score.alias("confidence"), (score < 0.7).alias("low"))
+
+
+# ---------------------------------------------------------------- containment and cascades
+
+def containing(short: DataFrame, long: DataFrame, least: int) -> DataFrame:
+    """(a, b): the distinct texts of short(a) of `least` letters or more and of long(b) that contain them.
+
+    A text that contains another contains its first `least` letters, so the two meet through an equi join on
+    those and are then tested; no pair is missed and none is met without a common stretch.
+    """
+    starts = short.where(F.length("a") >= least).select("a").distinct().withColumn("g", F.substring("a", 1, least))
+    places = F.sequence(F.lit(1), F.greatest(F.length("b") - least + 1, F.lit(1)))
+    cuts = long.where(F.length("b") >= least).select("b").distinct().select("b", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("b"), i, F.lit(least))))).alias("g"))
+    return starts.join(cuts, "g").where(F.contains("b", "a")).select("a", "b").distinct()
+
+
+def cascade(files: DataFrame, papers: DataFrame, stem: int = 5, prefix: int = 30, least: int = 20) -> DataFrame:
+    """(file_id, paper_id, tier): the paper of each file by the first rule that finds one, the smallest id on ties.
+
+    files(file_id, stem, title), papers(paper_id, title); ids and stems are texts.  1: the stem stands in the id or the id in
+    the stem (each of `stem` letters or more); 2: equal titles, letters and digits alone; 3: of such titles over `least`
+    letters, the first `prefix` letters of one stand in the other.
+    """
+    f = files.select("file_id", F.col("stem"), alnum_key(F.coalesce("title", F.lit(""))).alias("key"))
+    p = papers.select("paper_id", alnum_key(F.coalesce("title", F.lit(""))).alias("key"))
+    stems, ids = f.select(F.col("stem").alias("a")), p.select(F.col("paper_id").alias("b"))
+    flip = lambda df: df.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    one = containing(stems, ids, stem).union(flip(containing(ids.toDF("a"), stems.toDF("b"), stem))).toDF("stem", "paper_id")
+    first = f.join(one, "stem").select("file_id", "paper_id", F.lit(1).alias("tier"))
+    second = f.where("key <> ''").join(p, "key").select("file_id", "paper_id", F.lit(2).alias("tier"))
+    heads = lambda df, k: df.where(F.length("key") > least).select(F.substring("key", 1, prefix).alias(k), F.col("key").alias("whole"))
+    fk, pk = heads(f, "a"), heads(p, "a")
+    inner = containing(fk, p.select(F.col("key").alias("b")), least + 1).select(F.col("a").alias("fh"), F.col("b").alias("pkey"))
+    outer = containing(pk, fk.select(F.col("whole").alias("b")), least + 1).select(F.col("a").alias("ph"), F.col("b").alias("fkey"))
+    third = (f.where(F.length("key") > least).withColumn("fh", F.substring("key", 1, prefix)).join(inner, "fh").join(p.withColumnRenamed("key", "pkey"), "pkey").select("file_id", "paper_id")
+             .union(f.withColumnRenamed("key", "fkey").join(outer, "fkey").join(p.where(F.length("key") > least).withColumn("ph", F.substring("key", 1, prefix)), "ph").select("file_id", "paper_id")).withColumn("tier", F.lit(3)))
+    best = F.min_by(F.struct("paper_id", "tier"), F.struct("tier", "paper_id"))
+    return first.union(second).union(third).groupBy("file_id").agg(best.alias("x")).select("file_id", "x.*")

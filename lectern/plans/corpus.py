@@ -77,7 +77,9 @@ def ir7_vector_size(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), 4).alias("size"))
 
 
-@query()
+@query(_BM25.replace("= 'trash'", "= 'trash'") + f""", p AS (SELECT id, {tok("concat_ws(' | ', title, body)")} AS w FROM {R.PAPERS}),
+ h AS (SELECT s.id, score, round_even(((list_contains(w, 'trash'))::INTEGER + (list_contains(w, 'thing'))::INTEGER + (list_contains(w, 'idiot'))::INTEGER) / 3.0::DOUBLE, 4) AS rerank_score FROM s JOIN p ON p.id = s.id ORDER BY score DESC, s.id LIMIT 40)
+ SELECT id, score, rerank_score FROM h ORDER BY rerank_score DESC, score DESC, id LIMIT 15""")
 def ir9_rerank(spark, d):
     p = R.papers(spark, d)
     hits = search.search(p, "id", ["title", "body"], "trash thing", 40)
@@ -117,7 +119,9 @@ def win4_markdown_sections(spark, d):
     return sections.markdown_sections(R.lines(spark, d))
 
 
-@query()
+@query(rf"""WITH f AS (SELECT id, line, text, regexp_matches(text, '(?i)^\s*(\d+(\.\d+)*[.\s]\s*)?(Abstract|Introduction|Methods|Results|Discussion|References)\s*:?\s*$') AS h FROM {R.LINES}),
+ s AS (SELECT *, sum(h::INTEGER) OVER (PARTITION BY id ORDER BY line) AS section FROM f), g AS (SELECT id, section, max(regexp_extract(text, '(?i)(Abstract|Introduction|Methods|Results|Discussion|References)\s*:?\s*$', 1)) FILTER (h) AS t, regexp_replace(coalesce(string_agg(text, chr(10) ORDER BY line) FILTER (NOT h), ''), '^\s+|\s+$', '', 'g') AS text FROM s GROUP BY ALL)
+ SELECT id, section::BIGINT AS section, CASE WHEN t IS NULL THEN 'Full Text' ELSE upper(t[1]) || lower(t[2:]) END AS heading, text FROM g WHERE text <> ''""")
 def win5_keyword_sections(spark, d):
     return sections.keyword_sections(R.lines(spark, d), ["Abstract", "Introduction", "Methods", "Results", "Discussion", "References"])
 
@@ -147,7 +151,8 @@ def win13_entries(spark, d):
     return sections.entries(R.lines(spark, d), "^The")
 
 
-@query()
+@query(f"""WITH RECURSIVE o AS (SELECT id, line AS page FROM {R.LINES} WHERE starts_with(text, 'The')),
+ t(id, start) AS (SELECT id, min(page) FROM o GROUP BY 1 UNION ALL SELECT t.id, (SELECT min(page) FROM o WHERE o.id = t.id AND o.page > t.start + 1) FROM t WHERE EXISTS (SELECT 1 FROM o WHERE o.id = t.id AND o.page > t.start + 1)) SELECT id, start::BIGINT AS start FROM t""")
 def win14_gap_boundaries(spark, d):
     pages = R.lines(spark, d).select("id", F.col("line").alias("page"), F.col("text").startswith("The").alias("opens"))
     return sections.gap_boundaries(pages)
@@ -203,7 +208,7 @@ def str43_markdown_cell(spark, d):
     return table(spark, d, "documents").select("doc_id", T.cell("text").alias("cell"))
 
 
-@query()
+@query(r"SELECT doc_id, len(s)::INTEGER AS sentences, s[1] AS first FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: trim(y) <> '') AS s FROM documents)")
 def str37_sentences(spark, d):
     s = T.sentences("text")
     return table(spark, d, "documents").select("doc_id", F.size(s).alias("sentences"), F.get(s, F.lit(0)).alias("first"))
@@ -294,7 +299,9 @@ def ext6_grid(spark, d):
     return extraction.grid(tall, ["quality", "toxic"])
 
 
-@query()
+@query(rf"""WITH o AS (SELECT paper_id, order_index, heading, text, coalesce(sum(length(text) + 2) OVER (PARTITION BY paper_id ORDER BY order_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(length(text) + 2) OVER (PARTITION BY paper_id) - 2 AS total FROM {R.TURNS}),
+ h AS (SELECT *, start + length(regexp_extract(text, '(?is)^(.*?)\bthat\b', 1)) AS pos, regexp_extract(text, '(?i)\bthat\b') AS term FROM o WHERE regexp_matches(text, '(?i)\bthat\b'))
+ SELECT paper_id, round(arg_min(pos * 100.0::DOUBLE / greatest(total, 1), pos), 1) AS percent, arg_min(heading, pos) AS heading, arg_min(term, pos) AS term FROM h GROUP BY 1""")
 def ext7_first_location(spark, d):
     return extraction.first_location(R.turns(spark, d), r"(?i)\bthat\b")
 

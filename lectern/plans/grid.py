@@ -207,7 +207,8 @@ def str24_repeated_suffix(spark, d):
     return R.papers(spark, d).select("id", T.strip_repeated_suffix("title").alias("title"))
 
 
-@query()
+@query(r"""WITH m AS (SELECT doc_id, text, length(regexp_extract(text, '(?is)^(.*?)(trash|idiot)', 1)) + 1 AS pos, length(regexp_extract(text, '(?i)trash|idiot')) AS n FROM documents WHERE regexp_matches(text, '(?i)trash|idiot'))
+ SELECT doc_id, CASE WHEN pos - 40 > 1 THEN '...' ELSE '' END || substr(text, greatest(pos - 40, 1)::BIGINT, (least(pos + n - 1 + 40, length(text)) - greatest(pos - 40, 1) + 1)::BIGINT) || CASE WHEN pos + n - 1 + 40 < length(text) THEN '...' ELSE '' END AS snippet FROM m""")
 def str38_context(spark, d):
     return table(spark, d, "documents").select("doc_id", T.context("text", "(?i)trash|idiot", 40).alias("snippet")).where("snippet is not null")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import markdown, profiles, search
+from ..operators import markdown, profiles, search, similarity
 from ..sources import files
 from ..sources.tables import table
 from ..sources.versions import VersionedTable, workspace
@@ -134,3 +134,20 @@ def by_length():
 def ir9_own_scorer(spark, d):
     hits = search.search(R.papers(spark, d), "id", ["title", "body"], "Trash, thing!", 50)
     return search.rerank(hits, "Trash, thing!", F.col("title"), "id", 15, load=by_length).select("id", "rerank_score")
+
+
+# ---------------------------------------------------------------- matching files to papers
+
+_STEM = "CASE doc_id % 4 WHEN 0 THEN concat('doc-', doc_id, '-') WHEN 1 THEN concat('pre-v1-doc-', doc_id, '-end-post') ELSE concat('other', doc_id) END"
+_TITLE = "CASE doc_id % 4 WHEN 2 THEN concat(' ', substr(text, 1, 60), '!') WHEN 3 THEN concat(substr(text, 1, 44), ' changed ', doc_id) ELSE '' END"
+_KEY = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
+
+
+@query(f"""WITH f AS (SELECT doc_id AS file_id, {_STEM} AS stem, {_KEY.format(_TITLE)} AS k FROM documents), p AS (SELECT 'v1-doc-' || doc_id || '-end' AS paper_id, {_KEY.format('substr(text, 1, 60)')} AS k FROM documents),
+ m AS (SELECT file_id, paper_id, CASE WHEN contains(paper_id, stem) OR contains(stem, paper_id) THEN 1 WHEN f.k <> '' AND f.k = p.k THEN 2 WHEN length(f.k) > 20 AND (contains(p.k, substr(f.k, 1, 30)) OR (length(p.k) > 20 AND contains(f.k, substr(p.k, 1, 30)))) THEN 3 END AS tier FROM f, p)
+ SELECT file_id, arg_min(paper_id, tier::VARCHAR || paper_id) AS paper_id, min(tier) AS tier FROM m WHERE tier IS NOT NULL GROUP BY 1""")
+def jn12_file_cascade(spark, d):
+    rows = table(spark, d, "documents")
+    given = rows.select(F.col("doc_id").alias("file_id"), F.expr(_STEM).alias("stem"), F.expr(_TITLE).alias("title"))
+    papers = rows.select(F.concat(F.lit("v1-doc-"), "doc_id", F.lit("-end")).alias("paper_id"), F.substring("text", 1, 60).alias("title"))
+    return similarity.cascade(given, papers)

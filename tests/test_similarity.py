@@ -91,3 +91,10 @@ def test_page_heads_takes_first_best_page(spark):
     pages = spark.createDataFrame([(0, p, t) for p, t in [(3, "A Title of Note\nx"), (20, "noise\nA Title of Note\ny"), (21, "A Title of Note"), (30, "a\nb\nc\nd\ne\nf\nAnother Thing Far Below")]], "block int, page int, text string")
     titles = spark.createDataFrame([("a", 0, "A title of note"), ("b", 0, "Another thing far below")], "paper_id string, block int, title string")
     assert [tuple(r) for r in S.page_heads(titles, pages).collect()] == [("a", 20, 100.0)]
+
+
+def test_cascade_tiers(spark):
+    files = spark.createDataFrame([(1, "paper-0010", "x"), (2, "zz-abc-12-zz", "y"), (3, "nothing", "Same: Title!"), (4, "nothing", "A long enough title that goes on and on differently"), (5, "nothing", "short"), (6, "none", None), (7, "none", "The whole short-titled paper head")], "file_id int, stem string, title string")
+    papers = spark.createDataFrame([("icls-paper-0010-b", "q"), ("icls-paper-0010-a", "q"), ("abc-12", "same title"), ("z-1", "SAME title"), ("z-2", "Series 3: a long enough title that goes ON and on in another way"), ("z-3", None), ("z-4", "Whole short-titled paper he")], "paper_id string, title string")
+    got = {r.file_id: (r.paper_id, r.tier) for r in S.cascade(files, papers).collect()}
+    assert got == {1: ("icls-paper-0010-a", 1), 2: ("abc-12", 1), 3: ("abc-12", 2), 4: ("z-2", 3), 7: ("z-4", 3)}
