@@ -116,3 +116,15 @@ def full_audit(papers: DataFrame, authors: DataFrame, sections: DataFrame, files
     share = lambda a, b: F.round(F.col(f"`{a}`") * 100 / F.greatest(F.col(f"`{b}`"), F.lit(1.0)), 2)
     shares = {**{f"percent {f}": share(f"populated {f}", "papers") for f in fields}, "percent fragmented": share("fragmented sections", "sections checked"), "percent indexed": share("indexed papers", "papers"), "percent labelled": share("labelled papers", "papers")}
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(f"`{k}`").alias("value")) for k in counts], *[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in shares.items()])).alias("x")).select("x.*")
+
+
+def ingestion_report(papers: DataFrame, sections: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row about a load: papers found and expected, missing titles, authors and abstracts, sections without a role, mean confidence.
+
+    papers(title, authors array, abstract, confidence), sections(roles array), expected: a row for each paper that the contents list.
+    """
+    none = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    p = papers.agg(F.count("*").alias("detected_papers"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 3).alias("confidence"), F.count_if(none("title")).alias("missing_title"),
+                   F.count_if(F.coalesce(F.size("authors"), F.lit(0)) <= 0).alias("missing_authors"), F.count_if(none("abstract")).alias("missing_abstract"))
+    s = sections.agg(F.count_if(F.coalesce(F.size("roles"), F.lit(0)) <= 0).alias("unmapped_headings"))
+    return p.crossJoin(F.broadcast(s)).crossJoin(F.broadcast(expected.agg(F.count("*").alias("expected_papers"))))  # one row each

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,43 @@ def members(current: DataFrame, added: DataFrame, removed: DataFrame) -> DataFra
     """(review_id, paper_id) after adding and removing papers."""
     keys = ["review_id", "paper_id"]
     return current.select(keys).union(added.select(keys)).distinct().join(removed, keys, "left_anti")
+
+
+def update_or_append(manifest: DataFrame, changes: DataFrame, key: str, append: bool = True) -> DataFrame:
+    """The manifest with the fields of changes set in the entries of their key, and new entries appended.
+
+    A null field of a change leaves the entry's as it is; columns that changes lack stay, and are null in new entries.  Keys
+    are unique on both sides.  With append=False changes without an entry are dropped.
+    """
+    fields = [c for c in changes.columns if c != key]
+    new = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in fields])
+    both = manifest.join(new, key, "full" if append else "left")
+    return both.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in manifest.columns])
+
+
+def synchronised(old: DataFrame, master: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(old with the columns of master where the key is there, one row of counts: <column>_changes).
+
+    A value changes where the master's differs, null or not; rows without a master row stay.  Keys of master are unique.
+    """
+    own = master.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_m_{c}") for c in columns])
+    both = old.join(own, key, "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    differs = {c: F.col("_hit") & ~F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in columns}
+    out = both.select(*[F.when(F.col("_hit"), F.col(f"_m_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns])
+    return out, both.agg(*[F.count_if(x).alias(f"{c}_changes") for c, x in differs.items()])
+
+
+def conference_header(text, conference) -> Column:
+    """A paper's text with its first `**Conference:** ISLS <year>` naming another conference; a text without one stays."""
+    from ..functions.text import col
+
+    mark = r"\*\*Conference:\*\*\s*ISLS\s+\d{4}"
+    at, found = F.regexp_instr(col(text), F.lit(mark)), F.regexp_extract(col(text), mark, 0)
+    year = F.substring(found, -4, 4)
+    put = F.concat(F.substring(col(text), F.lit(1), at - 1), F.lit("**Conference:** "), col(conference), F.lit(" "), year, F.substring(col(text), at + F.length(found), F.length(col(text))))
+    return F.when(at > 0, put).otherwise(col(text))
+
+
+def listed_members(members: DataFrame, reviews: DataFrame) -> DataFrame:
+    """reviews(review_id, ...) with the number of papers of each, 0 for those without."""
+    return reviews.join(members.groupBy("review_id").agg(F.count_distinct("paper_id").alias("papers")), "review_id", "left").withColumn("papers", F.coalesce("papers", F.lit(0)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import markdown, profiles, search, similarity
+from ..operators import markdown, profiles, quality, review, search, similarity, upserts
 from ..sources import files
 from ..sources.tables import table
 from ..sources.versions import VersionedTable, workspace
@@ -151,3 +151,62 @@ def jn12_file_cascade(spark, d):
     given = rows.select(F.col("doc_id").alias("file_id"), F.expr(_STEM).alias("stem"), F.expr(_TITLE).alias("title"))
     papers = rows.select(F.concat(F.lit("v1-doc-"), "doc_id", F.lit("-end")).alias("paper_id"), F.substring("text", 1, 60).alias("title"))
     return similarity.cascade(given, papers)
+
+
+# ---------------------------------------------------------------- manifests, headers, synchronisation, reports
+
+@query("""WITH m AS (SELECT doc_id AS id, source AS name, n_chars AS papers, 'kept' AS note FROM documents WHERE doc_id % 2 = 0), c AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'good' END AS name, quality AS papers FROM labels)
+ SELECT coalesce(m.id, c.id) AS id, coalesce(c.name, m.name) AS name, coalesce(c.papers, m.papers)::BIGINT AS papers, note FROM m FULL JOIN c ON c.id = m.id""")
+def ups11_manifest_entries(spark, d):
+    manifest = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("source").alias("name"), F.col("n_chars").cast("long").alias("papers"), F.lit("kept").alias("note"))
+    changes = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "good").alias("name"), F.col("quality").cast("long").alias("papers"))
+    return upserts.update_or_append(manifest, changes, "id")
+
+
+_HEADED = "concat(substr(text, 1, 30), CASE doc_id % 3 WHEN 0 THEN concat(chr(10), '**Conference:** ISLS  2019', chr(10), '**Conference:** ISLS 2020') WHEN 1 THEN '**Conference:** ICLS 2019' ELSE '' END, substr(text, 31))"
+
+
+@query(f"SELECT doc_id, regexp_replace({_HEADED}, '\\*\\*Conference:\\*\\*\\s*ISLS\\s+(\\d{{4}})', '**Conference:** ' || upper(source) || ' \\1') AS text FROM documents")
+def ups10_conference_headers(spark, d):
+    return table(spark, d, "documents").select("doc_id", upserts.conference_header(F.expr(_HEADED), F.upper("source")).alias("text"))
+
+
+@query("SELECT count(*) FILTER (source IS DISTINCT FROM s) AS source_changes, count(*) FILTER (lang IS DISTINCT FROM l) AS lang_changes FROM documents JOIN (SELECT doc_id, CASE WHEN quality = 1 THEN 'src1' END AS s, CASE WHEN toxic = 1 THEN 'xx' ELSE 'en' END AS l FROM labels) USING (doc_id)")
+def agg19_sync_counters(spark, d):
+    master = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "src1").alias("source"), F.when(F.col("toxic") == 1, "xx").otherwise("en").alias("lang"))
+    return upserts.synchronised(table(spark, d, "documents").select("doc_id", "source", "lang"), master, "doc_id", ["source", "lang"])[1]
+
+
+@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN source WHEN quality = 1 THEN 'src1' END AS source FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def ups8_synchronised(spark, d):
+    master = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "src1").alias("source"))
+    return upserts.synchronised(table(spark, d, "documents").select("doc_id", "source"), master, "doc_id", ["source"])[0]
+
+
+@query("""SELECT c_custkey AS review_id, count(DISTINCT p) AS papers FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey AS p FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderkey % 2 = 0) UNION SELECT c_custkey, -1 FROM customer WHERE c_custkey % 3 = 0) ON o_custkey = c_custkey GROUP BY 1""")
+def ups12_review_list(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("review_id"), F.col("o_orderkey").alias("paper_id"), "o_orderstatus")
+    reviews = table(spark, d, "customer").select(F.col("c_custkey").alias("review_id"))
+    added = reviews.where("review_id % 3 = 0").select("review_id", F.lit(-1).cast("long").alias("paper_id"))
+    now = upserts.members(orders, added, orders.where("o_orderstatus = 'F' and paper_id % 2 = 0").select("review_id", "paper_id"))
+    return upserts.listed_members(now, reviews)
+
+
+_REPORT = """SELECT (SELECT count(*) FROM documents) AS detected_papers, (SELECT round(avg(CASE WHEN doc_id % 4 > 0 THEN (doc_id % 100) / 100.0::DOUBLE END), 3) FROM documents) AS confidence, (SELECT count(*) FROM documents WHERE doc_id % 9 = 0 OR trim(split_part(text, chr(10), 1)) = '') AS missing_title,
+ (SELECT count(*) FROM documents WHERE doc_id % 7 < 2) AS missing_authors, (SELECT count(*) FROM documents WHERE doc_id % 5 = 0) AS missing_abstract, (SELECT count(*) FROM conversations WHERE role <> 'user') AS unmapped_headings, (SELECT count(*) FROM benchmark) AS expected_papers"""
+
+
+@query(_REPORT)
+def qua9_ingestion_report(spark, d):
+    title = F.when(F.col("doc_id") % 9 > 0, F.split_part("text", F.lit("\n"), F.lit(1)))
+    people = F.when(F.col("doc_id") % 7 > 1, F.array("source")).when(F.col("doc_id") % 7 > 0, F.array().cast("array<string>"))
+    papers = table(spark, d, "documents").select(title.alias("title"), people.alias("authors"), F.when(F.col("doc_id") % 5 > 0, "text").otherwise(" ").alias("abstract"), F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 100 / 100.0).alias("confidence"))
+    parts = R.turns(spark, d).select(F.when(F.col("heading") == "user", F.array("heading")).alias("roles"))
+    return quality.ingestion_report(papers, parts, table(spark, d, "benchmark"))
+
+
+@query(_REPORT)
+def snk18_report_file(spark, d):
+    path = workspace(spark, "report")
+    review.report(qua9_ingestion_report(spark, d), path)
+    return spark.read.schema("detected_papers long, confidence double, missing_title long, missing_authors long, missing_abstract long, unmapped_headings long, expected_papers long").json(path)

@@ -4,7 +4,7 @@ import json
 import os
 
 import pytest
-from lectern.operators import markdown, profiles, search
+from lectern.operators import markdown, profiles, search, upserts
 from lectern.sources import files
 from lectern.sources.versions import VersionedTable
 from lectern.streaming import incremental
@@ -172,3 +172,33 @@ def test_own_scorers_load_once_a_worker(spark, tmp_path):
 
 def test_snippet_takes_terms_literally(spark):
     assert spark.createDataFrame([("we use c++ here",)], "t string").select(search.snippet(F.col("t"), ["c("])).first()[0] is None
+
+
+def test_manifest_entries_are_set_or_appended(spark):
+    manifest = spark.createDataFrame([("a", "A", 1, "note"), ("b", "B", 2, None)], "id string, name string, n int, note string")
+    changes = spark.createDataFrame([("a", None, 9), ("c", "C", None)], "id string, name string, n int")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(upserts.update_or_append(manifest, changes, "id")) == [("a", "A", 9, "note"), ("b", "B", 2, None), ("c", "C", None, None)]
+    assert rows(upserts.update_or_append(manifest, changes, "id", append=False)) == [("a", "A", 9, "note"), ("b", "B", 2, None)]
+
+
+def test_synchronised_counts_changes(spark):
+    old = spark.createDataFrame([(1, "a", "x"), (2, None, "x"), (3, "c", "x"), (None, "d", "x")], "id int, title string, authors string")
+    master = spark.createDataFrame([(1, "a", "y"), (2, "b", None), (9, "z", "z")], "id int, title string, authors string")
+    out, counts = upserts.synchronised(old, master, "id", ["title", "authors"])
+    assert {r.id: (r.title, r.authors) for r in out.collect()} == {1: ("a", "y"), 2: ("b", None), 3: ("c", "x"), None: ("d", "x")}
+    assert tuple(counts.first()) == (1, 2)
+
+
+def test_first_conference_header_alone_changes(spark):
+    df = spark.createDataFrame([("a **Conference:** ISLS  2021 b **Conference:** ISLS 2022", "X$1"), ("none", "X"), (None, "X"), ("**Conference:** ICLS 2021", "X")], "t string, c string")
+    assert [r[0] for r in df.select(upserts.conference_header("t", "c")).collect()] == ["a **Conference:** X$1 2021 b **Conference:** ISLS 2022", "none", None, "**Conference:** ICLS 2021"]
+
+
+def test_ties_in_an_upsert_do_not_depend_on_chance(spark):
+    old = spark.createDataFrame([], "k int, seq int, v string")
+    new = [(1, 1, v) for v in "bcad"] + [(1, 1, None)]
+    for order in (new, new[::-1]):
+        assert upserts.upsert(old, spark.createDataFrame(order, old.schema).repartition(3), ["k"], "seq").first().v == "d"
+    moved = upserts.rekey(spark.createDataFrame([(1, "z"), (2, "y"), (2, "x")], "p int, v string"), spark.createDataFrame([(2, 1)], "old_key int, new_key int"), "p", ["p"])
+    assert [tuple(r) for r in moved.collect()] == [(1, "x")]
