@@ -268,3 +268,36 @@ def match_explanation(title, abstract, keywords: list[str], shown: int = 2, long
         whole = F.concat(F.array_join(parts, "; "), F.lit("."), F.when(F.size(evidence) > 0, F.concat(F.lit(" Evidence: "), F.array_join(evidence, " "))).otherwise(""))
         return F.when(F.size(parts) == 0, F.lit("Matches target keywords in paper text.")).otherwise(whole)
     return let(F.struct(had(t).alias("t"), had(a).alias("a"), sentences(a).alias("s")), told)
+
+
+#: Words of headings of reference sections, and the line that opens references in a whole text.
+REFERENCE_HEADINGS = ["reference", "citation", "bibliography", "works cited"]
+REFERENCE_LINE = r"(?:\n|^)\s*(?:#+\s*)?(?:References|REFERENCES|Bibliography|Citations)\s*(?:\n|$)"
+
+
+def reference_text(sections: DataFrame) -> DataFrame:
+    """(paper_id, refs): the text of each paper's references.
+
+    sections(paper_id, order_index, heading, text).  The sections under a heading of references, joined in order; else the
+    whole text from its line of references on; else the last section.
+    """
+    h = F.lower(F.coalesce("heading", F.lit("")))
+    named = F.exists(F.array(*map(F.lit, REFERENCE_HEADINGS)), lambda t: F.contains(h, t))
+    rows = sections.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_n", named)
+    joined = lambda x: F.array_join(F.transform(x, lambda r: r["text"]), "\n")
+    got = rows.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("order_index", "text", "_n"))).alias("s"))
+    own, whole = F.filter("s", lambda r: r["_n"]), joined(F.col("s"))
+    staged = got.select("paper_id", F.size(own).alias("n"), joined(own).alias("own"), whole.alias("whole"), F.element_at("s", -1)["text"].alias("last")).withColumn("at", F.regexp_instr("whole", F.lit(REFERENCE_LINE)))
+    return staged.select("paper_id", F.when(F.col("n") > 0, F.col("own")).when(F.col("at") > 0, F.substring("whole", F.col("at"), F.length("whole"))).otherwise(F.col("last")).alias("refs"))
+
+
+#: What a reference to a review looks like.
+REVIEW_MARKS = [r"\breviews?\b", r"\bmeta-analys", r"\bsystematic review\b", r"\bscoping review\b", r"\bliterature review\b", r"\bsynthesis\b", r"\bsurvey\b", r"\bstate of the art\b", r"\breview of educational research\b",
+                r"\bharvard educational review\b", r"\beducational research review\b", r"\bannual review\b", r"\beducational psychology review\b", r"\bacademy of management review\b", r"\breview of research in education\b"]
+
+
+def review_references(references: Column, marks: list[str] | None = None, without: list[str] | None = None, least: int = 15) -> Column:
+    """The references of a list (of `least` letters or more) with a mark of a review and none of the texts `without`, numbers stripped, each once."""
+    mark = "(?i)" + "|".join(marks or REVIEW_MARKS)
+    kept = F.filter(references, lambda r: (F.length(r) >= least) & r.rlike(mark) & ~F.exists(F.array(*map(F.lit, without or [chr(0)])), lambda w: F.contains(r, w)))
+    return F.array_distinct(F.transform(kept, lambda r: F.trim(F.regexp_replace(r, r"^(?:\[\d+\]|\d+\.)\s*", ""))))

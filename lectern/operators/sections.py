@@ -169,3 +169,40 @@ def hash_sections(docs: DataFrame) -> DataFrame:
     parts = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\n(?=##\s+)"), strip), lambda p: p.startswith("## "))
     pairs = F.transform(parts, lambda p: F.struct(strip(F.substring(F.split_part(p, F.lit("\n"), F.lit(1)), F.lit(4), F.length(p))).alias("heading"), strip(F.when(F.instr(p, "\n") > 0, F.substring(p, F.instr(p, "\n"), F.length(p))).otherwise("")).alias("text")))
     return docs.select("id", F.posexplode(F.filter(pairs, lambda x: x["text"] != "")).alias("i", "x")).select("id", (F.col("i") + 1).alias("order_index"), "x.*")
+
+
+def clean_text(x) -> Column:
+    """A section's paragraphs without contact ones and short abstract stubs: broken words and lines joined, blanks before marks taken out."""
+    from ..functions.people import filled, strip
+    from ..functions.text import col
+
+    raw = F.replace(F.replace(F.coalesce(col(x), F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    contact = lambda p: p.contains("@") & p.rlike(r"\.edu|\.org|\.com|\.ac\.|\.net")
+    stub = lambda p: F.lower(p).startswith("abstract:") & (F.size(F.split(p, r"\s+")) < 35)
+    kept = F.filter(filled(F.split(raw, r"\n\s*\n")), lambda p: ~contact(p) & ~stub(p))
+    joined = F.transform(kept, lambda p: strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"(\w+)-\n\s*(\w+)", "$1-$2"), r"\n", " "), r"[ \t]+", " "), r"\s+([.,;:!?])", "$1")))
+    return F.array_join(F.filter(joined, lambda p: p != ""), "\n\n")
+
+
+def clean_blocks(sections: DataFrame, text: str = "text") -> DataFrame:
+    """sections with their text cleaned; those of which nothing is left go."""
+    return sections.withColumn(text, clean_text(text)).where(F.col(text) != "")
+
+
+def joined_titles(titles: DataFrame, lines: DataFrame) -> DataFrame:
+    """(paper_id, title): titles that break off, joined with the line after theirs up to its dot leader.
+
+    titles(paper_id, block, title), lines(block, line, text).  A line is a title's when it is equal to it but for numbers at
+    its start, blanks around it and case; the next line must end its text in three dots or more and a page.  The first such
+    line counts.  Titles that are whole, or have no such line, are left out.
+    """
+    from ..functions.people import strip
+    from ..functions.text import dangling
+
+    following = F.lead("text").over(Window.partitionBy("block").orderBy("line"))
+    rest = strip(F.regexp_extract("_n", r"^(.*?[^.\s])\s*\.{3,}\s*\d+", 1))
+    own = lines.withColumn("_n", following).select("block", "line", strip(F.regexp_replace(strip("text"), r"^\d+\s*", "")).alias("_t"), rest.alias("_r")).where("_r <> '' and _t <> ''").where(dangling("_t"))
+    asked = titles.where(dangling("title")).select("paper_id", "block", F.lower(strip("title")).alias("_k"))
+    met = asked.join(own.withColumn("_k", F.lower("_t")), ["block", "_k"])
+    best = met.groupBy("paper_id").agg(F.min_by(F.struct("_t", "_r"), "line").alias("x"))
+    return best.select("paper_id", F.regexp_replace(F.concat_ws(" ", "x._t", "x._r"), r"\s+", " ").alias("title"))

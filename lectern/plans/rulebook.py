@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules as X
-from ..operators import quality, sections
+from ..operators import extraction, quality, sections
 from ..sources import pages
 from ..sources.tables import table
 from . import roles as R
@@ -341,3 +341,50 @@ _NAMES = ["the", "and & or", "der", "les", "of"]
 def ext20_first_seen_names(spark, d):
     blobs = F.transform(F.array_sort(F.collect_list(F.struct("order_index", F.concat_ws(" ", "heading", "text").alias("b")))), lambda r: r["b"])
     return R.turns(spark, d).groupBy("paper_id").agg(blobs.alias("b")).select("paper_id", X.first_seen(F.col("b"), _NAMES, "Not specified").alias("found"))
+
+
+# ---------------------------------------------------------------- reference sections, clean texts, wrapped titles
+
+_TURN_HEAD = "CASE WHEN paper_id % 3 = 0 AND order_index % 2 = 1 THEN 'Works Cited' ELSE heading END"
+_TURN_TEXT = "CASE WHEN paper_id % 3 = 1 AND order_index = 1 THEN concat(text, chr(10), ' ## References', chr(10), 'X') ELSE text END"
+
+
+@query(f"""WITH s AS (SELECT paper_id, order_index, {_TURN_HEAD} AS heading, {_TURN_TEXT} AS text FROM {R.TURNS}),
+ g AS (SELECT paper_id, string_agg(text, chr(10) ORDER BY order_index) FILTER (heading = 'Works Cited') AS own, string_agg(text, chr(10) ORDER BY order_index) AS whole, arg_max(text, order_index) AS last FROM s GROUP BY 1)
+ SELECT paper_id, CASE WHEN own IS NOT NULL THEN own WHEN regexp_matches(whole, '{extraction.REFERENCE_LINE}') THEN substr(whole, length(regexp_extract(whole, '(?s)^(.*?){extraction.REFERENCE_LINE}', 1)) + 1) ELSE last END AS refs FROM g""")
+def ext15_reference_tiers(spark, d):
+    t = R.turns(spark, d)
+    return extraction.reference_text(t.select("paper_id", "order_index", F.expr(_TURN_HEAD).alias("heading"), F.expr(_TURN_TEXT).alias("text")))
+
+
+@query(f"""WITH s AS (SELECT doc_id, {_REFERENCE_SQL} AS a, CASE WHEN doc_id % 2 = 0 THEN '7. Survey of it, by Weber' ELSE 'Abstract review of it all' END AS b FROM documents),
+ k AS (SELECT doc_id, list_filter([a, b, a], lambda r: length(r) >= 15 AND regexp_matches(r, '(?i){"|".join(extraction.REVIEW_MARKS)}') AND NOT contains(r, 'Abstract')) AS k FROM s)
+ SELECT doc_id, {_uniq("list_transform(k, lambda r: trim(regexp_replace(r, '^(?:\\[\\d+\\]|\\d+\\.)\\s*', '')))")} AS reviews FROM k""")
+def ext19_review_references(spark, d):
+    rows = _docs(spark, d, a=_REFERENCE, b="CASE WHEN doc_id % 2 = 0 THEN '7. Survey of it, by Weber' ELSE 'Abstract review of it all' END")
+    return rows.select("doc_id", extraction.review_references(F.array("a", "b", "a"), without=["Abstract"]).alias("reviews"))
+
+
+_BLOCKS = "concat(replace(replace(text, '. ', concat(' .', chr(13), chr(10), ' ', chr(10))), ' of ', concat('-', chr(10), '  ')), CASE doc_id % 4 WHEN 0 THEN concat(chr(10), chr(10), 'mail x@y.edu') WHEN 1 THEN concat(chr(10), chr(10), 'Abstract: too short') ELSE '' END)"
+
+
+@query(f"""WITH b AS (SELECT doc_id, replace(replace({_BLOCKS}, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents),
+ p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(t, '\\n\\s*\\n'), lambda p: {_strip('p')}), lambda p: p <> '' AND NOT (contains(p, '@') AND regexp_matches(p, '\\.edu|\\.org|\\.com|\\.ac\\.|\\.net')) AND NOT (starts_with(lower(p), 'abstract:') AND len(string_split_regex(p, '\\s+')) < 35)) AS p FROM b),
+ j AS (SELECT doc_id, array_to_string(list_filter(list_transform(p, lambda p: {_strip("regexp_replace(regexp_replace(replace(regexp_replace(p, '([\\p{L}\\p{N}_]+)-\\n\\s*([\\p{L}\\p{N}_]+)', '\\1-\\2', 'g'), chr(10), ' '), '[ \\t]+', ' ', 'g'), '\\s+([.,;:!?])', '\\1', 'g')")}), lambda p: p <> ''), chr(10) || chr(10)) AS text FROM p)
+ SELECT doc_id, text FROM j WHERE text <> ''""")
+def str19_clean_blocks(spark, d):
+    return sections.clean_blocks(_docs(spark, d, body=_BLOCKS).select("doc_id", F.col("body").alias("text")))
+
+
+_WRAPPED = "CASE {i} % 3 WHEN 0 THEN concat('12 ', substr(x, 1, 30), ' {i} of the') WHEN 1 THEN concat('  ', substr(regexp_replace(x, '[^A-Za-z]', ''), 1, 20), ' rooms', CASE {i} % 2 WHEN 0 THEN ' ....... 34' ELSE '' END) ELSE x END"
+_ROWS = "(SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS x FROM documents)"
+
+
+@query(f"""WITH l AS (SELECT doc_id, i, {_WRAPPED.format(i='i').replace("'[^A-Za-z]', '')", "'[^A-Za-z]', '', 'g')").replace("' i of the'", "' ' || i || ' of the'")} AS t FROM {_ROWS}), n AS (SELECT *, lead(t) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM l),
+ o AS (SELECT doc_id, i, {_strip("regexp_replace(" + _strip('t') + ", '^\\d+\\s*', '')")} AS own, {_strip("regexp_extract(nxt, '^(.*?[^.\\s])\\s*\\.{3,}\\s*\\d+', 1)")} AS rest FROM n)
+ SELECT doc_id * 100000 + i AS paper_id, regexp_replace(own || ' ' || rest, '\\s+', ' ', 'g') AS title FROM o WHERE i % 3 = 0 AND rest <> '' AND regexp_matches(own, ' of the$')""")
+def win16_joined_titles(spark, d):
+    each = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x"))
+    lines = each.select(F.col("doc_id").alias("block"), F.col("i").alias("line"), F.expr(_WRAPPED.replace("' {i} of the'", "' ', {i}, ' of the'").format(i="i")).alias("text"))
+    titles = lines.where("line % 3 = 0").select((F.col("block") * 100000 + F.col("line")).alias("paper_id"), "block", F.lower(F.substring("text", F.lit(4), F.length("text"))).alias("title"))
+    return sections.joined_titles(titles, lines)

@@ -29,8 +29,8 @@ def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A CSV export with header; order is the caller's."""
-    df.write.mode("overwrite").csv(path, header=True, escape='"')
+    """A CSV export with header, blanks around values kept; order is the caller's."""
+    df.write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def flat_labels(papers: DataFrame, labels: DataFrame, dimensions: list[str]) -> DataFrame:

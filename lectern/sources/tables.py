@@ -53,8 +53,11 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header and quoted line breaks, every column as text."""
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    """CSV with a header and quoted line breaks, every column as text; such a file can't be split, so it is one task.
+
+    A quoted empty cell is an empty text, one without anything is null.
+    """
+    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', nullValue=chr(0))
 
 
 def year_volumes(spark: SparkSession, folder: str, year: int, names: list[str]) -> DataFrame:

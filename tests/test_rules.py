@@ -3,8 +3,8 @@
 import pytest
 from lectern.functions import people as P
 from lectern.functions import rules as X
-from lectern.operators import quality, sections
-from lectern.sources import pages
+from lectern.operators import extraction, quality, sections
+from lectern.sources import pages, sinks, tables
 from pyspark.sql import functions as F
 
 
@@ -81,3 +81,34 @@ def test_long_texts_without_marks_stay_linear(spark):
     text = "THE LONG Text " * 40_000
     row = spark.createDataFrame([(text,)], "t string").select(X.whole_sentences("t", "(?i:text)"), P.without_trailing_authors("t"), X.callouts("t", "t", ["text"], "a", "b", "c")).first()
     assert row[0] == [] and row[1] == text and row[2].startswith("b")
+
+
+def test_reference_text_has_three_tiers(spark):
+    rows = [(1, 1, "Intro", "a\nReferences\nno"), (1, 2, "Works Cited", "r1"), (1, 3, "REFERENCES", "r2"), (2, 1, "Intro", "a"), (2, 2, None, "b\n## Bibliography\nr3"), (2, 3, "End", "c"), (3, 1, "Intro", "a"), (3, 2, "End", "References are here"), (4, 1, None, None)]
+    df = spark.createDataFrame(rows, "paper_id int, order_index int, heading string, text string")
+    got = {r.paper_id: r.refs for r in extraction.reference_text(df).collect()}
+    assert got == {1: "r1\nr2", 2: "\n## Bibliography\nr3\nc", 3: "References are here", 4: ""}
+
+
+def test_review_references(spark):
+    refs = ["[1] A systematic review of it", "A systematic review of it", "2. Survey of all rooms", "A preview of rooms", "review", "Abstract of a review paper"]
+    assert value(spark, extraction.review_references(F.col("r"), without=["Abstract"]), r=refs) == ["A systematic review of it", "Survey of all rooms"]
+
+
+def test_clean_blocks(spark):
+    text = "One co-\n design\r\nline , here .\n \nmail x@y.edu now\n\nAbstract: stub\n\n  \n\nlast\tone !"
+    df = spark.createDataFrame([(1, text), (2, "a@b.com"), (3, None)], "id int, text string")
+    assert [(r.id, r.text) for r in sections.clean_blocks(df).collect()] == [(1, "One co-design line, here.\n\nlast one!")]
+
+
+def test_titles_are_joined_with_the_next_line(spark):
+    lines = [(1, "3 Learning to see in"), (2, "the Open Rooms of X ...... 12"), (3, "Learning to see in"), (4, "other ..... 9"), (5, "Whole title"), (6, "not it .... 4"), (7, "Play as a"), (8, "no leader here")]
+    df = spark.createDataFrame([("b", n, t) for n, t in lines], "block string, line int, text string")
+    titles = spark.createDataFrame([(1, "b", "learning to see IN"), (2, "b", "Whole title"), (3, "b", "Play as a"), (4, "c", "Learning to see in"), (5, "b", None)], "paper_id int, block string, title string")
+    assert [tuple(r) for r in sections.joined_titles(titles, df).collect()] == [(1, "Learning to see in the Open Rooms of X")]
+
+
+def test_csv_round_trip(spark, tmp_path):
+    rows = [("  lead ", 'say "x", y'), ("a\nb", ""), (None, "\\"), ("é", " ")]
+    sinks.write_csv(spark.createDataFrame(rows, "a string, b string"), str(tmp_path / "c"))
+    assert sorted(map(tuple, tables.csv_rows(spark, str(tmp_path / "c")).collect()), key=str) == sorted(rows, key=str)
