@@ -48,9 +48,9 @@ def mirrored(labels: DataFrame, source: str, copy: str) -> DataFrame:
 
 
 def concepts(papers: DataFrame, rules: Rules, text: str, around: int = 40) -> DataFrame:
-    """(id, family, label, snippet): labels found in non-null texts, with the first match's context."""
-    found = [F.when(F.col(text).rlike(any_of(p)), F.struct(F.lit(family).alias("family"), F.lit(label).alias("label"), context(text, any_of(p), around).alias("snippet")))
-             for family, labels in rules.items() for label, p in labels.items()]
+    """(id, family, label, snippet): labels found in non-null texts, with the context of the first match of the first pattern that matches."""
+    found = [F.when(F.col(text).rlike(any_of(ps)), F.struct(F.lit(family).alias("family"), F.lit(label).alias("label"), F.coalesce(*[context(text, any_of([p]), around) for p in ps]).alias("snippet")))
+             for family, labels in rules.items() for label, ps in labels.items()]
     return papers.where(F.col(text).isNotNull()).select("id", F.explode(F.array_compact(F.array(*found))).alias("x")).select("id", "x.*")
 
 

@@ -258,7 +258,14 @@ def tax5_mirrored(spark, d):
     return taxonomy.mirrored(taxonomy.classify(R.papers(spark, d), RULES, DEFAULTS), "tone", "voice")
 
 
-@query()
+def _snippet_sql(p: str, around: int = 40) -> str:
+    """The context of the first match of a pattern in body; null without one."""
+    at, n = f"(length(regexp_extract(body, '(?is)^(.*?)({p})', 1)) + 1)", f"length(regexp_extract(body, '(?i)({p})'))"
+    return (f"CASE WHEN regexp_matches(body, '(?i)({p})') THEN CASE WHEN {at} - {around} > 1 THEN '...' ELSE '' END || substr(body, greatest({at} - {around}, 1)::BIGINT, (least({at} + {n} - 1 + {around}, length(body)) - greatest({at} - {around}, 1) + 1)::BIGINT)"
+            f" || CASE WHEN {at} + {n} - 1 + {around} < length(body) THEN '...' ELSE '' END END")
+
+
+@query(f"WITH p AS {R.PAPERS} SELECT * FROM (" + " UNION ALL ".join(f"SELECT id, '{f}' AS family, '{label}' AS label, coalesce({', '.join(_snippet_sql(p) for p in ps)}) AS snippet FROM p" for f, labels in RULES.items() for label, ps in labels.items()) + ") WHERE snippet IS NOT NULL")
 def tax7_concepts(spark, d):
     return taxonomy.concepts(R.papers(spark, d), RULES, "body")
 
