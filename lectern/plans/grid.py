@@ -95,7 +95,7 @@ def snk14_dictionary(spark, d):
     return sinks.dictionary(p.select(F.col("p_brand").alias("column")).distinct(), known, ["Brand#11", "Brand#12"])
 
 
-@query()
+@query(f"SELECT paper_id, to_json({{'sections': list({{'order_index': order_index, 'heading': heading, 'text': text}} ORDER BY order_index)}})::VARCHAR AS data_json FROM {R.TURNS} GROUP BY 1")
 def snk16_collections(spark, d):
     return sinks.collections(R.turns(spark, d), "paper_id")
 
@@ -260,10 +260,11 @@ def ext8_matched_keywords(spark, d):
     return hits.select("paper_id", F.concat_ws("; ", *[F.when(F.col(w), F.lit(w)) for w in words]).alias("matched"))
 
 
-@query()
+@query(r"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: trim(y) <> '' AND regexp_matches(y, '(?i)\b(trash|idiot|license)\b')) AS s FROM documents)
+, c AS (SELECT doc_id, list_reduce(list_prepend([]::VARCHAR[], list_transform(s, lambda u: [u])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE a || b END)[:3] AS c FROM s WHERE len(s) > 0) SELECT doc_id, array_to_string(c, ' | ') AS callouts FROM c""")
 def ext10_callouts(spark, d):
     hits = F.filter(T.sentences("text"), lambda s: s.rlike(r"(?i)\b(trash|idiot|license)\b"))
-    return table(spark, d, "documents").select("doc_id", F.slice(F.array_distinct(hits), 1, 3).alias("callouts")).where(F.size("callouts") > 0)
+    return table(spark, d, "documents").select("doc_id", F.slice(F.array_distinct(hits), 1, 3).alias("c")).where(F.size("c") > 0).select("doc_id", F.array_join("c", " | ").alias("callouts"))
 
 
 @query(r"SELECT doc_id, array_to_string(list_slice(list_distinct(list_transform(regexp_extract_all(lower(text), '\b(trash|idiot|moron|scum)\b'), lambda x: upper(x[1]) || x[2:])), 1, 99), ', ') = '' AS none, len(list_distinct(regexp_extract_all(lower(text), '\b(trash|idiot|moron|scum)\b')))::INTEGER AS terms FROM documents")
@@ -293,7 +294,8 @@ def ext20_names_searched(spark, d):
     return low.select("doc_id", F.coalesce(F.nullif(F.array_join(F.filter(names, lambda w: F.contains("low", w)), ", "), F.lit("")), F.lit("not specified")).alias("found"))
 
 
-@query()
+@query(r"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: trim(y) <> '') AS s FROM documents)
+ SELECT doc_id, array_to_string(list_filter(string_split_regex(concat_ws(' ', s[1], list_filter(s, lambda y: regexp_matches(y, '(?i)result|show|find'))[1]), '\s+'), lambda w: w <> '')[:50], ' ') AS summary FROM s""")
 def ext22_summary(spark, d):
     s = T.sentences("text")
     finding = F.get(F.filter(s, lambda x: x.rlike("(?i)result|show|find")), F.lit(0))

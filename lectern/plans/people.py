@@ -139,9 +139,9 @@ def str22_repaired_headers(spark, d):
     return repair.repaired(heads(spark, d), "title", "authors", "section").select("id", "fixed_title", "fixed_authors")
 
 
-@query(f"SELECT id, {_names(_parts('authors'))} AS authors FROM {HEADS}")
+@query(f"SELECT id, array_to_string({_names(_parts('authors'))}, '; ') AS authors FROM {HEADS}")
 def str23_sanitised_authors(spark, d):
-    return heads(spark, d).select("id", P.sanitised(P.split_names("authors")).alias("authors"))
+    return heads(spark, d).select("id", F.array_join(P.sanitised(P.split_names("authors")), "; ").alias("authors"))
 
 
 @query(f"""WITH h AS (SELECT id, regexp_replace({_strip('title')}, '(?i)^title:\\s*', '') AS t FROM {HEADS}), {_unrepeated('h', 't', 'o')} SELECT id, t AS title FROM o""")
@@ -171,18 +171,18 @@ def str25_title_spill(spark, d):
     return _pieces(spark, d).select("id", "title", F.posexplode("names").alias("i", "a")).select("id", "i", P.spilled(P.trimmed_name("a"), "title").alias("spill"))
 
 
-@query(f"WITH {_SPILL_STAGES}, k AS (SELECT id, {_distinct('list(a ORDER BY i)')} AS names FROM s WHERE a <> '' AND NOT spill AND NOT nobody GROUP BY id) SELECT h.id, coalesce(k.names, []) AS authors FROM h LEFT JOIN k ON k.id = h.id")
+@query(f"WITH {_SPILL_STAGES}, k AS (SELECT id, {_distinct('list(a ORDER BY i)')} AS names FROM s WHERE a <> '' AND NOT spill AND NOT nobody GROUP BY id) SELECT h.id, coalesce(array_to_string(k.names, '; '), '') AS authors FROM h LEFT JOIN k ON k.id = h.id")
 def str26_clean_authors(spark, d):
-    return _pieces(spark, d).select("id", P.clean_authors("title", "names").alias("authors"))
+    return _pieces(spark, d).select("id", F.array_join(P.clean_authors("title", "names"), "; ").alias("authors"))
 
 
 _LINES_OF = f"list_filter(list_transform(string_split(coalesce(section, ''), chr(10)), lambda ln: {_strip('ln')}), lambda ln: ln <> '')"
 
 
 @query(f"""WITH l AS (SELECT id, {_LINES_OF} AS ls FROM {HEADS}), b AS (SELECT *, coalesce(list_position(list_transform(ls, lambda ln: regexp_matches(lower(ln), '^abstract:?')), true), 0) AS ab FROM l)
- SELECT id, CASE WHEN ab > 1 THEN list_filter(flatten(list_transform(ls[2:ab - 1], lambda ln: {_parts('ln', ',;')})), lambda pc: NOT regexp_matches(pc, '\\d|@') AND NOT contains(lower(pc), 'university') AND len(string_split_regex(pc, '\\s+')) >= 2) ELSE [] END AS authors FROM b""")
+ SELECT id, CASE WHEN ab > 1 THEN array_to_string(list_filter(flatten(list_transform(ls[2:ab - 1], lambda ln: {_parts('ln', ',;')})), lambda pc: NOT regexp_matches(pc, '\\d|@') AND NOT contains(lower(pc), 'university') AND len(string_split_regex(pc, '\\s+')) >= 2), '; ') ELSE '' END AS authors FROM b""")
 def str29_author_lines(spark, d):
-    return heads(spark, d).select("id", P.author_lines(P.text_lines("section")).alias("authors"))
+    return heads(spark, d).select("id", F.array_join(P.author_lines(P.text_lines("section")), "; ").alias("authors"))
 
 
 #: The same headers with two lines of text and a heading after the abstract.

@@ -65,11 +65,6 @@ def snk15_observations(spark, d):
     return spark.read.schema("doc_id long, value string, property_id string").json(path)
 
 
-@query(f"""SELECT paper_id, to_json({{'sections': list({{'order_index': order_index, 'heading': heading, 'text': text}} ORDER BY order_index)}})::VARCHAR AS data_json FROM {R.TURNS} GROUP BY 1""")
-def snk16_collection_json(spark, d):
-    return sinks.collections(R.turns(spark, d), "paper_id")
-
-
 @query("SELECT 'design.v' || r_regionkey || '.' || lower(r_name) AS id, 'design_v' || r_regionkey || '_' || replace(lower(r_name), '.', '_') || '.json' AS file FROM region")
 def snk19_dotted_definitions(spark, d):
     ids = table(spark, d, "region").select(F.concat(F.lit("design.v"), "r_regionkey", F.lit("."), F.lower("r_name")).alias("id"))

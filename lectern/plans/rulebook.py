@@ -55,11 +55,12 @@ def _tag(name: str, value: str = '[^"]+') -> str:
   {_plain(f"nullif(regexp_extract(html, '{_tag('DCTERMS\\.bibliographicCitation')}', 1), '')")} AS c0, nullif(regexp_extract(html, 'https?://doi\\.org/([^"]+)', 1), '') AS doi, {_plain(f"nullif(regexp_extract(html, '(?i){_tag('(?:DCTERMS\\.abstract|DC\\.description\\.abstract|description)')}', 1), '')")} AS a0,
   'http://base' || nullif(regexp_extract(html, 'href="([^"]*bitstream/1/[^"]+\\.pdf[^"]*)"', 1), '') AS pdf_url, list_transform(regexp_extract_all(html, '{_tag('DC\\.description')}', 1), lambda x: {_plain('x')}) AS descriptions FROM h),
  p AS (SELECT *, nullif(c0, '') AS citation, nullif(a0, '') AS abstract, CASE page_id % 5 WHEN 0 THEN 10 WHEN 1 THEN 7 ELSE CASE WHEN page_id % 3 = 2 THEN 12 END END AS start_page, CASE page_id % 5 WHEN 0 THEN 19 WHEN 1 THEN 7 ELSE CASE WHEN page_id % 3 = 2 THEN 13 END END AS end_page FROM r WHERE title <> '')
- SELECT page_id, title, authors, year, citation, doi, abstract, pdf_url, descriptions, page_id % 6 = 1 AS practice, start_page, end_page, CASE WHEN page_id % 6 = 0 THEN 'Full Paper' WHEN page_id % 6 = 1 AND end_page - start_page >= 5 THEN 'Full Paper' WHEN page_id % 6 = 1 THEN 'Short Paper'
+ SELECT page_id, title, array_to_string(authors, '; ') AS authors, year, citation, doi, abstract, pdf_url, array_to_string(descriptions, '; ') AS descriptions, page_id % 6 = 1 AS practice, start_page, end_page, CASE WHEN page_id % 6 = 0 THEN 'Full Paper' WHEN page_id % 6 = 1 AND end_page - start_page >= 5 THEN 'Full Paper' WHEN page_id % 6 = 1 THEN 'Short Paper'
   WHEN contains(lower(title), 'symposium') THEN 'Symposium' WHEN contains(lower(title), 'poster') THEN 'Poster' WHEN end_page - start_page >= 5 THEN 'Full Paper' WHEN end_page - start_page >= 2 THEN 'Short Paper' WHEN end_page - start_page >= 0 THEN 'Poster' ELSE 'Short Paper' END AS paper_type FROM p""")
 def src9_page_records(spark, d):
     own = table(spark, d, "pages").select("page_id", F.expr(_PAGE).alias("html"))
-    return pages.page_records(own, "http://base", 2000)
+    got = pages.page_records(own, "http://base", 2000)
+    return got.withColumns({c: F.array_join(c, "; ") for c in ("authors", "descriptions")})
 
 
 # ---------------------------------------------------------------- types, conferences, headings
@@ -96,10 +97,10 @@ _ALIASES = {"introduction": ["introduction", "background", "background and intro
 _HEADS = "CASE doc_id % 9 WHEN 0 THEN '2.1 Background and Introduction' WHEN 1 THEN ' Methods' WHEN 2 THEN 'Results and Findings: more' WHEN 3 THEN '3 - Method, results' WHEN 4 THEN 'Research  Design' WHEN 5 THEN 'research design' WHEN 6 THEN '' WHEN 7 THEN concat('Conclusion of ', source) ELSE substr(text, 1, 40) END"
 
 
-@query(f"""SELECT doc_id, list_filter([{', '.join(f"CASE WHEN h IN ({_list(a)}) OR len(list_intersect(string_split_regex(h, '\\s+'), [{_list(a)}])) > 0 THEN '{r}' END" for r, a in _ALIASES.items())}], lambda x: x IS NOT NULL) AS roles
+@query(f"""SELECT doc_id, array_to_string(list_filter([{', '.join(f"CASE WHEN h IN ({_list(a)}) OR len(list_intersect(string_split_regex(h, '\\s+'), [{_list(a)}])) > 0 THEN '{r}' END" for r, a in _ALIASES.items())}], lambda x: x IS NOT NULL), '; ') AS roles
  FROM (SELECT doc_id, {_strip("regexp_replace(lower(" + _strip('heading') + "), '^[\\d.\\s\\-:]+', '')")} AS h FROM {_select(heading=_HEADS)})""")
 def str11_roles(spark, d):
-    return _docs(spark, d, heading=_HEADS).select("doc_id", X.roles_of("heading", _ALIASES).alias("roles"))
+    return _docs(spark, d, heading=_HEADS).select("doc_id", F.array_join(X.roles_of("heading", _ALIASES), "; ").alias("roles"))
 
 
 _GROUP = "CASE doc_id % 6 WHEN 0 THEN ' Long Paper Sessions ' WHEN 1 THEN 'DEMOS' WHEN 2 THEN 'posters and late breaking results' WHEN 3 THEN 'late posters' WHEN 4 THEN source ELSE 'practice-oriented papers' END"
@@ -298,10 +299,10 @@ _KEYS = ["Trash", "of the", "der", "Licensed", "les", "por", "que"]
 
 
 @query(f"""WITH p AS (SELECT id, lower(title || ' ' || body) AS low, list_filter(['Education Research', upper(substr(conference, 1, 1)) || lower(substr(conference, 2)), CASE WHEN id % 3 = 0 THEN 'Der' END], lambda k: k IS NOT NULL AND lower(k) <> 'education research') || list_filter([{_list(_KEYS)}], lambda k: contains(lower(title || ' ' || body), lower(k))) AS k FROM {R.PAPERS})
- SELECT id, list_filter(list_transform(k, lambda x, i: CASE WHEN list_position(list_transform(k, lambda z: lower(z)), lower(x)) = i THEN x END), lambda x: x IS NOT NULL)[:5] AS keywords FROM p""")
+ SELECT id, array_to_string(list_filter(list_transform(k, lambda x, i: CASE WHEN list_position(list_transform(k, lambda z: lower(z)), lower(x)) = i THEN x END), lambda x: x IS NOT NULL)[:5], '; ') AS keywords FROM p""")
 def ext21_five_keywords(spark, d):
     given = F.array(F.lit("education research"), F.concat("conference", F.lit(" ")), F.when(F.col("id") % 3 == 0, F.lit(" der")))
-    return R.papers(spark, d).select("id", X.five_keywords("title", "body", given, _KEYS, "Education Research").alias("keywords"))
+    return R.papers(spark, d).select("id", F.array_join(X.five_keywords("title", "body", given, _KEYS, "Education Research"), "; ").alias("keywords"))
 
 
 _FIND, _REL = ["tion", "ung"], ["ing", "keit", "ment"]
@@ -337,10 +338,10 @@ _NAMES = ["the", "and & or", "der", "les", "of"]
 
 @query(f"""WITH s AS (SELECT paper_id, order_index, k, unnest(['the', 'and & or', 'der', 'les', 'of']) AS n, unnest([0, 1, 2, 3, 4]) AS j FROM (SELECT paper_id, order_index, heading || ' ' || text AS k FROM {R.TURNS})),
  f AS (SELECT paper_id, n, min(order_index * 10 + j) AS pos FROM s WHERE regexp_matches(k, '(?i)(^|[^\\p{{L}}\\p{{N}}_])' || n || '($|[^\\p{{L}}\\p{{N}}_])') GROUP BY ALL)
- SELECT p.paper_id, coalesce(list(n ORDER BY pos) FILTER (WHERE n IS NOT NULL), ['Not specified']) AS found FROM (SELECT DISTINCT paper_id FROM {R.TURNS}) p LEFT JOIN f ON f.paper_id = p.paper_id GROUP BY 1""")
+ SELECT p.paper_id, coalesce(string_agg(n, '; ' ORDER BY pos), 'Not specified') AS found FROM (SELECT DISTINCT paper_id FROM {R.TURNS}) p LEFT JOIN f ON f.paper_id = p.paper_id GROUP BY 1""")
 def ext20_first_seen_names(spark, d):
     blobs = F.transform(F.array_sort(F.collect_list(F.struct("order_index", F.concat_ws(" ", "heading", "text").alias("b")))), lambda r: r["b"])
-    return R.turns(spark, d).groupBy("paper_id").agg(blobs.alias("b")).select("paper_id", X.first_seen(F.col("b"), _NAMES, "Not specified").alias("found"))
+    return R.turns(spark, d).groupBy("paper_id").agg(blobs.alias("b")).select("paper_id", F.array_join(X.first_seen(F.col("b"), _NAMES, "Not specified"), "; ").alias("found"))
 
 
 # ---------------------------------------------------------------- reference sections, clean texts, wrapped titles
@@ -359,10 +360,10 @@ def ext15_reference_tiers(spark, d):
 
 @query(f"""WITH s AS (SELECT doc_id, {_REFERENCE_SQL} AS a, CASE WHEN doc_id % 2 = 0 THEN '7. Survey of it, by Weber' ELSE 'Abstract review of it all' END AS b FROM documents),
  k AS (SELECT doc_id, list_filter([a, b, a], lambda r: length(r) >= 15 AND regexp_matches(r, '(?i){"|".join(extraction.REVIEW_MARKS)}') AND NOT contains(r, 'Abstract')) AS k FROM s)
- SELECT doc_id, {_uniq("list_transform(k, lambda r: trim(regexp_replace(r, '^(?:\\[\\d+\\]|\\d+\\.)\\s*', '')))")} AS reviews FROM k""")
+ SELECT doc_id, array_to_string({_uniq("list_transform(k, lambda r: trim(regexp_replace(r, '^(?:\\[\\d+\\]|\\d+\\.)\\s*', '')))")}, '; ') AS reviews FROM k""")
 def ext19_review_references(spark, d):
     rows = _docs(spark, d, a=_REFERENCE, b="CASE WHEN doc_id % 2 = 0 THEN '7. Survey of it, by Weber' ELSE 'Abstract review of it all' END")
-    return rows.select("doc_id", extraction.review_references(F.array("a", "b", "a"), without=["Abstract"]).alias("reviews"))
+    return rows.select("doc_id", extraction.review_references(F.array("a", "b", "a"), without=["Abstract"]).alias("r")).select("doc_id", F.array_join("r", "; ").alias("reviews"))
 
 
 _BLOCKS = "concat(replace(replace(text, '. ', concat(' .', chr(13), chr(10), ' ', chr(10))), ' of ', concat('-', chr(10), '  ')), CASE doc_id % 4 WHEN 0 THEN concat(chr(10), chr(10), 'mail x@y.edu') WHEN 1 THEN concat(chr(10), chr(10), 'Abstract: too short') ELSE '' END)"
