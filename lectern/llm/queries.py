@@ -120,7 +120,7 @@ OP11_SQL = r"""WITH
  g AS (SELECT rid, doc_id, unnest(list_transform(h, lambda x: x % 65536) || list_transform(range(1, len(h)), lambda i: (h[i] * 31 + h[i + 1] + 7) % 65536)) AS b FROM h),
  c AS (SELECT b, count(*) AS raw, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL)) AS target FROM g GROUP BY 1),
  z AS (SELECT sum(raw) AS n_raw, sum(target) AS n_target FROM c),
- l AS (SELECT b, CASE WHEN n_target = 0 THEN 0 ELSE floor((ln((target + 1.0::DOUBLE) / (n_target + 65536)) - ln((raw + 1.0::DOUBLE) / (n_raw + 65536))) * 65536 + 0.5)::BIGINT END AS l FROM c, z),
+ l AS (SELECT b, CASE WHEN n_target = 0 THEN 0 ELSE floor(ln((target + 20.0::DOUBLE) / (raw * (n_target::DOUBLE / n_raw::DOUBLE) + 20.0::DOUBLE)) * 65536 + 0.5)::BIGINT END AS l FROM c, z),
  s AS (SELECT rid, sum(l)::BIGINT AS total, count(*) AS n FROM g JOIN l ON l.b = g.b GROUP BY 1),
  o AS (SELECT w.rid, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(w) AS base_failed, coalesce(total, 0) AS total, coalesce(n, 0) AS n
