@@ -124,3 +124,17 @@ def test_clashing_names_and_types(spark):
     df = spark.createDataFrame([(1, 'password: "A1b2C3d4E5f6A7b8C9d0e1F2"', "p", 9, [1, 2])], "doc_id long, text string, rest string, n_chars int, features array<int>")
     got = redact(df)
     assert got.dtypes == df.dtypes and got.first() == (1, 'password: "[SECRET]"', "p", 20, [1, 2])
+
+
+def test_lexicon_and_forest_learn_from_all_documents(spark, monkeypatch):
+    """The words and the labelled candidates that reach the learner are those of every document, whatever the bound."""
+    import lectern.llm.secret_scan as S
+
+    fitted, words = [], []
+    forest, lexicon = S.RandomForestClassifier.fit, S.Lexicon.__init__
+    monkeypatch.setattr(S.RandomForestClassifier, "fit", lambda self, rows: fitted.append(rows.count()) or forest(self, rows))
+    monkeypatch.setattr(S.Lexicon, "__init__", lambda self, w: words.append(w) or lexicon(self, w))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(planted(5, 900))], "doc_id long, text string")
+    found, _, trees = _learned(docs, None, 200)
+    assert fitted == [silver(found).where("label is not null").count()] and fitted[0] > 600 and trees.value is not None
+    assert words[0]["alpha"] == sum(len(re.findall("alpha", r.text)) for r in docs.collect())
