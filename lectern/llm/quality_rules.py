@@ -9,9 +9,10 @@ neither a small target nor a small corpus moves the others.  Its logarithm is ke
 comparison are in whole numbers, so the verdict on a text is the same in any order, batch and cluster, and
 every document gets one: nothing is drawn at random.
 
-The raw corpus is counted over all documents whole, the target over the whole texts of at most about `bound` trusted
-ids, chosen by a hash where there are more: only their ids are broadcast, so no text is ever shuffled.  Bucket counts are
-all that is, and the table of logarithms that is broadcast has `BUCKETS` entries whatever the corpus.
+The raw corpus is counted over all documents whole, the target over the whole texts of all trusted ones, in one pass.
+Up to `bound` trusted ids are broadcast to the texts; where there are more, nothing that grows with them is, and the texts
+are shuffled once to meet them, hashed by id (rows without an id, which can't be trusted, stay where they are).  The
+driver gets bucket counts, and the table of logarithms that is broadcast has `BUCKETS` entries whatever the corpus.
 
 Words are runs of anything but 0x20 and 0x09-0x0D; n-grams are of words with A-Z lowered, hashed by the first
 28 bits of their md5.  Repeated lines and word windows are counted case by case as they stand; windows are
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BLANK, _BYTE_CODE, _LOWER, bounded_sample, hash_runs, run_hashes, steps, utf8
+from .common import _BLANK, _BYTE_CODE, _LOWER, hash_runs, run_hashes, steps, utf8
 
 #: Buckets of the two multinomials.
 BUCKETS = 1 << 16
@@ -113,21 +114,33 @@ def repeated_lines(text: str | None) -> int:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, known = np.zeros(BUCKETS, np.int64), {}
+    total, known = np.zeros((2, BUCKETS), np.int64), {}
     for batch in batches:
         for part in steps(batch):
-            word, pair = Words(part.column("text")).buckets(known)
-            total += np.bincount(word, minlength=BUCKETS) + np.bincount(pair[pair >= 0], minlength=BUCKETS)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
+            words = Words(part.column("text"))
+            trusted = part.column("trusted").to_numpy(zero_copy_only=False)[words.doc]
+            word, pair = words.buckets(known)
+            for counted, some in enumerate((slice(None), trusted)):
+                w, p = word[some], pair[some]
+                total[counted] += np.bincount(w, minlength=BUCKETS) + np.bincount(p[p >= 0], minlength=BUCKETS)
+    used = np.flatnonzero(total[0])
+    yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(t[used]) for t in total)], names=["bucket", "raw", "target"])
 
 
-def counts(docs: DataFrame) -> np.ndarray:
-    """How often each bucket occurs in the texts of docs: BUCKETS rows reach the driver."""
-    got = docs.select("text").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
-    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    return out
+def counts(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """marked(text, trusted) -> how often each bucket occurs in all texts, and in the trusted ones: BUCKETS rows reach the driver."""
+    got = marked.select("text", "trusted").mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    raw[got.column("bucket").to_numpy()], target[got.column("bucket").to_numpy()] = got.column("raw").to_numpy(), got.column("target").to_numpy()
+    return raw, target
+
+
+def marked(docs: DataFrame, ids: DataFrame, bound: int) -> DataFrame:
+    """docs(doc_id, text), ids(doc_id), distinct and not null -> (text, trusted), a row per row of docs."""
+    flags = ids.withColumn("trusted", F.lit(True))
+    flags = flags.hint("broadcast" if ids.limit(bound + 1).count() <= bound else "shuffle_hash")
+    met = docs.where("doc_id is not null").join(flags, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    return met.union(docs.where("doc_id is null").select("text", F.lit(False).alias("trusted")))
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -160,7 +173,7 @@ def _judge(shared, threshold: float):
     return run
 
 
-def rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, bound: int = 100_000) -> DataFrame:
+def rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, bound: int = 10_000) -> DataFrame:
     """docs(doc_id, text), trusted(doc_id) -> a verdict on each row of docs.
 
     (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score); score is
@@ -168,9 +181,8 @@ def rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, bou
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    # about `bound` ids at most: small enough to broadcast whatever the corpus
-    known = F.broadcast(bounded_sample(ids, "doc_id", bound))
-    ratios = log_ratios(counts(plain.join(known, "doc_id", "left_semi")), counts(plain))
+    raw, target = counts(marked(plain, ids, bound))
+    ratios = log_ratios(target, raw)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     return plain.mapInArrow(_judge(shared, threshold), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double")
 

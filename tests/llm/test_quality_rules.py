@@ -102,3 +102,12 @@ def test_bound_takes_some_trusted_rows(spark):
     ids = spark.createDataFrame([(i,) for i, _ in rows], "doc_id long")
     a, b = ({r.doc_id: r.kept for r in Q.rules(df, ids, bound=n).collect()} for n in (100, 100_000))
     assert a == b and any(a.values())
+
+
+def test_all_trusted_rows_are_the_target_however_many(spark, monkeypatch):
+    """Above the bound the texts meet the ids by a shuffle; counts, and so scores, stay those of all trusted rows."""
+    rows = [*texts(400, 8), (None, "nul id " * 60), (7, "again " * 60), (7, "again " * 60)]
+    ids = [i for i, _ in rows if i is not None and i % 4]
+    whole = Q.rules
+    monkeypatch.setattr(Q, "rules", lambda docs, trusted: whole(docs, trusted, bound=20))
+    assert len(ids) > 200 and any(r[7] for r in compare(spark, rows, ids))
