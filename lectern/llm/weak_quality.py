@@ -7,14 +7,16 @@ rates, never on length limits.  Spark counts every vote pattern of the corpus (a
 over those counts estimates each labeller's accuracy, given that it votes, and the share of good
 texts, without any curated label.  The posterior of a text's pattern is its training label for a logistic scorer
 (FTRL) over hashed word shapes, shape pairs and repetition marks, as shares of the text's words; it
-is fitted on a bounded, documented sample (`bound`) and scores every whole text.  A text is kept
+is fitted on all documents and scores every whole text: a hash deals the documents into shards of about `bound`, each shard
+fits a scorer of its own, and the scorer is their mean, weighted by their documents (in whole units, so that the order of the
+sum does not matter).  A text is kept
 at `keep_at` or more.  The labellers are taken as independent given the quality of a text; where they are
 not (stutter and variety both see repetition) the posterior is surer than it should be.  The start of EM, that a bad
 vote outweighs a good one, and the bounds of the accuracies are choices, not estimates.
 
 Cases: null or blank texts have no votes and no features: they score 0 and go.  A text of any length is
-one row, and the sample's texts meet in one task, so `bound` and the longest texts bound its memory.  Rows that repeat
-count as often as they occur and get equal scores; with votes of one kind the posterior is the prior
+one row; what leaves it for its shard is its vote pattern and its few distinct features, never the text.  Rows that repeat
+count as often as they occur, in one shard if they agree in id and text, and get equal scores; with votes of one kind the posterior is the prior
 moved by them alone; a score equal to `keep_at` is kept.  Empty tables give no rows.  Other columns,
 whatever their names, are kept by `keep_good` and left out by `quality`.
 """
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BLANK, _BYTE_CODE, _LOWER, bounded_sample, hash_runs, mix, steps, utf8
+from .common import _BLANK, _BYTE_CODE, _LOWER, durable, hash_runs, mix, steps, utf8
 from .linear import BITS, Ftrl, dense, sigmoid
 
 U = np.uint64
@@ -34,6 +36,8 @@ LABELLERS = ("symbols", "capitals", "cells", "variety", "stutter", "shouting", "
 BAD, ABSTAIN, GOOD = 0, 1, 2
 #: Bounds of a labeller's estimated accuracy.
 ACCURACY = (0.55, 0.999)
+#: Units of a weight of 1 when the shards' weights are added up.
+UNITS = 1 << 24
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#$%&*+/<=>@[\\]^_`{|}~"]] = True
@@ -116,11 +120,14 @@ def _pattern(votes: np.ndarray) -> np.ndarray:
     return votes.astype(np.int64) @ (3 ** np.arange(votes.shape[1]))
 
 
-def _map_patterns(batches):
+def _map_seen(batches):
     for batch in batches:
         for part in steps(batch):
             t = Texts(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_pattern(t.votes())), pa.array(t.n)], names=["doc_id", "pattern", "n_words"])
+            d, f, v = t.features()
+            cuts = pa.array(np.searchsorted(d, np.arange(t.rows + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column("turn"), pa.array(_pattern(t.votes())), pa.array(t.n), pa.ListArray.from_arrays(cuts, pa.array(f, pa.int32())), pa.ListArray.from_arrays(cuts, pa.array(v))],
+                                             names=["turn", "pattern", "n_words", "features", "shares"])
 
 
 def fit_label_model(counts: dict[int, int], rounds: int = 200) -> tuple[dict[int, float], np.ndarray, float]:
@@ -148,22 +155,19 @@ def fit_label_model(counts: dict[int, int], rounds: int = 200) -> tuple[dict[int
 
 
 def _train(posterior: dict[int, float], epochs: int):
+    """The scorer of one shard: its weights, times its documents."""
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("turn", "ascending"), ("doc_id", "ascending")])
-        rows = []
-        for batch in table.select(["text"]).to_batches():
-            for part in steps(batch):
-                t = Texts(part.column("text"))
-                d, f, v = t.features()
-                cuts = np.searchsorted(d, np.arange(t.rows + 1))
-                goal = [posterior.get(int(p), 0.5) for p in _pattern(t.votes())]
-                rows += [(f[a:b].copy(), v[a:b].copy(), y) for a, b, y in zip(cuts[:-1], cuts[1:], goal) if b > a]
+        table = table.sort_by("turn").combine_chunks()
+        features, shares = (table.column(c).combine_chunks() for c in ("features", "shares"))
+        cuts, f, v = features.offsets.to_numpy() - features.offsets[0].as_py(), features.flatten().to_numpy(), shares.flatten().to_numpy()
+        goal = [posterior.get(p, 0.5) for p in table.column("pattern").to_pylist()]
+        rows = [(f[a:b], v[a:b], y) for a, b, y in zip(cuts[:-1], cuts[1:], goal) if b > a]
         model = Ftrl(alpha=1.0, l1=0.05, l2=0.01)
         for _ in range(epochs):
-            for x, v, y in rows:
-                model.learn(x, v, y)
+            for x, share, y in rows:
+                model.learn(x, share, y)
         idx, w = model.compact()
-        return pa.table({"feature": pa.array(idx, pa.int64()), "weight": pa.array(w)})
+        return pa.table({"feature": pa.array(idx, pa.int64()), "weight": pa.array(np.rint(w * len(rows) * UNITS).astype(np.int64))})
     return run
 
 
@@ -182,12 +186,14 @@ def _score(shared):
 
 def _fit(docs: DataFrame, bound: int, epochs: int):
     """(weights, posterior by vote pattern), learned from the texts of docs(doc_id, text)."""
-    seen = docs.mapInArrow(_map_patterns, "doc_id long, pattern long, n_words long")
-    counts = {r.pattern: r.c for r in seen.where("n_words > 0").groupBy("pattern").agg(F.count("*").alias("c")).collect()}
+    keyed = docs.select("text", F.xxhash64("doc_id", "text", F.lit("order")).alias("turn"))
+    seen = durable(keyed.mapInArrow(_map_seen, "turn long, pattern long, n_words long, features array<int>, shares array<double>").where("n_words > 0").drop("n_words"))
+    counts = {r.pattern: r.c for r in seen.groupBy("pattern").agg(F.count("*").alias("c")).collect()}
     posterior, _, _ = fit_label_model(counts)
-    some = bounded_sample(docs, "doc_id", bound).select(F.lit(0).alias("one"), F.xxhash64("doc_id", F.lit("order")).alias("turn"), "doc_id", "text")
-    got = some.groupBy("one").applyInArrow(_train(posterior, epochs), "feature long, weight double").toArrow()
-    return (got.column("feature").to_numpy(), got.column("weight").to_numpy()), posterior
+    many = sum(counts.values())
+    dealt = seen.withColumn("shard", F.pmod(F.xxhash64("turn", F.lit("shard")), F.lit(max(-(-many // bound), 1))))
+    got = dealt.groupBy("shard").applyInArrow(_train(posterior, epochs), "feature long, weight long").groupBy("feature").agg(F.sum("weight").alias("weight")).orderBy("feature").toArrow()
+    return (got.column("feature").to_numpy(), got.column("weight").to_numpy() / (UNITS * max(many, 1))), posterior
 
 
 def quality(docs: DataFrame, bound: int = 8000, epochs: int = 8, keep_at: float = 0.5) -> DataFrame:

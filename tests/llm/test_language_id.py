@@ -73,3 +73,40 @@ def test_rare_languages_are_learned_and_kept(spark):
     got = languages(docs, bound=300).where("doc_id % 1500 = 7").collect()
     assert len(got) == 20 and all(r.lang_pred == "fi" and not r.rejected for r in got)
     assert keep_known(docs, bound=300).where("lang = 'fi'").count() == 20
+
+
+def texts_of_three_languages(spark, n):
+    words = {"a": "lorem ipsum dolor sit amet", "b": "veni vidi vici alea iacta", "c": "panta rhei gnothi seauton"}
+    rows = [(i, " ".join(words[k].split()[(i * j) % 4] + str(i % 7) for j in range(1, 9)), k) for i in range(n) for k in [sorted(words)[i % 3]]]
+    return spark.createDataFrame([*rows, (n, "", "a"), (n + 1, None, "b"), (n + 2, "42", "c")], "doc_id long, text string, lang string")
+
+
+def test_model_counts_all_labelled_texts(spark):
+    """The n-grams of every labelled text outside the calibration fold are counted, and weigh as the local model's."""
+    import lectern.llm.language_id as L
+
+    docs = texts_of_three_languages(spark, 6000)
+    counted, weigh = [], L._weights
+    L._weights = lambda types, bound: counted.extend(types.collect()) or weigh(types, bound)
+    try:
+        model, level = L._fit(docs, L.F.lit(True), 1 << 16).value
+    finally:
+        L._weights = weigh
+    texts = [r for r in docs.collect() if r.text]
+    assert sum(r.c for r in counted) > 0.85 * sum(len(L.characters(L.pa.array([r.text]))[1]) for r in texts)
+    local = Model(model.langs, [r.gram for r in counted], np.array([model.langs.index(r.lang) for r in counted]), np.array([r.c for r in counted], float))
+    chars, at, _ = L.characters(L.pa.array([texts[0].text, "quo vadis ipsum gnothi z"]))
+    assert model.base == local.base and np.allclose(model.log_probs(chars, at), local.log_probs(chars, at), atol=1e-12)
+    assert set(level) == {"a", "b", "c"}
+
+
+def test_probabilities_add_up_to_one_when_rare_ngrams_are_not_stored(spark):
+    import lectern.llm.language_id as L
+
+    docs = texts_of_three_languages(spark, 300)
+    model, _ = L.train(docs, bound=40)
+    assert all(len(keys) <= 3 * 40 for keys, _ in model.probs)
+    letters = sorted({c for r in docs.collect() for c in (r.text or "") if c.isalpha()} | {" ", "ж"})
+    probes = np.array([[ord(x) for x in head + c] for head in ("m ip", "rem ", "zzzz") for c in letters], np.uint32)
+    p = np.exp(model.log_probs(probes.ravel(), np.arange(len(probes)) * ORDER + ORDER - 1)).reshape(3, len(letters), 3).sum(1)
+    assert len(letters) * model.base == 1 and np.allclose(p, 1)

@@ -40,3 +40,20 @@ def test_odd_tables(spark):
     kept = keep_good(df)
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == sorted(i or 0 for i, r in got.items() if r.keep)
     assert quality(df.limit(0)).collect() == []
+
+
+def test_all_documents_train_the_scorer(spark, monkeypatch):
+    """Whatever the bound, every document with a word reaches a shard, and small shards agree with one large one."""
+    import lectern.llm.weak_quality as W
+
+    learned, train = spark.sparkContext.accumulator(0), W._train
+
+    def counting(posterior, epochs):
+        run = train(posterior, epochs)
+        return lambda table: learned.add(table.num_rows) or run(table)
+    monkeypatch.setattr(W, "_train", counting)
+    docs = [(i, f"A plain line of words number {i} that ends here. And one more follows it." if i % 5 else "&&& ### *** |||| $$$ " * (3 + i % 7)) for i in range(900)] + [(900, None), (901, " \n")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    few = {r.doc_id: r.keep for r in quality(df, bound=100).collect()}
+    assert learned.value == 900
+    assert few == {r.doc_id: r.keep for r in quality(df).collect()} and not few[5] and few[6]
