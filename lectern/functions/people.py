@@ -1,6 +1,6 @@
 """Titles and authors that got into each other: tests and repairs as column functions.
 
-Blanks are any whitespace.  A null counts as an empty text everywhere here, so nothing is null that goes out.
+Blanks are ASCII whitespace without the vertical tab.  A null counts as an empty text everywhere here, so nothing is null that goes out.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import PREFIXES, col
+from .text import PREFIXES, col, re2
 
 EDGES = r"^\s+|\s+$"
 
@@ -57,7 +57,7 @@ CONNECTOR_START = r"(?i)^(and|in|the|of|for|with|through|to|from|by|on|at|during
 
 
 def strip(x) -> Column:
-    return F.regexp_replace(F.coalesce(col(x), F.lit("")), EDGES, "")
+    return F.regexp_replace(F.coalesce(col(x), F.lit("")), re2(EDGES), "")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -262,9 +262,9 @@ NO_ABSTRACT = r"(?i)^(?:cscl|icls|isls|figure|table|keywords|introduction)"
 def found_abstract(text, least: int = 60, most: int = 1500) -> Column:
     """The abstract of a first section: its marked block of more than `least` letters, else the first long paragraph; null without either."""
     raw = F.coalesce(col(text), F.lit(""))
-    block = strip(F.regexp_extract(raw, ABSTRACT, 1))
-    paragraph = F.get(F.filter(F.transform(F.split(raw, "\n\n"), strip), lambda p: (F.length(p) > 100) & ~p.rlike(NO_ABSTRACT)), F.lit(0))
-    unwrapped = lambda x: strip(F.regexp_replace(F.regexp_replace(F.array_join(text_lines(x), " "), r"(\b\w+)\s+-\s*(\w+\b)", "$1-$2"), r"\s+", " "))
+    block = strip(F.regexp_extract(raw, re2(ABSTRACT), 1))
+    paragraph = F.get(F.filter(F.transform(F.split(raw, "\n\n"), strip), lambda p: (F.length(p) > 100) & ~p.rlike(re2(NO_ABSTRACT))), F.lit(0))
+    unwrapped = lambda x: strip(F.regexp_replace(F.regexp_replace(F.array_join(text_lines(x), " "), re2(r"(\b\w+)\s+-\s*(\w+\b)"), "$1-$2"), re2(r"\s+"), " "))
     return let(F.when(F.length(block) > least, F.substring(block, 1, most)).otherwise(F.substring(paragraph, 1, most)), lambda x: F.when(x.isNotNull(), unwrapped(x)))
 
 
