@@ -110,3 +110,33 @@ def test_probabilities_add_up_to_one_when_rare_ngrams_are_not_stored(spark):
     probes = np.array([[ord(x) for x in head + c] for head in ("m ip", "rem ", "zzzz") for c in letters], np.uint32)
     p = np.exp(model.log_probs(probes.ravel(), np.arange(len(probes)) * ORDER + ORDER - 1)).reshape(3, len(letters), 3).sum(1)
     assert len(letters) * model.base == 1 and np.allclose(p, 1)
+
+
+def test_every_ngram_is_in_the_model(spark):
+    """More 5-grams of one language than any earlier limit (65,536 of an order): rare ones weigh as the definition has it."""
+    import lectern.llm.language_id as L
+
+    letters = "abcdefghijklmnopqrstuvwx"
+    words = [a + b + c + d + e for a in letters[:12] for b in letters[:12] for c in letters[:12] for d in letters[:12] for e in letters[:6]]
+    docs = spark.createDataFrame([(k, " ".join(words[k::400]), "a") for k in range(400)], "doc_id long, text string, lang string")
+    model, _ = L.train(docs)
+    grams = {" " * (ORDER - 1) + r.text for r in docs.collect()}
+    seen = {t[i:i + ORDER] for t in grams for i in range(len(t) - ORDER + 1)}
+    assert 65536 < 0.8 * len(seen) < len(model.probs[0][0]) <= len(seen)
+
+
+def test_a_model_too_large_to_broadcast_gives_the_same_rows(spark, monkeypatch):
+    import lectern.llm.language_id as L
+
+    docs = texts_of_three_languages(spark, 600).union(spark.createDataFrame([(None, "veni vidi", "b"), (None, "veni vidi", "b"), (700, "漢" * 400, None)], "doc_id long, text string, lang string"))
+
+    def figures():
+        rows = languages(docs).collect()
+        kept = keep_known(docs, bound=None)
+        assert kept.columns == docs.columns
+        return sorted([(r.doc_id or -1, r.lang_pred, round(r.score, 9), round(r.cross_entropy, 9), r.rejected) for r in rows]), sorted((r.doc_id or -1, r.text) for r in kept.collect())
+    whole = figures()
+    monkeypatch.setattr(L, "HELD", 10)
+    monkeypatch.setattr(L, "CELL_BYTES", 4000)
+    assert isinstance(L.train(docs)[0], L.Spread)
+    assert figures() == whole and len(whole[0]) == 606
