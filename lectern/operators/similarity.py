@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -193,16 +194,16 @@ def chunks(papers: DataFrame, lines: DataFrame, found: DataFrame, reach: int = 4
 
 # ---------------------------------------------------------------- containment and cascades
 
-def containing(short: DataFrame, long: DataFrame, least: int) -> DataFrame:
-    """(a, b): the distinct texts of short(a) of `least` letters or more and of long(b) that contain them.
+def stretches(short: DataFrame, long: DataFrame, least: int) -> DataFrame:
+    """(a, b): the stretches a of each different text of long(b) that have the first `least` letters and the length of some text of short(a).
 
-    A text that contains another contains its first `least` letters, so the two meet through an equi join on
-    those and are then tested; no pair is missed and none is met without a common stretch.
+    A text that contains another contains its first `least` letters, so no text of short that stands in b is missed; a row is
+    a place in b and a length, so their number grows with the letters of long, however many texts begin alike.
     """
-    starts = short.where(F.length("a") >= least).select("a").distinct().withColumn("g", F.substring("a", 1, least))
+    asked = short.where(F.length("a") >= least).select(F.substring("a", 1, least).alias("g"), F.length("a").alias("n")).distinct()
     places = F.sequence(F.lit(1), F.greatest(F.length("b") - least + 1, F.lit(1)))
-    cuts = long.where(F.length("b") >= least).select("b").distinct().select("b", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("b"), i, F.lit(least))))).alias("g"))
-    return starts.join(cuts, "g").where(F.contains("b", "a")).select("a", "b").distinct()
+    cuts = long.where(F.length("b") >= least).select("b").distinct().select("b", F.explode(places).alias("i")).withColumn("g", F.substring(F.col("b"), F.col("i"), F.lit(least)))
+    return cuts.join(asked, "g").where("i + n - 1 <= length(b)").select(F.substring(F.col("b"), F.col("i"), F.col("n")).alias("a"), "b")
 
 
 def cascade(files: DataFrame, papers: DataFrame, stem: int = 5, prefix: int = 30, least: int = 20) -> DataFrame:
@@ -214,16 +215,26 @@ def cascade(files: DataFrame, papers: DataFrame, stem: int = 5, prefix: int = 30
     """
     f = files.select("file_id", F.col("stem"), alnum_key(F.coalesce("title", F.lit(""))).alias("key"))
     p = papers.select("paper_id", alnum_key(F.coalesce("title", F.lit(""))).alias("key"))
-    stems, ids = f.select(F.col("stem").alias("a")), p.select(F.col("paper_id").alias("b"))
-    flip = lambda df: df.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    one = containing(stems, ids, stem).union(flip(containing(ids.toDF("a"), stems.toDF("b"), stem))).toDF("stem", "paper_id")
-    first = f.join(one, "stem").select("file_id", "paper_id", F.lit(1).alias("tier"))
-    second = f.where("key <> ''").join(p, "key").select("file_id", "paper_id", F.lit(2).alias("tier"))
-    heads = lambda df, k: df.where(F.length("key") > least).select(F.substring("key", 1, prefix).alias(k), F.col("key").alias("whole"))
-    fk, pk = heads(f, "a"), heads(p, "a")
-    inner = containing(fk, p.select(F.col("key").alias("b")), least + 1).select(F.col("a").alias("fh"), F.col("b").alias("pkey"))
-    outer = containing(pk, fk.select(F.col("whole").alias("b")), least + 1).select(F.col("a").alias("ph"), F.col("b").alias("fkey"))
-    third = (f.where(F.length("key") > least).withColumn("fh", F.substring("key", 1, prefix)).join(inner, "fh").join(p.withColumnRenamed("key", "pkey"), "pkey").select("file_id", "paper_id")
-             .union(f.withColumnRenamed("key", "fkey").join(outer, "fkey").join(p.where(F.length("key") > least).withColumn("ph", F.substring("key", 1, prefix)), "ph").select("file_id", "paper_id")).withColumn("tier", F.lit(3)))
+    first = F.min("paper_id").alias("paper_id")
+
+    def around(asked, texts, shortest):
+        """(a, paper_id): the smallest paper_id of texts(b, paper_id) that contain a; every stretch has its own before they meet."""
+        known = texts.groupBy("b").agg(first)
+        return stretches(asked, known, shortest).join(known, "b").groupBy("a").agg(first)
+
+    def inside(texts, asked, shortest):
+        """(b, paper_id): the smallest paper_id of texts(a, paper_id) that stand in b."""
+        known = texts.groupBy("a").agg(first)
+        return stretches(known, asked, shortest).join(known, "a").groupBy("b").agg(first)
+
+    def head(df):
+        return df.where(F.length("key") > least).withColumn("head", F.substring("key", 1, prefix))
+    ids, long = p.select("paper_id", F.col("paper_id").alias("b")), head(f)
+    found = [(1, f, "stem", around(f.select(F.col("stem").alias("a")), ids, stem)),
+             (1, f, "stem", inside(ids.withColumnRenamed("b", "a"), f.select(F.col("stem").alias("b")), stem)),
+             (2, f.where("key <> ''"), "key", p.groupBy("key").agg(first)),
+             (3, long, "head", around(long.select(F.col("head").alias("a")), p.select("paper_id", F.col("key").alias("b")), least + 1)),
+             (3, long, "key", inside(head(p).select("paper_id", F.col("head").alias("a")), long.select(F.col("key").alias("b")), least + 1))]
+    rows = [own.join(best.toDF(on, "paper_id"), on).select("file_id", "paper_id", F.lit(tier).alias("tier")) for tier, own, on, best in found]
     best = F.min_by(F.struct("paper_id", "tier"), F.struct("tier", "paper_id"))
-    return first.union(second).union(third).groupBy("file_id").agg(best.alias("x")).select("file_id", "x.*")
+    return reduce(DataFrame.union, rows).groupBy("file_id").agg(best.alias("x")).select("file_id", "x.*")

@@ -98,3 +98,30 @@ def test_cascade_tiers(spark):
     papers = spark.createDataFrame([("icls-paper-0010-b", "q"), ("icls-paper-0010-a", "q"), ("abc-12", "same title"), ("z-1", "SAME title"), ("z-2", "Series 3: a long enough title that goes ON and on in another way"), ("z-3", None), ("z-4", "Whole short-titled paper he")], "paper_id string, title string")
     got = {r.file_id: (r.paper_id, r.tier) for r in S.cascade(files, papers).collect()}
     assert got == {1: ("icls-paper-0010-a", 1), 2: ("abc-12", 1), 3: ("abc-12", 2), 4: ("z-2", 3), 7: ("z-4", 3)}
+
+
+def test_cascade_where_many_names_begin_alike(spark):
+    """Against every pair: stems within ids and ids within stems that share their first letters, equal titles in a large group."""
+    r = random.Random(8)
+    stems = [f"doc-{r.randint(1, 400)}{r.choice(['', '-', '-end'])}" for _ in range(150)] + [f"x-v1-doc-{r.randint(1, 200)}-end-y" for _ in range(60)] + ["docs", "v1-do"]
+    titles = ["", "Same title of all", "A long title that goes on for quite a while and ends", "Part 2: a long title that goes on for quite a while, but differs", "Unlike the others in all of its words"]
+    files = [(i, t, r.choice(titles)) for i, t in enumerate(stems)]
+    papers = [(f"v1-doc-{k}-end", r.choice(titles[:3])) for k in range(1, 200)] + [("a-paper", titles[2])]
+    key = lambda t: "".join(c for c in t.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789")
+
+    def tier(stem, a, paper, b):
+        a, b = key(a), key(b)
+        if len(stem) >= 5 and (stem in paper or paper in stem):
+            return 1
+        return 2 if a and a == b else 3 if len(a) > 20 and (a[:30] in b or len(b) > 20 and b[:30] in a) else 9
+    want = {i: min((tier(s, a, k, b), k) for k, b in papers) for i, s, a in files}
+    got = {x.file_id: (x.tier, x.paper_id) for x in S.cascade(spark.createDataFrame(files, "file_id int, stem string, title string"), spark.createDataFrame(papers, "paper_id string, title string")).collect()}
+    assert got == {i: x for i, x in want.items() if x[0] < 9} and {x[0] for x in got.values()} == {1, 2, 3}
+
+
+def test_stretches_are_places_not_pairs(spark):
+    """2,000 texts that begin alike meet 2,000 longer ones in as many stretches as those have places and lengths."""
+    short = spark.range(2000).selectExpr("concat('other', id) as a")
+    long = spark.range(2000).selectExpr("concat('v1-other', id, '-end') as b")
+    got = S.stretches(short, long, 5)
+    assert got.count() == 2000 * 4 and got.join(short, "a").count() == sum(len(str(i)) for i in range(2000))
