@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections import Counter
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import alnum_key, title_key
+from ..llm.common import durable
 from .sections import heading_label, markdown_sections
 
 
@@ -120,16 +123,103 @@ def candidates(titles: DataFrame, lines: DataFrame, least: float, partial: bool
     return meet("a", a, "b", b, la <= lb).union(meet("b", b, "a", a, lb < la).select("block", "a", "b"))
 
 
+#: Texts of a tile on either side, classes of letters that are counted, and letters that one step compares.
+TILE_A, TILE_B, CLASSES, STEP_LETTERS = 256, 4096, 64, 1 << 22
+_PAIRS = pa.schema([("a", pa.string()), ("b", pa.string()), ("score", pa.float64())])
+
+
+def lcs_rows(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of the letters a and each row of b, rows by falling size.
+
+    The rows of `lcs` side by side, in words of 64 letters of a.
+    """
+    letters, at = np.unique(b, return_inverse=True)
+    words = -(-len(a) // 64)
+    masks = np.zeros((len(letters), words), np.uint64)
+    place = np.minimum(np.searchsorted(letters, a), len(letters) - 1)
+    known = np.flatnonzero(letters[place] == a)
+    np.bitwise_or.at(masks, (place[known], known // 64), np.uint64(1) << (known % 64).astype(np.uint64))
+    steps = at.reshape(b.shape).T.copy()
+    full = np.full(words, ~np.uint64(0))
+    if len(a) % 64:
+        full[-1] = (np.uint64(1) << np.uint64(len(a) % 64)) - np.uint64(1)
+    rows = [np.full(len(b), f) for f in full]
+    ends = np.searchsorted(-sizes, -np.arange(b.shape[1]))  # rows longer than each place
+    for k, n in enumerate(ends):
+        carry = None
+        for w, row in enumerate(rows):
+            old = row[:n]
+            hit = old & masks[steps[k, :n], w]
+            new = old + hit
+            over = new < old
+            if carry is not None:
+                new += carry
+                over |= new < carry
+            row[:n] = new | (old & ~hit)
+            carry = over.astype(np.uint64)
+    return len(a) - sum(np.bitwise_count(row & f).astype(np.int64) for row, f in zip(rows, full))
+
+
+def _compare(least: float):
+    """(a, b, score) of the pairs of a tile whose indel similarity is above `least`.
+
+    The letters that two texts share, by class, bound their LCS; only pairs that may pass are compared.
+    """
+    def codes(texts):
+        return [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+
+    def bags(rows):
+        return np.stack([np.bincount(x % CLASSES, minlength=CLASSES) for x in rows], 1).astype(np.int32)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[str, str, float]] = []
+        if left.num_rows and right.num_rows:
+            texts, others = left.column("a").to_pylist(), sorted(right.column("b").to_pylist(), key=len, reverse=True)
+            asked, given = codes(texts), codes(others)
+            sizes, held = np.array([len(x) for x in given]), bags(given)
+            for text, a, bag in zip(texts, asked, bags(asked).T):
+                common = sum(np.minimum(held[c], bag[c]) for c in np.flatnonzero(bag))
+                may = np.flatnonzero(200.0 * common / (len(a) + sizes) > least)
+                while len(may):
+                    part, may = np.split(may, [max(1, STEP_LETTERS // int(sizes[may[0]]))])
+                    b = np.zeros((len(part), sizes[part[0]]), np.uint32)
+                    for i, k in enumerate(part):
+                        b[i, :sizes[k]] = given[k]
+                    score = 200.0 * lcs_rows(a, b, sizes[part]) / (len(a) + sizes[part])
+                    found += [(text, others[part[i]], float(score[i])) for i in np.flatnonzero(score > least)]
+        return pa.Table.from_pylist([dict(zip(_PAIRS.names, x)) for x in found], _PAIRS)
+    return run
+
+
+def similar(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(a, b, score): the pairs of a(a) and b(b), different texts that are not empty, whose indel similarity is above `least`.
+
+    A score above it leaves a least share of the lengths, so texts meet within bands of lengths, in tiles of
+    some hundred by some thousand texts; no pair is missed and none is a row unless it passes.
+    """
+    if not 0 < least < 100:
+        raise ValueError("least must lie between 0 and 100")
+    band = lambda x: F.floor(F.log(F.length(x).cast("double")) / F.log(F.lit((200.0 - least) / least)))
+    lot = lambda x, rows, tile: F.pmod(F.xxhash64(x), F.lit(1 + rows // tile))
+    a = a.select("a", band("a").alias("band"), lot("a", a.count(), TILE_A).alias("i"))
+    near = F.explode(F.array(*[band("b") + k for k in (-1, 0, 1)]))
+    b = b.select("b", near.alias("band"), lot("b", b.count(), TILE_B).alias("j"))
+    tile = F.concat_ws("/", "band", "i", "j")
+    left = a.join(b.select("band", "j").distinct(), "band").select("a", tile.alias("t"))
+    right = b.join(a.select("band", "i").distinct(), "band").select("b", tile.alias("u"))
+    return left.groupBy("t").cogroup(right.groupBy("u")).applyInArrow(_compare(least), "a string, b string, score double")
+
+
 def best_match(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str, least: float) -> DataFrame:
-    """(left_key, right_key, score): for each left row the right row with the best ratio above `least` (73 at least).
+    """(left_key, right_key, score): for each left row the right row with the best ratio above `least`.
 
     Every pair above `least` is found; ties take the smaller right key.  Case does not count; empty and null
     texts match nothing; equal texts are compared once.
     """
-    one = F.lit(0).alias("block")
-    a, b = left.select(left_key, one, F.lower(text).alias("a")), right.select(right_key, F.lower(text).alias("b"))
-    scored = candidates(a, b.select(one, "b"), least).select("a", "b", ratio("a", "b").alias("score")).where(F.col("score") > least)
-    firsts = b.groupBy("b").agg(F.min(right_key).alias(right_key))
+    a = left.select(left_key, F.lower(text).alias("a"))
+    texts = durable(a.where("a <> ''").select("a").distinct())
+    firsts = durable(right.select(right_key, F.lower(text).alias("b")).where("b <> ''").groupBy("b").agg(F.min(right_key).alias(right_key)))
+    scored = similar(texts, firsts.select("b"), least)
     best = scored.join(firsts, "b").groupBy("a").agg(F.min_by(F.struct(right_key, "score"), F.struct(-F.col("score"), F.col(right_key))).alias("x"))
     return a.join(best, "a").select(left_key, f"x.{right_key}", "x.score")
 

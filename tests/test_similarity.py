@@ -125,3 +125,28 @@ def test_stretches_are_places_not_pairs(spark):
     long = spark.range(2000).selectExpr("concat('v1-other', id, '-end') as b")
     got = S.stretches(short, long, 5)
     assert got.count() == 2000 * 4 and got.join(short, "a").count() == sum(len(str(i)) for i in range(2000))
+
+
+@pytest.mark.parametrize("least", [40, 73, 92])
+def test_similar_against_all_pairs(spark, least, monkeypatch):
+    monkeypatch.setattr(S, "TILE_A", 20)
+    monkeypatch.setattr(S, "TILE_B", 30)
+    a, b = texts(least, 60, [1, 2, 5, 8, 12, 63, 64, 65, 130])
+    a, b = {*a, "漢字 é", "x" * 300}, {x for x in b if x} | {"漢字 e", "x" * 250 + "y" * 9}
+    got = {(r.a, r.b): r.score for r in S.similar(spark.createDataFrame([(x,) for x in a], "a string"), spark.createDataFrame([(x,) for x in b], "b string"), least).collect()}
+    assert got == {(x, y): S.indel(x, y) for x in a for y in b if S.indel(x, y) > least}
+
+
+def test_best_match_of_many_like_texts(spark):
+    """200 by 30,000 texts of the same letters, most of which pass every count of letters: every pair of letters in common made a row before."""
+    import time
+
+    r = random.Random(3)
+    words = ["".join(r.choice("etaoinshr") for _ in range(r.randint(2, 7))) for _ in range(60)]
+    right = [" ".join(r.choice(words) for _ in range(9)) for _ in range(30000)]
+    left = [" ".join(w if r.random() < 0.9 else "xx" for w in right[k * 100].split()) for k in range(200)]
+    began = time.time()
+    got = S.best_match(spark.createDataFrame(list(enumerate(left)), "k int, text string"), spark.createDataFrame(list(enumerate(right)), "j int, text string"), "k", "j", "text", 80).collect()
+    assert time.time() - began < 60
+    assert {x.k for x in got} >= {k for k in range(200) if S.indel(left[k], right[k * 100]) > 80} and len(got) > 150
+    assert all(x.score >= S.indel(left[x.k], right[x.k * 100]) and x.score == S.indel(left[x.k], right[x.j]) for x in got)
