@@ -140,3 +140,15 @@ def test_a_model_too_large_to_broadcast_gives_the_same_rows(spark, monkeypatch):
     monkeypatch.setattr(L, "CELL_BYTES", 4000)
     assert isinstance(L.train(docs)[0], L.Spread)
     assert figures() == whole and len(whole[0]) == 606
+
+
+def test_keep_known_learns_every_ngram(spark, monkeypatch):
+    import lectern.llm.language_id as L
+
+    seen, weigh = [], L._weights
+    monkeypatch.setattr(L, "_weights", lambda types, bound: seen.append((types.count(), weigh(types, bound))) or seen[-1][1])
+    words = [a + b + c + d + e for a in "abcdefghijkl" for b in "mnopqrstuv" for c in "abcdefghijkl" for d in "mnopqrstuv" for e in "aeiouy"]
+    docs = spark.createDataFrame([(k, " ".join(words[k::300]), "a") for k in range(300)], "doc_id long, text string, lang string")
+    assert keep_known(docs).count() == 300
+    types, (_, _, stored, size) = seen[0]
+    assert types > 80000 and stored.where("n = 5").count() == types and size == stored.count()
